@@ -1 +1,283 @@
-"""To come."""
+"""Statistical tests, models, clusters and attribution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import attribution, clusters, features, kpis, models, stats
+from ..operators import customers as cust
+from ..plans import report
+from ..sources import writers
+from .base import query
+from .kpis import VARIANCE_SQL
+from .relational import PHASES
+
+# Trees of the registered forests; the operators default to 300.
+TREES = 20
+
+
+@query("x1_correlation", """cr AS (SELECT count(*) AS n, corr(items_delivered, items_missing) AS r FROM o)
+    SELECT n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM cr""")
+def _(t):
+    return stats.correlation(t.orders_without_region, "items_delivered", "items_missing")
+
+
+def _u_sql(source, value, first):
+    """Ranks from a sort of all rows, independent of the counted form used in Spark."""
+    return f"""rk AS (SELECT {value} AS v, {first} AS f, rank() OVER (ORDER BY {value}) AS lo,
+           count(*) OVER (PARTITION BY {value}) AS t FROM {source}),
+    us AS (SELECT count(*) FILTER (WHERE f)::DOUBLE AS n1, count(*) FILTER (WHERE NOT f)::DOUBLE AS n2,
+           sum(lo + (t - 1) / 2.0) FILTER (WHERE f) - n1 * (n1 + 1) / 2 AS u1, sum(t::DOUBLE * t - 1) AS ties FROM rk),
+    uz AS (SELECT *, n1 * n2 - u1 AS u2, n1 * n2 / 2 AS mu,
+           sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM us)
+    SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u1, 6) AS u1, round(u2, 6) AS u2,
+           round((greatest(u1, u2) - mu - 0.5) / sd, 6) AS z_two_sided, round((u1 - mu - 0.5) / sd, 6) AS z_greater FROM uz"""
+
+
+@query("x2_order_frequency_u", _u_sql("c", "orders_per_month", "NOT had_failure"))
+def _(t):
+    return stats.frequency_test(t.orders_without_region)
+
+
+RISK_SQL = """q AS (SELECT quantile_cont(failure_rate, 0.75) AS hi, quantile_cont(failure_rate, 0.25) AS lo FROM dt WHERE deliveries >= 10),
+    rg AS (SELECT has_missing::INT AS y, true AS is_high FROM o WHERE driver_id IN
+             (SELECT driver_id FROM dt, q WHERE deliveries >= 10 AND failure_rate >= hi)
+           UNION ALL SELECT has_missing::INT, false FROM o WHERE driver_id IN
+             (SELECT driver_id FROM dt, q WHERE deliveries >= 10 AND failure_rate <= lo))"""
+
+
+@query("x3_driver_risk_u", RISK_SQL + ", " + _u_sql("rg", "y", "is_high"))
+def _(t):
+    cells = stats.risk_group_flags(stats.driver_risk_groups(stats.driver_rates(t.orders_without_region)))
+    return stats.mann_whitney_counts(cells, "failed", "is_high")
+
+
+def _h_sql(source, value, group):
+    return f"""kr AS (SELECT {group} AS k, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0 AS rk,
+           count(*) OVER (PARTITION BY {value}) AS t FROM {source} WHERE {group} IS NOT NULL),
+    kn AS (SELECT count(*)::DOUBLE AS n, sum(t::DOUBLE * t - 1) AS ties FROM kr),
+    kg AS (SELECT k, count(*) AS nj, avg(rk) AS mean_rank FROM kr GROUP BY 1)
+    SELECT count(*) AS groups, n::BIGINT AS n, round(12 / (n * (n + 1)) * sum(nj * (mean_rank - (n + 1) / 2) * (mean_rank - (n + 1) / 2))
+           / (1 - ties / (n * n * n - n)), 6) AS h, count(*) - 1 AS df FROM kg, kn GROUP BY n, ties"""
+
+
+@query("x4_age_groups_h", VARIANCE_SQL + ", " + _h_sql("ao", "y", "age_group"))
+def _(t):
+    sums = stats.customer_age_sums(t.orders_without_region, t.customers)
+    return stats.kruskal_counts(stats.grouped_flags(sums, "age_group"))
+
+
+@query("x4_value_segments_h", VARIANCE_SQL + ", " + _h_sql("ao", "y", "value_segment"))
+def _(t):
+    return stats.kruskal_counts(stats.grouped_flags(stats.order_value_quartiles(t.orders_without_region), "value_segment"))
+
+
+@query("x4_regions_h", VARIANCE_SQL + ", " + _h_sql("ao", "y", "region"))
+def _(t):
+    return stats.kruskal_counts(stats.grouped_flags(stats.region_sums(t.orders), "region"))
+
+
+@query("x4_amount_by_region_h", _h_sql("o", "amount_cents", "region"))
+def _(t):
+    return stats.kruskal(t.orders, "amount_cents", "region")
+
+
+@query("x5_paired_t", PHASES + """ SELECT count(*) AS n, round(avg(pre_failure - post_failure), 6) AS mean_difference,
+    round(avg(pre_failure - post_failure) / (stddev_samp(pre_failure - post_failure) / sqrt(count(*))), 6) AS t FROM pp""")
+def _(t):
+    return stats.paired_t(cust.spend_by_phase(t.orders_without_region), "pre_failure", "post_failure")
+
+
+@query("x6_test_table")
+def _(t):
+    return stats.test_table(t.orders, t.customers)
+
+
+@query("x7_risk_group_means", RISK_SQL + """ SELECT round(avg(y) FILTER (WHERE is_high), 6) AS high_rate,
+    round(avg(y) FILTER (WHERE NOT is_high), 6) AS low_rate,
+    round((avg(y) FILTER (WHERE is_high) - avg(y) FILTER (WHERE NOT is_high)) * 100, 6) AS gap_pp FROM rg""")
+def _(t):
+    return stats.risk_group_means(stats.risk_group_flags(
+        stats.driver_risk_groups(stats.driver_rates(t.orders_without_region))))
+
+
+FEATURE_SQL = """pf AS (SELECT order_id, coalesce(CASE WHEN driver_id IS NOT NULL THEN avg(has_missing::INT) OVER (PARTITION BY
+    driver_id ORDER BY date, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, g_rate) AS rate FROM o, g),
+    re AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS code FROM (SELECT DISTINCT region FROM o)),
+    pn AS (SELECT order_id, CASE delivery_hour // 6 WHEN 0 THEN 'overnight' WHEN 1 THEN 'morning' WHEN 2 THEN 'afternoon'
+           ELSE 'evening' END AS period FROM o),
+    pe AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS code FROM (SELECT DISTINCT period FROM pn))
+    SELECT order_id, round(rate, 6) AS driver_fail_rate, round(order_amount, 6) AS order_amount, items_delivered, delivery_hour,
+    pe.code::INT AS period_enc, (isodow(date) >= 6)::INT AS is_weekend, (isodow(date) = 1)::INT AS is_monday,
+    re.code::INT AS region_enc, customer_age, has_missing::INT AS label FROM o JOIN pf USING (order_id) JOIN re USING (region)
+    JOIN pn USING (order_id) JOIN pe USING (period) JOIN cu USING (customer_id)"""
+
+
+@query("l1_feature_table", FEATURE_SQL)
+def _(t):
+    return features.feature_table(t.orders, t.customers)
+
+
+def _split(t):
+    """Features are written once to the shared folder, so training does not rebuild them."""
+    from ..session import fresh_path
+    path = fresh_path(t.spark, "features")
+    features.feature_table(t.orders, t.customers).write.parquet(path)
+    return features.split_rows(t.spark.read.parquet(path))
+
+
+def _forest(t):
+    train, test = _split(t)
+    return models.fit_forest(train, trees=TREES), train, test
+
+
+@query("l2_split")
+def _(t):
+    train, test = features.split_rows(t.orders_without_region)
+    named = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return named.groupBy("part", "has_missing").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("l3_standardised")
+def _(t):
+    rows = clusters.driver_features(t.orders)
+    return models.standardised(rows, clusters.DRIVER_FEATURES).select(
+        "driver_id", *[f"{f}_z" for f in clusters.DRIVER_FEATURES])
+
+
+@query("l4_odds_ratios")
+def _(t):
+    train, _test = _split(t)
+    return models.odds_ratios(t.spark, models.fit_logistic(train))
+
+
+def _risk_model(t):
+    from ..session import fresh_path
+    path = fresh_path(t.spark, "risk")
+    features.risk_features(t.orders).write.parquet(path)
+    rows = t.spark.read.parquet(path)
+    return models.fit_logistic(rows, models.RISK_FEATURES, standardise=False), rows
+
+
+@query("l5_risk_model_in_sample")
+def _(t):
+    model, rows = _risk_model(t)
+    return models.scored(model, rows).select("order_id", "label", "score")
+
+
+@query("l6_forest_scores")
+def _(t):
+    model, _train, test = _forest(t)
+    return models.scored(model, test).select("order_id", "label", "score")
+
+
+@query("l7_importances")
+def _(t):
+    model, _train, _test = _forest(t)
+    return models.importances(t.spark, model)
+
+
+@query("l8_auc")
+def _(t):
+    model, _train, test = _forest(t)
+    return models.auc_from_counts(models.scored(model, test))
+
+
+@query("l9_roc_curves")
+def _(t):
+    train, test = _split(t)
+    curves = [models.roc_curve(models.scored(model, test)).withColumn("model", F.lit(name)) for name, model in
+              (("logistic", models.fit_logistic(train)), ("forest", models.fit_forest(train, trees=TREES)))]
+    return curves[0].unionByName(curves[1])
+
+
+@query("l10_attributions")
+def _(t):
+    model, _train, test = _forest(t)
+    return attribution.attributions(t.spark, model, test)
+
+
+@query("l11_category_attribution")
+def _(t):
+    model, _train, test = _forest(t)
+    return attribution.category_attribution(attribution.attributions(t.spark, model, test))
+
+
+def _conclusion(t):
+    model, _train, test = _forest(t)
+    categories = attribution.category_attribution(attribution.attributions(t.spark, model, test))
+    variance = stats.variance_comparison(t.orders, t.customers)
+    return categories, report.conclusion(categories, variance, models.auc(models.scored(model, test)))
+
+
+@query("l12_conclusion")
+def _(t):
+    return _conclusion(t)[1]
+
+
+@query("k5_model_document")
+def _(t):
+    categories, summary = _conclusion(t)
+    return writers.document(report.model_document(categories, stats.test_table(t.orders, t.customers), summary))
+
+
+@query("l13_risk_scores")
+def _(t):
+    model, rows = _risk_model(t)
+    base = kpis.global_scalar(t.orders_without_region)
+    return models.risk_scores(model, rows, base["failure_rate"]).select(
+        "order_id", "probability", "risk_label", "delta_pp", F.inline("contributions"))
+
+
+@query("l14_driver_profile", """SELECT driver_id, count(*) AS total_deliveries, round(avg(has_missing::INT), 6) AS missing_rate,
+    round(sum(amount_cents) / 100.0 / count(*), 6) AS avg_order_value, count(DISTINCT region) AS region_diversity,
+    round(avg(items_delivered), 6) AS avg_items FROM o WHERE driver_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""")
+def _(t):
+    return clusters.driver_features(t.orders)
+
+
+@query("l15_customer_profile", """SELECT customer_id, count(*) AS total_orders, round(sum(amount_cents) / 100.0, 6) AS total_spent,
+    round(sum(amount_cents) / 100.0 / count(*), 6) AS avg_order_value, round(avg(has_missing::INT), 6) AS missing_rate,
+    min(customer_age) AS customer_age FROM m GROUP BY 1""")
+def _(t):
+    return clusters.customer_features(t.orders_without_region, t.customers)
+
+
+def _driver_clusters(t):
+    rows = clusters.driver_features(t.orders)
+    return clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3), rows, clusters.DRIVER_FEATURES)
+
+
+@query("l16_elbow")
+def _(t):
+    return clusters.elbow(t.spark, clusters.driver_features(t.orders), clusters.DRIVER_FEATURES)
+
+
+@query("l17_driver_clusters")
+def _(t):
+    return clusters.driver_clusters(_driver_clusters(t))
+
+
+@query("l18_customer_clusters")
+def _(t):
+    rows = clusters.customer_features(t.orders_without_region, t.customers)
+    model = clusters.fit_clusters(rows, clusters.CUSTOMER_FEATURES, 4)
+    return clusters.customer_clusters(clusters.assigned(model, rows, clusters.CUSTOMER_FEATURES))
+
+
+@query("l19_driver_axes")
+def _(t):
+    rows = clusters.driver_features(t.orders)
+    axes = clusters.principal_axes(rows, clusters.DRIVER_FEATURES)
+    return clusters.projected(axes, rows, clusters.DRIVER_FEATURES, "driver_id")
+
+
+@query("l20_cluster_distribution")
+def _(t):
+    return clusters.cluster_distribution(_driver_clusters(t))
+
+
+@query("l21_top_factors")
+def _(t):
+    model, _train, _test = _forest(t)
+    return models.top_factors(models.importances(t.spark, model))

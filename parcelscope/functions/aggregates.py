@@ -35,6 +35,12 @@ def average_ticket() -> Column:
     return F.sum("amount_cents") / 100.0 / F.count("amount_cents")
 
 
+def half_even(value: Column | str, digits: int = 0) -> Column:
+    """Rounds by scaling, to the nearest even digit on a tie, as array libraries do."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.rint(column * 10.0 ** digits) / 10.0 ** digits
+
+
 def share(value: Column, total: Column) -> Column:
     return F.try_divide(value, total) * 100
 

@@ -26,7 +26,7 @@ def forest_nodes(spark: SparkSession, model: PipelineModel) -> pd.DataFrame:
         F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("cover"),
         F.col("nodeData.impurityStats")[1].alias("positive")).toPandas()
 

@@ -73,19 +73,19 @@ def ranked_labels(summary: DataFrame, metric: str, labels: Sequence[str], name:
 
 def driver_clusters(clustered: DataFrame) -> DataFrame:
     summary = clustered.groupBy("cluster").agg(
-        F.count("driver_id").alias("n_drivers"), F.bround(F.avg("missing_rate"), 3).alias("avg_missing_rate"),
-        F.bround(F.avg("total_deliveries"), 3).alias("avg_deliveries"),
-        F.bround(F.avg("avg_order_value"), 3).alias("avg_ticket"))
+        F.count("driver_id").alias("n_drivers"), agg.half_even(F.avg("missing_rate"), 3).alias("avg_missing_rate"),
+        agg.half_even(F.avg("total_deliveries"), 3).alias("avg_deliveries"),
+        agg.half_even(F.avg("avg_order_value"), 3).alias("avg_ticket"))
     return ranked_labels(summary, "avg_missing_rate", DRIVER_PROFILES, "profile")
 
 
 def customer_clusters(clustered: DataFrame) -> DataFrame:
     summary = clustered.groupBy("cluster").agg(
-        F.count("customer_id").alias("n_customers"), F.bround(F.avg("total_orders"), 2).alias("avg_orders"),
-        F.bround(F.avg("total_spent"), 2).alias("avg_spent"),
-        F.bround(F.avg("avg_order_value"), 2).alias("avg_ticket"),
-        F.bround(F.avg("missing_rate"), 2).alias("avg_missing"),
-        F.bround(F.avg("customer_age"), 2).alias("avg_age"))
+        F.count("customer_id").alias("n_customers"), agg.half_even(F.avg("total_orders"), 2).alias("avg_orders"),
+        agg.half_even(F.avg("total_spent"), 2).alias("avg_spent"),
+        agg.half_even(F.avg("avg_order_value"), 2).alias("avg_ticket"),
+        agg.half_even(F.avg("missing_rate"), 2).alias("avg_missing"),
+        agg.half_even(F.avg("customer_age"), 2).alias("avg_age"))
     return ranked_labels(summary, "avg_spent", CUSTOMER_SEGMENTS, "segment", largest_first=True)
 
 

@@ -67,9 +67,9 @@ def customer_dimension(orders: DataFrame, customers: DataFrame) -> DataFrame:
     table = value_segments(customer_profile(orders).join(known, "customer_id"))
     return table.select(
         "customer_id", "customer_name", "customer_age", "total_orders", "total_failures",
-        *[F.bround(c, 4).alias(c) for c in ("total_revenue", "avg_ticket")], "months_active",
+        *[agg.half_even(c, 4).alias(c) for c in ("total_revenue", "avg_ticket")], "months_active",
         "first_order", "last_order",
-        *[F.bround(c, 4).alias(c) for c in ("failure_rate", "orders_per_month")], "had_failure",
+        *[agg.half_even(c, 4).alias(c) for c in ("failure_rate", "orders_per_month")], "had_failure",
         bands.age_band_right(F.col("customer_age"), bands.AGE_LABELS_DASH).alias("age_group"),
         bands.failure_group(F.col("total_failures")).alias("failure_group"), "value_segment",
         "churned", "returned_after_failure")
@@ -140,13 +140,13 @@ def retention_summary(dimension: DataFrame) -> DataFrame:
     """Eight figures over the finished customer dimension, one per row. The return rate here is
     over all customers; `return_rates` has it over customers with a failure."""
     churned = F.col("churned")
-    pct = lambda flag: F.bround(F.avg(F.col(flag).cast("int")) * 100, 1)
+    pct = lambda flag: agg.half_even(F.avg(F.col(flag).cast("int")) * 100, 1)
     one = dimension.agg(
         F.count(F.lit(1)).alias("n"), F.count_if("had_failure").alias("had"), pct("had_failure").alias("had_pct"),
         F.count_if("returned_after_failure").alias("back"), pct("returned_after_failure").alias("back_pct"),
         F.count_if("churned").alias("lost"),
-        F.bround(F.coalesce(F.sum(F.when(churned, F.col("total_revenue"))), F.lit(0.0)), 2).alias("risk"),
-        F.bround(F.avg(F.when(churned, F.col("total_revenue"))), 2).alias("risk_avg"))
+        agg.half_even(F.coalesce(F.sum(F.when(churned, F.col("total_revenue"))), F.lit(0.0)), 2).alias("risk"),
+        agg.half_even(F.avg(F.when(churned, F.col("total_revenue"))), 2).alias("risk_avg"))
     # fixed values: metric names of the retention report
     metrics = {"Total Customers": "n", "Customers with Failure": "had", "% Base Impacted": "had_pct",
                "Returned After Failure": "back", "Return Rate (%)": "back_pct", "Churned Customers": "lost",

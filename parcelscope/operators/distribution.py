@@ -58,8 +58,16 @@ def running_totals(df: DataFrame, weights: Sequence[str], order: Sequence[str],
 
 
 def running_counts(counts: DataFrame, value: str, weights: Sequence[str] = ("n",),
-                   by: Sequence[str] = ()) -> DataFrame:
-    """Running totals of weights over distinct values, smallest value first."""
+                   by: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """Running totals of weights over distinct values, smallest value first.
+
+    `few` is for values with a fixed small domain, such as 0/1 flags: no chunks are needed then.
+    """
+    if few:
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("*", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_before") for w in weights],
+                             *[F.sum(w).over(group).alias(f"{w}_total") for w in weights])
     keyed = with_value_chunk(counts, value, weights[0])
     return running_totals(keyed, weights, [value], ["chunk"], by).drop("chunk")
 
@@ -92,7 +100,9 @@ def quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
 
 def medians(df: DataFrame, values: Sequence[str]) -> Column:
     """Struct of the exact medians of several columns, as a scalar sub-query column."""
-    return F.struct(*[quantiles(df, v, [0.5]).scalar().alias(v) for v in values])
+    long = df.select(*[F.col(v).cast("double").alias(v) for v in values]).unpivot([], list(values), "name", "value")
+    middle = quantiles(long, "value", [0.5], ["name"])
+    return middle.agg(F.struct(*[F.max(F.when(F.col("name") == v, F.col("q50"))).alias(v) for v in values])).scalar()
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -128,7 +128,7 @@ def consistency(orders: DataFrame, min_deliveries: int = 1, min_months: int = 1)
 
 def export_consistency(orders: DataFrame) -> DataFrame:
     return consistency(orders).select(
-        "driver_id", "months_active", "avg_rate", "std_rate", F.bround("cv", 3).alias("consistency_cv"))
+        "driver_id", "months_active", "avg_rate", "std_rate", agg.half_even("cv", 3).alias("consistency_cv"))
 
 
 def cohort_consistency(orders: DataFrame) -> DataFrame:
@@ -236,18 +236,18 @@ def driver_dimension(orders: DataFrame, drivers: DataFrame) -> DataFrame:
     per_driver = driver_months(orders).groupBy("driver_id").agg(
         F.sum("deliveries").alias("total_deliveries"), F.sum("failures").alias("total_failures"),
         F.sum("cents").alias("cents"), F.count("month").alias("months_active"),
-        F.bround(F.round(_variation(F.avg(rate), F.stddev_samp(rate)), 9), 3).alias("consistency_cv"),
+        agg.half_even(F.round(_variation(F.avg(rate), F.stddev_samp(rate)), 9), 3).alias("consistency_cv"),
         *_semester_sums())
     profile = named(_semester_rates(per_driver, 5), drivers).withColumn(
         "hist_failure_rate", F.col("total_failures") / F.col("total_deliveries"))
     placed = export_quadrants(profile).withColumn("g", global_scalar(orders))
     return placed.select(
         "driver_id", "driver_name", "total_deliveries", "total_failures",
-        F.bround("hist_failure_rate", 4).alias("hist_failure_rate"),
-        F.bround(F.col("cents") / 100.0, 4).alias("total_revenue"),
-        F.bround(F.col("cents") / 100.0 / F.col("total_deliveries"), 4).alias("avg_ticket"),
+        agg.half_even("hist_failure_rate", 4).alias("hist_failure_rate"),
+        agg.half_even(F.col("cents") / 100.0, 4).alias("total_revenue"),
+        agg.half_even(F.col("cents") / 100.0 / F.col("total_deliveries"), 4).alias("avg_ticket"),
         "trips", F.col("age").alias("driver_age"), bands.experience_tier(F.col("trips")).alias("exp_tier"),
-        *[F.bround(c, 4).alias(c) for c in ("rate_h1", "rate_h2", "delta_h1_h2")], "improved_h1_h2",
+        *[agg.half_even(c, 4).alias(c) for c in ("rate_h1", "rate_h2", "delta_h1_h2")], "improved_h1_h2",
         "consistency_cv", "months_active", "intervention_quadrant",
-        F.bround(F.col("total_failures") * F.col("g.cost_per_failure"), 4).alias("estimated_failure_cost"),
+        agg.half_even(F.col("total_failures") * F.col("g.cost_per_failure"), 4).alias("estimated_failure_cost"),
         (F.col("hist_failure_rate") > agg.HIGH_RISK_RATE).alias("risk_flag"))

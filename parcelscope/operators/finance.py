@@ -66,10 +66,10 @@ def savings_plan(orders: DataFrame, profile: DataFrame) -> DataFrame:
     rules = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(a).alias("action"), F.lit(t).alias("target"),
                                F.lit(s).cast("double").alias("share"), F.lit(c).alias("category"))
                       for p, a, t, s, c in SAVINGS_RULES])
-    cost = F.bround(F.col("g.failures") * F.col("g.cost_per_failure"), 2)
+    cost = agg.half_even(F.col("g.failures") * F.col("g.cost_per_failure"), 2)
     return figures.select(F.explode(rules).alias("r"), "risk", cost.alias("cost")).select(
         "r.priority", "r.action", "r.target", "r.category",
-        F.bround(F.coalesce(F.col("cost") * F.col("r.share"), F.col("risk")), 2).alias("savings"))
+        agg.half_even(F.coalesce(F.col("cost") * F.col("r.share"), F.col("risk")), 2).alias("savings"))
 
 
 def full_cost(orders: DataFrame, profile: DataFrame) -> DataFrame:

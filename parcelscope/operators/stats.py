@@ -132,10 +132,10 @@ def risk_group_flags(groups: DataFrame) -> DataFrame:
 
 
 def mann_whitney_counts(cells: DataFrame, value: str, first: str) -> DataFrame:
-    """Mann-Whitney on counted rows (value, first, n)."""
+    """Mann-Whitney on counted rows (value, first, n) whose values are flags."""
     counts = cells.groupBy(F.col(value).alias("v")).agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col(first), F.col("n"))), F.lit(0)).alias("n_first"))
-    return _u_from_sums(running_counts(counts, "v"))
+    return _u_from_sums(running_counts(counts, "v", few=True))
 
 
 def risk_group_means(cells: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def grouped_flags(sums: DataFrame, group: str) -> DataFrame:
 
 def kruskal_counts(cells: DataFrame) -> DataFrame:
     """Kruskal-Wallis on counted rows (g, failed, n)."""
-    pooled = running_counts(cells.groupBy(F.col("failed").alias("v")).agg(F.sum("n").alias("n")), "v").select(
+    pooled = running_counts(cells.groupBy(F.col("failed").alias("v")).agg(F.sum("n").alias("n")), "v", few=True).select(
         "v", "n", _centred_rank().alias("rank"))
     per_group = cells.join(pooled.select(F.col("v").alias("failed"), "rank"), "failed").groupBy("g").agg(
         F.sum("n").alias("size"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
@@ -236,4 +236,4 @@ def variance_comparison(orders: DataFrame, customers: DataFrame) -> DataFrame:
         one = table.agg(F.lit(name).alias("dimension"), F.max("rate").alias("maximum"),
                         F.min("rate").alias("minimum"), F.stddev_samp("rate").alias("std"))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("range_pp", F.bround((F.col("maximum") - F.col("minimum")) * 100, 1))
+    return out.withColumn("range_pp", agg.half_even((F.col("maximum") - F.col("minimum")) * 100, 1))

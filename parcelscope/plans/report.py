@@ -56,18 +56,18 @@ def conclusion(categories: DataFrame, variance: DataFrame, model_auc: float) ->
         of("Driver (individual)", "range_pp").alias("driver_range_pp"), of("Age Group", "range_pp").alias("age_range_pp"),
         of("Driver (individual)", "maximum").alias("worst"), of("Driver (individual)", "minimum").alias("best"))).scalar()
     return shares.withColumn("v", ranges).select(
-        F.lit(round(model_auc, 4)).alias("model_auc"), F.bround("driver", 1).alias("driver_shap_pct"),
-        F.bround("client", 1).alias("client_shap_pct"),
-        F.bround(F.try_divide("driver", "client"), 0).alias("driver_vs_client_ratio"),
+        F.lit(round(model_auc, 4)).alias("model_auc"), agg.half_even("driver", 1).alias("driver_shap_pct"),
+        agg.half_even("client", 1).alias("client_shap_pct"),
+        agg.half_even(F.try_divide("driver", "client"), 0).alias("driver_vs_client_ratio"),
         F.col("v.driver_range_pp").alias("driver_range_pp"), F.col("v.age_range_pp").alias("age_range_pp"),
-        F.bround(F.col("v.worst") * 100, 1).alias("worst_driver_rate"),
-        F.bround(F.col("v.best") * 100, 1).alias("best_driver_rate"), F.lit(VERDICT).alias("verdict"))
+        agg.half_even(F.col("v.worst") * 100, 1).alias("worst_driver_rate"),
+        agg.half_even(F.col("v.best") * 100, 1).alias("best_driver_rate"), F.lit(VERDICT).alias("verdict"))
 
 
 def model_document(categories: DataFrame, tests: DataFrame, summary: DataFrame) -> DataFrame:
     """Model results: attribution by category, tests and conclusion as one nested row."""
     shares = categories.select(F.struct((-F.col("pct")).alias("k"), "category").alias("place"), "category",
-                               F.bround("pct", 1).alias("pct"), "level")
+                               agg.half_even("pct", 1).alias("pct"), "level")
     proof = tests.select("dimension", "test", "statistic", "p_value",
                          (F.col("p_value") < 0.05).alias("significant"), "label",
                          F.col("dimension").alias("place"))
@@ -80,7 +80,7 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
                     model_results: DataFrame | None = None) -> DataFrame:
     """The dashboard document: nested KPIs, regions, months, days, periods, tiers, drivers,
     retention and plan in one row. Every nested list is a finished small summary."""
-    r1 = lambda c: F.bround(F.col(c) * 100, 1)
+    r1 = lambda c: agg.half_even(F.col(c) * 100, 1)
     g = kpis.global_scalar(orders)
     profile = cust.customer_profile(orders)
 
@@ -88,19 +88,19 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
         agg.order_count().alias("orders"), agg.revenue().alias("revenue"),
         agg.failure_rate().alias("rate")).withColumn("g", g).select(
         F.struct((-F.col("rate")).alias("k"), "region").alias("place"), "region", "orders",
-        F.bround("revenue", 2).alias("revenue"), r1("rate").alias("failure_rate"),
-        F.bround((F.col("rate") - F.col("g.failure_rate")) * 100, 1).alias("vs_avg_pp"),
+        agg.half_even("revenue", 2).alias("revenue"), r1("rate").alias("failure_rate"),
+        agg.half_even((F.col("rate") - F.col("g.failure_rate")) * 100, 1).alias("vs_avg_pp"),
         bands.status(F.col("rate"), F.col("g.failure_rate")).alias("status"))
     months = kpis.monthly_trend(orders).select(
         F.col("month").alias("place"), "month", F.col("total_orders").alias("orders"),
-        F.bround("total_revenue", 2).alias("revenue"), r1("failure_rate").alias("failure_rate"))
+        agg.half_even("total_revenue", 2).alias("revenue"), r1("failure_rate").alias("failure_rate"))
     days = kpis.by_day(orders).select(F.col("day_ord").alias("place"), F.col("day_of_week").alias("day"),
                                       r1("failure_rate").alias("failure_rate"), "status")
     periods = kpis.period_quality(orders).select(F.col("period_ord").alias("place"), "period",
                                                  r1("failure_rate").alias("failure_rate"))
     tiers = drv.tier_stats_by_driver(orders, drivers).select(
         bands.label_order(F.col("tier"), bands.TIER_LABELS_REPORT).alias("place"), "tier", "drivers",
-        r1("failure_rate").alias("failure_rate"), F.bround("cost", 2).alias("cost"))
+        r1("failure_rate").alias("failure_rate"), agg.half_even("cost", 2).alias("cost"))
     worst = drv.ranked_drivers(orders, drivers, 10).select(
         F.struct((-F.col("failure_rate")).alias("k"), "driver_id").alias("place"), "driver_name",
         r1("failure_rate").alias("failure_rate"), "deliveries",
@@ -111,11 +111,11 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
     base, back, risk = cust.affected_base(profile), cust.return_rates(profile), cust.revenue_at_risk(profile)
     one = lambda df: df.select(F.struct("*")).scalar()
     kpi_row = kpis.executive_kpis(orders).withColumn("g", g).select(
-        "total_orders", F.bround("total_revenue", 2).alias("total_revenue"), F.bround("avg_ticket", 2).alias("avg_ticket"),
+        "total_orders", agg.half_even("total_revenue", 2).alias("total_revenue"), agg.half_even("avg_ticket", 2).alias("avg_ticket"),
         r1("failure_rate").alias("failure_rate_pct"), "total_failures",
-        F.bround(F.col("g.failures") * F.col("g.cost_per_failure"), 2).alias("total_failure_cost"),
+        agg.half_even(F.col("g.failures") * F.col("g.cost_per_failure"), 2).alias("total_failure_cost"),
         "total_drivers", "total_customers", "total_regions",
-        F.bround("g.cost_per_failure", 2).alias("cost_per_failure"))
+        agg.half_even("g.cost_per_failure", 2).alias("cost_per_failure"))
     document = kpi_row.select(F.struct("*").alias("kpis")).withColumns({
         "regions": rows_as_array(regions, "place"), "monthly_trend": rows_as_array(months, "place"),
         "days_of_week": rows_as_array(days, "place"), "periods_of_day": rows_as_array(periods, "place"),
@@ -124,10 +124,10 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
     document = document.withColumn("retention", F.struct(
         F.col("b.total_customers").alias("total_customers"),
         F.col("b.customers_with_failure").alias("customers_with_failure"),
-        F.bround("b.pct_affected", 1).alias("pct_affected"),
-        F.bround("back.return_rate", 1).alias("return_rate_after_failure"),
+        agg.half_even("b.pct_affected", 1).alias("pct_affected"),
+        agg.half_even("back.return_rate", 1).alias("return_rate_after_failure"),
         F.col("risk.churned_customers").alias("churned_customers"),
-        F.bround("risk.revenue_at_risk", 2).alias("revenue_at_risk"))).drop("b", "back", "risk")
+        agg.half_even("risk.revenue_at_risk", 2).alias("revenue_at_risk"))).drop("b", "back", "risk")
     if model_results is not None:
         document = document.withColumn("model", one(model_results))
     return document

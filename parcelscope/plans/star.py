@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import aggregates as agg
 from ..functions import bands, calendar
 from ..functions.cleaning import date_key, date_of, failed, hour_of, money_decimal
 from ..operators import customers as cust
@@ -78,16 +79,16 @@ def global_kpis(orders: DataFrame, customers: DataFrame, drivers: DataFrame) ->
         "total", regions.agg(F.count(F.lit(1))).scalar()).select(F.struct("*")).scalar()
     cost = F.col("failures") * F.col("cost_per_failure")
     return kpis.global_totals(orders).withColumns({"d": of_drivers, "c": of_customers, "r": of_regions}).select(
-        F.col("orders").alias("total_orders"), F.bround(F.col("cents") / 100.0, 2).alias("total_revenue"),
-        F.bround("avg_ticket", 2).alias("avg_ticket"), F.bround("failure_rate", 4).alias("global_failure_rate"),
-        F.col("failures").alias("total_failures"), F.bround(cost, 2).alias("total_failure_cost"),
+        F.col("orders").alias("total_orders"), agg.half_even(F.col("cents") / 100.0, 2).alias("total_revenue"),
+        agg.half_even("avg_ticket", 2).alias("avg_ticket"), agg.half_even("failure_rate", 4).alias("global_failure_rate"),
+        F.col("failures").alias("total_failures"), agg.half_even(cost, 2).alias("total_failure_cost"),
         F.col("d.total").alias("total_drivers"), F.col("c.total").alias("total_customers"),
         F.col("r.total").alias("total_regions"), F.col("r.worst_region").alias("worst_region"),
-        F.bround("r.worst_region_rate", 4).alias("worst_region_rate"), F.col("r.best_region").alias("best_region"),
-        F.bround("r.best_region_rate", 4).alias("best_region_rate"), F.col("d.chronic").alias("chronic_drivers"),
+        agg.half_even("r.worst_region_rate", 4).alias("worst_region_rate"), F.col("r.best_region").alias("best_region"),
+        agg.half_even("r.best_region_rate", 4).alias("best_region_rate"), F.col("d.chronic").alias("chronic_drivers"),
         F.col("d.coaching").alias("coaching_drivers"), F.col("c.had").alias("customers_with_failure"),
-        F.col("c.churned").alias("customer_churn_count"), F.bround("c.risk", 2).alias("revenue_at_risk"),
-        F.bround("cost_per_failure", 2).alias("cost_per_failure"))
+        F.col("c.churned").alias("customer_churn_count"), agg.half_even("c.risk", 2).alias("revenue_at_risk"),
+        agg.half_even("cost_per_failure", 2).alias("cost_per_failure"))
 
 
 def star_tables(t) -> dict[str, DataFrame]:
