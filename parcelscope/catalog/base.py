@@ -127,13 +127,18 @@ f AS (SELECT order_id, CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, date,
 """
 
 
+def six_decimals(column):
+    """Rounds half away from zero by scaling, without a decimal object per value."""
+    return F.signum(column) * F.floor(F.abs(column) * 1e6 + 0.5) / 1e6
+
+
 def presentable(df: DataFrame) -> DataFrame:
     """Doubles with six decimals, decimals as doubles, bytes as ints."""
     out = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (DoubleType, DecimalType)):
-            column = F.round(column.cast("double"), 6).alias(field.name)
+            column = six_decimals(column.cast("double")).alias(field.name)
         elif isinstance(field.dataType, ByteType):
             column = column.cast("int").alias(field.name)
         out.append(column)

@@ -184,14 +184,47 @@ def _(t):
     return report.run_summary(t.orders, t.drivers).drop("pvalue")
 
 
-@query("k3_kpi_document")
+def _read_back(row):
+    """The document's fields as columns again, as a reader of the file would get them."""
+    schema = row.schema
+    return writers.document(row).select(F.from_json("document", schema).alias("d")).select("d.*")
+
+
+@query("k3_kpi_document", GLOBAL_KPI_SQL)
 def _(t):
-    return writers.document(star.global_kpis(t.orders, t.customers, t.drivers))
+    return _read_back(star.global_kpis(t.orders, t.customers, t.drivers))
+
+
+@query("k4_run_document", RUN_SQL)
+def _(t):
+    return _read_back(report.run_summary(t.orders, t.drivers)).drop("pvalue")
+
+
+REPORT_LISTS = """pd AS (SELECT CASE WHEN delivery_hour <= 5 THEN 'Overnight (0-5h)' WHEN delivery_hour <= 11 THEN 'Morning (6-11h)'
+    WHEN delivery_hour <= 17 THEN 'Afternoon (12-17h)' ELSE 'Evening (18-23h)' END AS label, has_missing FROM o),
+    rl AS (SELECT 'region' AS section, region AS label, row_number() OVER (ORDER BY avg(has_missing::INT) DESC, region) - 1 AS pos,
+           avg(has_missing::INT) AS rate FROM o GROUP BY region UNION ALL
+    SELECT 'month', month, row_number() OVER (ORDER BY month) - 1, avg(has_missing::INT) FROM o GROUP BY month UNION ALL
+    SELECT 'day', day_of_week, day_ord - 1, avg(has_missing::INT) FROM o JOIN days USING (day_of_week) GROUP BY day_of_week, day_ord
+    UNION ALL SELECT 'period', label, CASE label[1] WHEN 'O' THEN 0 WHEN 'M' THEN 1 WHEN 'A' THEN 2 ELSE 3 END,
+           avg(has_missing::INT) FROM pd GROUP BY label)
+    SELECT section, label, pos::INT AS pos, round_even(rate * 100, 1) AS failure_rate FROM rl"""
 
 
-@query("k4_run_document")
+@query("k6_report_lists", REPORT_LISTS)
 def _(t):
-    return writers.document(report.run_summary(t.orders, t.drivers))
+    document = writers.document(report.report_document(t.orders, t.customers, t.drivers))
+    item = lambda name: f"array<struct<{name} string, failure_rate double>>"
+    lists = {"region": "regions", "month": "monthly_trend", "day": "days_of_week", "period": "periods_of_day"}
+    schema = ", ".join(f"{field} {item(name)}" for name, field in lists.items())
+    parsed = document.select(F.from_json("document", schema).alias("d"))
+    parts = [parsed.select(F.posexplode(f"d.{field}").alias("pos", "r")).select(
+        F.lit(name).alias("section"), F.col(f"r.{name}").alias("label"), "pos", "r.failure_rate")
+        for name, field in lists.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("k6_report_document")

@@ -398,8 +398,7 @@ def _(t):
 @query("w3_customer_mean_ticket", "SELECT order_id, customer_id, round(sum(amount_cents) OVER (PARTITION BY customer_id) "
        "/ 100.0 / count(*) OVER (PARTITION BY customer_id), 6) AS mean_ticket FROM o")
 def _(t):
-    means = t.orders_without_region.groupBy("customer_id").agg(agg.average_ticket().alias("mean_ticket"))
-    return t.orders_without_region.join(means, "customer_id", "left").select("order_id", "customer_id", "mean_ticket")
+    return kpis.with_customer_mean(t.orders_without_region).select("order_id", "customer_id", "mean_ticket")
 
 
 @query("w3_driver_historic_rate", "SELECT order_id, driver_id, round(failure_rate, 6) AS driver_hist_rate "

@@ -138,7 +138,15 @@ def _(t):
     return named.groupBy("part", "has_missing").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("l3_standardised")
+# A feature without any spread is 0 everywhere.
+_Z = ", ".join(f"round(coalesce(({f} - avg({f}) OVER ()) / nullif(stddev_samp({f}) OVER (), 0), 0), 6) AS {f}_z"
+               for f in clusters.DRIVER_FEATURES)
+
+
+@query("l3_standardised", f"""df AS (SELECT driver_id, count(*) AS total_deliveries, avg(has_missing::INT) AS missing_rate,
+    sum(amount_cents) / 100.0 / count(*) AS avg_order_value, count(DISTINCT region) AS region_diversity,
+    avg(items_delivered) AS avg_items FROM o WHERE driver_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
+    SELECT driver_id, {_Z} FROM df""")
 def _(t):
     rows = clusters.driver_features(t.orders)
     return models.standardised(rows, clusters.DRIVER_FEATURES).select(

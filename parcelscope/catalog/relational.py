@@ -67,10 +67,9 @@ def _(t):
 @query("j9_first_failure_orders", "SELECT order_id, customer_id, date, first_failure, date > first_failure AS is_post "
        "FROM o JOIN ca USING (customer_id) WHERE first_failure IS NOT NULL")
 def _(t):
-    # The customers' dates are one row per key; an oversized key is split by Spark at run time.
     first = cust.customer_profile(t.orders_without_region).where("first_failure IS NOT NULL").select(
         "customer_id", "first_failure")
-    return t.orders_without_region.join(first, "customer_id").select(
+    return joins.join_per_key(t.orders_without_region, first, "customer_id", "inner").select(
         "order_id", "customer_id", "date", "first_failure", (F.col("date") > F.col("first_failure")).alias("is_post"))
 
 

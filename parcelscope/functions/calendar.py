@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cleaning import date_key, day_name, year_month
-
-# fixed values: day order of every weekly report
-DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+from .cleaning import DAYS, date_key, day_name, year_month
 
 
 def days_spine(span: DataFrame, start: str = "first_day", end: str = "last_day") -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# The functions run in Python workers travel with the job; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from ..functions import bands
 from ..session import fresh_path
 from .features import FEATURE_CATEGORIES, FEATURES
 
+# The functions run in Python workers travel with the job; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def forest_nodes(spark: SparkSession, model: PipelineModel) -> pd.DataFrame:
     """All nodes of the forest. Their number is bounded by trees x 2^(depth + 1), whatever the data."""
@@ -59,30 +63,28 @@ def leaf_rules(nodes: pd.DataFrame) -> list[tuple]:
 
 
 def leaf_table(reach: np.ndarray, value: float) -> np.ndarray:
-    """Attribution of each feature of a leaf for every met/unmet pattern: array (2^d, d)."""
+    """Attribution of each feature of a leaf for every met/unmet pattern: array (2^d, d).
+
+    The Shapley weight of k met features out of d - 1 is the integral of t^k (1 - t)^(d - 1 - k)
+    over 0..1, so the sum over feature sets is the integral of a product. That is a polynomial of
+    degree d - 1, which a Gauss rule with d / 2 points integrates exactly.
+    """
     d = len(reach)
-    met = (np.arange(2 ** d)[:, None] >> np.arange(d)) & 1
-    out = np.zeros((2 ** d, d))
-    for i in range(d):
-        # Coefficient k sums, over sets of k other features, the weight of rows reaching the leaf.
-        poly = np.zeros((2 ** d, d))
-        poly[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                poly[:, 1:] = poly[:, 1:] * reach[j] + poly[:, :-1] * met[:, [j]]
-                poly[:, 0] *= reach[j]
-        weights = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-        out[:, i] = (met[:, i] - reach[i]) * value * (poly @ weights)
-    return out
-
-
-def _attribute(rules: list[tuple], tables: list[np.ndarray], x: np.ndarray, trees: int) -> np.ndarray:
+    met = ((np.arange(2 ** d)[:, None] >> np.arange(d)) & 1).astype(float)
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t = (points + 1) / 2
+    factors = t[:, None, None] * met + (1 - t)[:, None, None] * reach
+    others = factors.prod(axis=2, keepdims=True) / factors
+    return (met - reach) * value * np.tensordot(weights / 2, others, 1)
+
+
+def _attribute(rules: list[tuple], x: np.ndarray, trees: int) -> np.ndarray:
     phi = np.zeros_like(x)
-    for (features, lows, highs, _, _), table in zip(rules, tables):
+    for features, lows, highs, reach, value in rules:
         if len(features):
             values = x[:, features]
             pattern = ((values > lows) & (values <= highs)) @ (1 << np.arange(len(features)))
-            phi[:, features] += table[pattern]
+            phi[:, features] += leaf_table(reach, value)[pattern]
     return phi / trees
 
 
@@ -97,9 +99,8 @@ def attributions(spark: SparkSession, model: PipelineModel, rows: DataFrame,
     names = list(features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [leaf_table(reach, value) for _, _, _, reach, value in shared.value]
         for batch in batches:
-            phi = _attribute(shared.value, tables, batch[names].to_numpy(dtype=float), trees)
+            phi = _attribute(shared.value, batch[names].to_numpy(dtype=float), trees)
             out = pd.DataFrame(phi, columns=names)
             out.insert(0, "order_id", batch["order_id"].to_numpy())
             out.insert(1, "base_value", base)

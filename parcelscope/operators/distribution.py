@@ -23,14 +23,24 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _limits_below(value: Column, limits: Column, first: int, last: int) -> Column:
+    """How many of the sorted limits lie below the value, by halving the range."""
+    if first == last:
+        return F.lit(first)
+    middle = (first + last) // 2
+    return F.when(value > F.get(limits, F.lit(middle)), _limits_below(value, limits, middle + 1, last)).otherwise(
+        _limits_below(value, limits, first, middle))
+
+
 def with_value_chunk(df: DataFrame, value: str, weight: str | None = None, name: str = "chunk",
                      chunks: int = CHUNKS) -> DataFrame:
     """Adds the number of the ordered chunk that holds a numeric value."""
     # Naming the weight keeps this branch's columns equal to the main one, so its shuffle is reused.
     source = F.when(F.col(weight) >= 0, F.col(value)) if weight else F.col(value)
     limits = df.agg(F.percentile_approx(source, [i / chunks for i in range(1, chunks)], 1000)).scalar()
-    below = F.size(F.filter("chunk_limits", lambda limit: limit < F.col(value)))
-    return df.withColumn("chunk_limits", limits).withColumn(name, below).drop("chunk_limits")
+    # Plain comparisons: a lambda over the limits would hide the value from Spark's filter inference.
+    chunk = _limits_below(F.col(value), F.col("chunk_limits"), 0, chunks - 1)
+    return df.withColumn("chunk_limits", limits).withColumn(name, chunk).drop("chunk_limits")
 
 
 def running_totals(df: DataFrame, weights: Sequence[str], order: Sequence[str], chunk: Sequence[str],

@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 from ..functions import bands
 from ..functions.cleaning import monday_flag, weekend_flag
 from .distribution import running_totals, with_value_chunk
-from .joins import join_dimension
+from .joins import join_dimension, join_per_key
 from .kpis import global_scalar
 from .ranking import dense_rank_labels
 
@@ -57,7 +57,7 @@ def with_historic_rate(orders: DataFrame, name: str = "driver_hist_rate") -> Dat
     """Adds each driver's rate over all of its orders, the order itself included."""
     rates = orders.where(F.col("driver_id").isNotNull()).groupBy("driver_id").agg(
         F.avg(F.col("has_missing").cast("int")).alias(name))
-    return orders.join(rates, "driver_id", "left")
+    return join_per_key(orders, rates, "driver_id")
 
 
 def feature_table(orders: DataFrame, customers: DataFrame) -> DataFrame:

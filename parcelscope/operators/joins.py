@@ -42,16 +42,41 @@ def attach_region_id(orders: DataFrame, regions: DataFrame) -> DataFrame:
     return join_dimension(orders, regions.withColumnRenamed("region_name", "region"), "region", "inner")
 
 
-def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi")
+def hot_keys(fact: DataFrame, key: str, parts: int = 200) -> Column:
+    """Keys that hold more than 1/parts of the rows, so fewer than `parts` of them, as an array."""
+    counts = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("total", total).where(F.col("n") * parts > F.col("total")).agg(
+        F.collect_list(key)).scalar()
 
 
-def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key), key, "left_anti")
+def join_per_key(fact: DataFrame, per_key: DataFrame, key: str, how: str = "left", row_id: str = "order_id",
+                 spread: int = 64) -> DataFrame:
+    """Joins rows to a table with one row per key, when one key may hold a large part of the rows.
+
+    Rows of hot keys, and rows without a key, are spread over several join keys by a hash of their
+    id; only the few hot keys are repeated on the other side. Every other key joins as usual.
+    """
+    slot = F.pmod(F.xxhash64(F.col(row_id)), F.lit(spread)).cast("int")
+    hot = hot_keys(fact, key)
+    rows = fact.withColumn("_hot", hot).withColumn("_slot", F.when(
+        F.col(key).isNull() | F.array_contains("_hot", F.col(key)), slot).otherwise(F.lit(0))).drop("_hot")
+    slots = F.when(F.array_contains("_hot", F.col(key)), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(
+        F.array(F.lit(0)))
+    copies = per_key.withColumn("_hot", hot).withColumn("_slot", F.explode(slots)).drop("_hot")
+    return rows.join(copies, [key, "_slot"], how).drop("_slot")
+
+
+def semi(df: DataFrame, ids: DataFrame, key: str, row_id: str = "order_id") -> DataFrame:
+    return join_per_key(df, ids.select(key).distinct(), key, "left_semi", row_id)
+
+
+def anti(df: DataFrame, ids: DataFrame, key: str, row_id: str = "order_id") -> DataFrame:
+    return join_per_key(df, ids.select(key).distinct(), key, "left_anti", row_id)
 
 
 def member_flag(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
-    """True for rows whose key is in the id list."""
+    """True for rows whose key is in the id list. For tables with one row per key."""
     listed = ids.select(key).distinct().withColumn(name, F.lit(True))
     return df.join(listed, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions import bands, calendar
+from .joins import join_per_key
 
 
 def global_totals(orders: DataFrame, cost_rate: float = agg.REDELIVERY_COST_RATE) -> DataFrame:
@@ -161,6 +162,12 @@ def extremes(summary: DataFrame, label: str, metric: str) -> DataFrame:
         F.col(f"b.{label}").alias(f"best_{label}"), F.col(f"b.{metric}").alias(f"best_{label}_rate"))
 
 
+def with_customer_mean(orders: DataFrame, name: str = "mean_ticket") -> DataFrame:
+    """Adds the customer's mean ticket to each order."""
+    means = keyed(orders, "customer_id").groupBy("customer_id").agg(agg.average_ticket().alias(name))
+    return join_per_key(orders, means, "customer_id")
+
+
 def amounts_by(orders: DataFrame, *keys: str) -> DataFrame:
     return keyed(orders, *keys).groupBy(*keys).agg(agg.order_count().alias("orders"),
                                                   agg.failure_rate().alias("failure_rate"))

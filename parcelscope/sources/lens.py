@@ -14,7 +14,7 @@ LINE_BASE = 100_000_000
 
 
 def _discount_points() -> Column:
-    return F.round(F.col("l_discount") * 100).cast("int")
+    return F.rint(F.col("l_discount") * 100).cast("int")
 
 
 def _first_driver() -> Column:
@@ -44,12 +44,11 @@ class Deliveries:
         The three possible thresholds are counted side by side, so the driver does not have
         to be known before the missing lines are counted.
         """
-        returned = F.col("l_returnflag") == "R"
-        points = _discount_points()
+        points = F.when(F.col("l_returnflag") == "R", _discount_points())
         per_order = self.table("lineitem").groupBy("l_orderkey").agg(
             _first_driver().alias("driver_id"),
             F.count(F.lit(1)).alias("lines"),
-            *[F.count_if(returned & (points >= k)).alias(f"from_{k}") for k in (6, 9, 10)])
+            *[F.count_if(points >= k).alias(f"from_{k}") for k in (6, 9, 10)])
         driver = F.col("driver_id")
         missing = (F.when(driver % 5 == 0, F.col("from_6")).when(driver % 5 == 1, F.col("from_9"))
                    .otherwise(F.col("from_10")))

@@ -99,6 +99,60 @@ def test_semi_anti_flag_lookup(spark):
     assert column(o.select(joins.lookup(F.col("region"), {"North": 7}).alias("x")).limit(1), "x") == [7]
 
 
+@pytest.fixture()
+def many_partitions(spark):
+    """Shuffle layout as on a cluster: many partitions that are neither merged nor replaced by a broadcast."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false",
+             "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _hot_orders(spark):
+    """A third of the orders belong to one driver and one customer, a third have no driver."""
+    base = spark.range(9000)
+    third = F.col("id") % 3
+    return base.select(
+        F.col("id").alias("order_id"), F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("date"),
+        F.lit(1000).cast("bigint").alias("amount_cents"), F.lit(10.0).alias("order_amount"), F.lit("North").alias("region"),
+        F.lit(1).alias("items_delivered"), (F.col("id") % 7 == 0).cast("int").alias("items_missing"),
+        F.lit(9).alias("delivery_hour"), (F.col("id") % 7 == 0).alias("has_missing"),
+        F.when(third == 0, 1).when(third == 1, 2 + F.col("id") % 500).cast("bigint").alias("driver_id"),
+        F.when(third == 0, 1).otherwise(2 + F.col("id") % 900).cast("bigint").alias("customer_id"))
+
+
+def _largest_part(df):
+    # The hash needs every column, so no join can be left out as unused.
+    parts = df.select(F.spark_partition_id().alias("p"), F.xxhash64("*").alias("h")).groupBy("p")
+    sizes = column(parts.agg(F.count(F.lit(1)).alias("n"), F.max("h")), "n")
+    return max(sizes) / sum(sizes)
+
+
+def test_hot_keys_are_spread_over_tasks(spark, many_partitions):
+    o = _hot_orders(spark)
+    rated = features.prior_failure_rate(o)
+    assert rated.count() == 9000 and _largest_part(rated) < 0.15
+    joined = features.with_historic_rate(o)
+    assert joined.count() == 9000 and _largest_part(joined) < 0.15
+    means = kpis.with_customer_mean(o)
+    assert means.count() == 9000 and _largest_part(means) < 0.15
+    plain = o.join(o.groupBy("driver_id").agg(F.count("order_id").alias("n")), "driver_id", "left")
+    assert _largest_part(plain) > 0.3
+
+
+def test_join_per_key_equals_plain_join(spark):
+    o = _hot_orders(spark)
+    per_key = o.where("driver_id % 5 <> 0").groupBy("driver_id").agg(F.count("order_id").alias("n"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        plain = o.join(per_key, "driver_id", how).select("order_id", *(["n"] if how in ("left", "inner") else []))
+        got = joins.join_per_key(o, per_key, "driver_id", how).select(*plain.columns)
+        assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0, how
+
+
 def test_quality_checks(spark):
     o = orders(spark, [{"order_id": 1}, {"order_id": 1, "driver_id": 5}, {"order_id": 2, "driver_id": None}])
     assert column(quality.repeated_keys(o, ["order_id"]), "order_id", "copies") == [(1, 2)]
