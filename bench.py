@@ -1,7 +1,7 @@
 """Times the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once untimed, then BENCH_REPEATS (1) times; its figure is the median. Results are
-computed in full and thrown away by the no-op sink.
+All queries run once untimed, then BENCH_REPEATS (1) more times; a query's figure is its median.
+Results are computed in full and thrown away by the no-op sink.
 """
 
 from __future__ import annotations
@@ -39,10 +39,9 @@ def main() -> None:
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
     for name in HEADLINE:
         run(name)
-        seconds[name] = round(statistics.median(run(name) for _ in range(repeats)), 3)
+    seconds = {name: round(statistics.median(run(name) for _ in range(repeats)), 3) for name in HEADLINE}
     print(json.dumps({"metric": "headline queries, total of medians", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/"))}))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import attribution, clusters, features, kpis, models, stats
 from ..operators import customers as cust
 from ..plans import report
+from ..session import written
 from ..sources import writers
 from .base import query
 from .kpis import VARIANCE_SQL
@@ -88,6 +89,23 @@ def _(t):
     return stats.paired_t(cust.spend_by_phase(t.orders_without_region), "pre_failure", "post_failure")
 
 
+# The same tests with their p-values.
+
+@query("x1_correlation_p")
+def _(t):
+    return stats.with_t_p(stats.correlation(t.orders_without_region, "items_delivered", "items_missing"), 2)
+
+
+@query("x2_order_frequency_p")
+def _(t):
+    return stats.with_mann_whitney_p(stats.frequency_test(t.orders_without_region), "two-sided")
+
+
+@query("x5_paired_t_p")
+def _(t):
+    return stats.with_t_p(stats.paired_t(cust.spend_by_phase(t.orders_without_region), "pre_failure", "post_failure"), 1)
+
+
 @query("x6_test_table")
 def _(t):
     return stats.test_table(t.orders, t.customers)
@@ -120,10 +138,7 @@ def _(t):
 
 def _split(t):
     """Features are written once to the shared folder, so training does not rebuild them."""
-    from ..session import fresh_path
-    path = fresh_path(t.spark, "features")
-    features.feature_table(t.orders, t.customers).write.parquet(path)
-    return features.split_rows(t.spark.read.parquet(path))
+    return features.split_rows(written(features.feature_table(t.orders, t.customers), "features"))
 
 
 def _forest(t):
@@ -160,10 +175,7 @@ def _(t):
 
 
 def _risk_model(t):
-    from ..session import fresh_path
-    path = fresh_path(t.spark, "risk")
-    features.risk_features(t.orders).write.parquet(path)
-    rows = t.spark.read.parquet(path)
+    rows = written(features.risk_features(t.orders), "risk")
     return models.fit_logistic(rows, models.RISK_FEATURES, standardise=False), rows
 
 

@@ -12,6 +12,7 @@ from ..operators import customers as cust
 from ..operators import drivers as drv
 from ..operators import finance, joins, kpis, products, quality
 from ..operators.kpis import global_scalar
+from ..session import written
 
 
 def fact_orders(orders: DataFrame) -> DataFrame:
@@ -92,15 +93,19 @@ def global_kpis(orders: DataFrame, customers: DataFrame, drivers: DataFrame) ->
 
 
 def star_tables(t) -> dict[str, DataFrame]:
-    """The thirteen exported tables by name. `t` holds orders, customers, drivers, products, order_items."""
-    dim_drivers = drv.driver_dimension(t.orders, t.drivers)
-    dim_customers = cust.customer_dimension(t.orders, t.customers)
+    """The thirteen exported tables by name. `t` holds orders, customers, drivers, products, order_items.
+
+    Orders and the two large dimensions feed many of the tables, so each is computed once and stored.
+    """
+    orders = written(t.orders, "orders")
+    dim_drivers = written(drv.driver_dimension(orders, t.drivers), "dim_drivers")
+    dim_customers = written(cust.customer_dimension(orders, t.customers), "dim_customers")
     return {
-        "fct_orders": fact_orders(t.orders), "dim_date": dim_date(t.orders), "dim_drivers": dim_drivers,
-        "dim_customers": dim_customers, "dim_regions": kpis.region_dimension_kpis(t.orders),
+        "fct_orders": fact_orders(orders), "dim_date": dim_date(orders), "dim_drivers": dim_drivers,
+        "dim_customers": dim_customers, "dim_regions": kpis.region_dimension_kpis(orders),
         "dim_products": products.product_dimension(t.order_items, t.products),
-        "agg_monthly_kpis": kpis.monthly_kpis(t.orders), "agg_hour_day_heatmap": kpis.hour_day(t.orders),
-        "agg_region_day": kpis.region_day(t.orders), "agg_driver_monthly": drv.driver_monthly(t.orders, t.drivers),
+        "agg_monthly_kpis": kpis.monthly_kpis(orders), "agg_hour_day_heatmap": kpis.hour_day(orders),
+        "agg_region_day": kpis.region_day(orders), "agg_driver_monthly": drv.driver_monthly(orders, t.drivers),
         "agg_financial_impact": finance.impact_by_quadrant(dim_drivers),
         "agg_top_products": products.top_products_table(t.order_items, t.products),
         "agg_retention_summary": cust.retention_summary(dim_customers),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -18,6 +18,21 @@ SETTINGS = {
 }
 
 
+def sized_for(input_bytes: int, shuffled_share: float = 0.1) -> dict[str, str]:
+    """Partition settings for a cluster run over `input_bytes`.
+
+    Aggregations here shuffle a small share of what they read. Partitions start at about 128 MB of
+    that share, and Spark merges those that turn out smaller. Scan tasks grow with the input, so the
+    scheduler is not flooded with small ones.
+    """
+    mib = 1 << 20
+    partitions = max(200, min(50_000, round(input_bytes * shuffled_share / (128 * mib))))
+    scan = 128 if input_bytes < (10 << 40) else 512
+    return {"spark.sql.shuffle.partitions": str(partitions),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * mib),
+            "spark.sql.files.maxPartitionBytes": str(scan * mib)}
+
+
 def get_session(app: str = "parcelscope", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -40,3 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run writes to."""
     return f"{shared_dir(spark).rstrip('/')}/parcelscope/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, for results that are used many times."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

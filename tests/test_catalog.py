@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelscope import catalog
 from parcelscope.operators import joins, kpis, stats
 from parcelscope.plans import report, star
+from parcelscope.session import sized_for
 from parcelscope.sources import readers, schemas, writers
 from parcelscope.sources.lens import Deliveries
 
@@ -110,6 +111,13 @@ def test_missing_document_is_an_error(spark, tmp_path):
         readers.read_document(spark, f"{tmp_path}/none", "a int")
 
 
+def test_partition_settings_grow_with_the_input():
+    small, large = sized_for(1 << 30), sized_for(100 << 40)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert 10_000 < int(large["spark.sql.shuffle.partitions"]) <= 50_000
+    assert int(large["spark.sql.files.maxPartitionBytes"]) > int(small["spark.sql.files.maxPartitionBytes"])
+
+
 # ---- plan shapes
 
 def plan(df):
