@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import with_order_flags
+from ..operators.joins import join_per_key
 
 LINE_BASE = 100_000_000
 
@@ -120,7 +121,7 @@ class Deliveries:
         lines = self.table("lineitem")
         drivers = lines.groupBy("l_orderkey").agg(_first_driver().alias("driver_id"))
         returned = lines.where((F.col("l_returnflag") == "R") & (_discount_points() >= 6))
-        missing = returned.join(drivers, "l_orderkey").where(
+        missing = join_per_key(returned, drivers, "l_orderkey", "inner", row_id="l_partkey").where(
             _discount_points() >= _threshold(F.col("driver_id")))
         place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
         first = missing.withColumn("position", F.row_number().over(place)).where("position <= 3")
