@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets
+from . import bpe, chat, packing, secrets
 from .common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+    return rows.withColumnRenamed("key", "doc_id")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scanned(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -33,9 +40,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.PATTERN)
+    return pieces.withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op7_chat_format": op7_chat_format,
+    "op8_packing": op8_packing,
 }
 
 ORACLE: dict[str, str] = {
