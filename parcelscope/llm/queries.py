@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, secrets
+from . import bpe, chat, packing, secrets, simhash
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("key").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scanned(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -48,6 +53,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
