@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, secrets, simhash
+from . import bpe, chat, crf, packing, secrets, simhash
 from .common import table
 
 
@@ -51,12 +51,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("key", "doc_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = crf.trained(docs, table(spark, sf_dir, "labels"))
+    return crf.scored(docs, field).select(
+        F.col("key").alias("doc_id"), F.coalesce(crf.held_out("key"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
