@@ -19,9 +19,11 @@ from .common import text_of
 NEVER = 1 << 62
 #: A space that the next match may not begin with: such texts are split by the pattern as a whole.
 UNSAFE_SPACE = re.compile(r" (?:\s|\Z)")
-#: Chunks kept per worker and generation; two generations live at a time.
-CACHE_CHUNKS = 400_000
+#: Words kept per worker and generation; two generations live at a time.
+CACHE_WORDS = 400_000
 CACHED_LENGTH = 24
+#: ASCII characters that are neither letters, digits nor white space, and begin no match that holds letters.
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Vocabulary:
@@ -94,47 +96,56 @@ def merged(data: bytes, vocabulary: Vocabulary) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-class Chunks(dict):
-    """What `make` gives for a chunk, remembered for two generations of CACHE_CHUNKS short chunks."""
+class Remembered(dict):
+    """What `make` gives for a text, kept for two generations of CACHE_WORDS short texts that `keeps` accepts."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], keeps: Callable[[str], bool]) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.keeps, self.older = make, keeps, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.older.get(chunk)
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.get(text)
         if value is None:
-            value = self.make(chunk)
-        if len(chunk) <= CACHED_LENGTH and "\n" not in chunk:
-            if len(self) >= CACHE_CHUNKS:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = value
+            value = self.make(text)
+            if len(text) > CACHED_LENGTH or not self.keeps(text):
+                return value
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[text] = value
         return value
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    A space that precedes a non-space always starts a match, so texts are cut there and each chunk is
-    encoded by itself: frequent chunks come from a cache, others are split by the pattern, and frequent
-    matches come from a cache of their own.
+    A space that precedes a non-space always starts a match, so texts are cut there. Most of the chunks
+    are a word, or a word and symbols after it, and need no pattern: words come from a cache, and so
+    do the matches of the other chunks.
     """
 
     def __init__(self, match_ids: Callable[[str], bytes], pattern: str) -> None:
         self.split = regex.compile(pattern).findall
-        self.matches = Chunks(match_ids)
-        self.first = Chunks(self._chunk)
-        self.spaced = Chunks(lambda chunk: self._chunk(" " + chunk))
+        self.match_ids = match_ids
+        self.matches = Remembered(match_ids, lambda match: not match.isalpha())
+        self.spaced = Remembered(self._spaced, str.isalpha)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.split(chunk)))
 
+    def _spaced(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.match_ids(" " + chunk)
+        word = chunk.rstrip(SYMBOLS)
+        if word.isalpha():
+            return self.spaced[word] + self.matches[chunk[len(word):]]
+        return self._chunk(" " + chunk)
+
     def __call__(self, text: str) -> bytes:
         if UNSAFE_SPACE.search(text):
             return self._chunk(text)
         first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return self._chunk(first) + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _ENCODERS: dict[tuple[str, str], tuple[Vocabulary, Encoder]] = {}

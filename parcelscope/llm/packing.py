@@ -18,17 +18,33 @@ from .common import stored, text_of
 PIECES = ("key {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded_length long")
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], tuple[Encoder, str]] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """Ids by the tokenizers library, one encoder per worker process; strings of special tokens are ordinary text."""
+def byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def encoder(path: str, pattern: str) -> tuple[Encoder, str]:
+    """Ids by the tokenizers library, and the smallest integer type that holds them; one per worker process.
+
+    The pattern's matches go to the library's model one by one, so strings of special tokens are
+    ordinary text.
+    """
     if (path, pattern) not in _ENCODERS:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[path, pattern] = Encoder(
-            lambda match: array("I", tokenizer.encode(match, add_special_tokens=False).ids).tobytes(), pattern)
+        model, names = tokenizer.model, byte_names()
+
+        def match_ids(match: str) -> bytes:
+            data = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(names)
+            return array("I", [token.id for token in model.tokenize(data)]).tobytes()
+
+        kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        _ENCODERS[path, pattern] = Encoder(match_ids, pattern), kind
     return _ENCODERS[path, pattern]
 
 
@@ -41,14 +57,14 @@ def streams(docs: DataFrame, path: str, pattern: str, key: str, text: str, end_i
     ending = end_id.to_bytes(4, "little")
 
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = encoder(path, pattern), TaskContext.get().partitionId(), 0
+        (encode, kind), part, at = encoder(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [encode(t.as_py()) + ending for t in batch.column(1)]
             counts = np.array([len(i) // 4 for i in ids], np.int64)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
             # Two bytes an id where that is enough: the stored table is the largest this operator writes.
-            small = [np.frombuffer(i, "<u4").astype("<u2").tobytes() if max(array("I", i)) < 65536 else i for i in ids]
+            small = [np.frombuffer(i, "<u4").astype(kind).tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(starts), pa.array(counts),
                  pa.array(small, pa.binary())], ["key", "part", "start", "n", "ids"])

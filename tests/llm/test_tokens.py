@@ -45,12 +45,23 @@ def test_segment_tree_on_long_matches(library):
         assert bpe.merged(word.encode(), vocabulary) == library.encode_ordinary(word)
 
 
-def test_cache_generations():
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 100)
     made = []
-    chunks = bpe.Chunks(lambda c: made.append(c) or c.encode())
-    for n in range(bpe.CACHE_CHUNKS + 10):
-        chunks[str(n)]
-    assert chunks["3"] == b"3" and len(made) == bpe.CACHE_CHUNKS + 10 and len(chunks) <= bpe.CACHE_CHUNKS
+    words = bpe.Remembered(lambda w: made.append(w) or w.encode(), lambda w: w != "7")
+    for n in [*range(150), 60, 7, 7, 60]:
+        assert words[str(n)] == str(n).encode() and len(words) <= 100
+    assert len(made) == 152
+
+
+def test_each_code_point_as_both_libraries_take_it():
+    tokenizer = Tokenizer.from_file(JSON)
+    own, packs = bpe.encoder(PATH, P.PATTERN)[1], packing.encoder(JSON, P.PATTERN)[0]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 37 == 0)]
+    texts = [f"a{c} b{c}!{c} {c}x {c}" for c in points]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert list(array("I", packs(text))) == want.ids, repr(text)
+        assert list(array("I", own(text))) == reference().encode_ordinary(text), repr(text)
 
 
 def frame(spark, texts):
