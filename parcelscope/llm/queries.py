@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, html_tree, packing, secrets, simhash, suffix
+from . import bpe, chat, crf, hnsw, html_tree, packing, secrets, simhash, suffix
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hnsw.linked(table(spark, sf_dir, "embeddings"), least=0.93)
+    return rows.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.deduplicated(table(spark, sf_dir, "documents"))
     return rows.select(F.col("key").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
@@ -73,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
+    "op3_near_vectors": op3_near_vectors,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
