@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, hnsw, html_tree, packing, secrets, simhash, suffix
+from . import bpe, chat, crf, hnsw, html_tree, nn_descent, packing, secrets, simhash, suffix
 from .common import table
 
 
@@ -67,6 +67,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("key", "doc_id")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nn_descent.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), count=20)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = crf.trained(docs, table(spark, sf_dir, "labels"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
+    "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
 }
 

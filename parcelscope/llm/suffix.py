@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import dropped, stored, text_of
 
@@ -207,16 +206,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """key, content and the compressed text, for a shuffle."""
-    kind = dict(docs.dtypes)["key"]
+    """`docs` with the text compressed into blob, for a shuffle; other columns as they are."""
+    place = docs.columns.index("text")
+    fields = [StructField("blob", BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            blobs = pa.array([tool.compress(t) for t in _texts(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs], ["key", "content", "blob"])
+            blobs = pa.array([tool.compress(t) for t in _texts(batch.column(place))], pa.binary())
+            columns = [blobs if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return docs.select("key", "content", "text").mapInArrow(small, f"key {kind}, content long, blob binary")
+    return docs.mapInArrow(small, StructType(fields))
 
 
 def _snippets(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def _snippets(docs: DataFrame, runs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["key"]
     of_text = runs.groupBy("key", "content").agg(F.collect_list(F.struct(
         "core", "runs", "anchor", "lo", "hi", "n", "size")).alias("list")).withColumnsRenamed({"key": "k", "content": "c"})
-    joined = _packed(docs).dropDuplicates(["key", "content"]).join(
+    joined = _packed(docs.select("key", "content", "text")).dropDuplicates(["key", "content"]).join(
         of_text, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c"))).select("key", "content", "blob", "list")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +298,6 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     return copied.union(near).union(far)
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    return rows.select("key", F.xxhash64("text").alias("content"), "text")
-
-
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the bytes that the spans cover."""
     order = np.argsort(starts, kind="stable")
@@ -311,37 +307,61 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], reach[np.concatenate((first[1:] - 1, [len(starts) - 1]))]
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
-    """One row per input row: key, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
+def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], decoded: bool = False) -> DataFrame:
+    """key, rest (struct of the named columns), missing (the text was null), n_bytes, n_removed, n_spans, kept.
 
-    A byte goes if a string of `length` bytes that holds it also starts anywhere else, in the same text
-    or another; all occurrences go, as judged on the input. Null texts are empty; texts shorter than
-    `length` keep every byte. Rows are told apart by key and text: repeated rows are repeats of each
-    other, and null keys are kept. No rows give no rows.
+    kept is binary, or text if `decoded`, then without the bytes left over from characters that were cut.
     """
-    rows = identified(docs, key, text)
-    kind = dict(rows.dtypes)["key"]
-    spans = stored(repeated_spans(rows, length).groupBy("key", "content").agg(
+    others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("content"), text_of(text).alias("text"),
+                       F.col(text).isNull().alias("missing"), others)
+    spans = stored(repeated_spans(rows.select("key", "content", "text"), length).groupBy("key", "content").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")).withColumnsRenamed(
         {"key": "k", "content": "c"}), "spans")
     joined = _packed(rows).join(spans, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c")), "left").select(
-        "key", "blob", "starts", "stops")
+        "blob", "starts", "stops", "key", "rest", "missing")
+    schema = StructType([*joined.schema.fields[3:], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
+                         StructField("kept", StringType() if decoded else BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for blob, starts, stops in zip(*(batch.column(i) for i in (1, 2, 3))):
-                text = tool.decompress(blob.as_py())
+            for blob, starts, stops in zip(*batch.columns[:3]):
+                whole = tool.decompress(blob.as_py())
                 if not starts.is_valid:
-                    out.append((len(text), 0, 0, text))
+                    out.append((len(whole), 0, 0, whole))
                     continue
                 a, b = merged(starts.values.to_numpy(), stops.values.to_numpy())
-                kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)]))
-                out.append((len(text), len(text) - len(kept), len(a), kept))
+                kept = b"".join(whole[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(whole)]))
+                out.append((len(whole), len(whole) - len(kept), len(a), kept))
             columns = list(zip(*out)) or [()] * 4
+            kept = pa.array([k.decode("utf-8", "ignore") for k in columns[3]] if decoded else columns[3],
+                            pa.string() if decoded else pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
-                ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+                [*batch.columns[3:], *(pa.array(c, pa.int64()) for c in columns[:3]), kept], schema.names)
+
+    return joined.mapInArrow(cut, schema)
+
 
-    return joined.mapInArrow(cut, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+    """One row per input row: key, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
+
+    A byte goes if a string of `length` bytes that holds it also starts anywhere else, in the same text
+    or another; all occurrences go, as judged on the input. Null texts are empty; texts shorter than
+    `length` keep every byte. Rows are told apart by key and text: repeated rows are repeats of each
+    other, and null keys are kept. No rows give no rows.
+    """
+    return _cut(docs, key, text, length, []).select("key", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
+              n_chars: str = "n_chars") -> DataFrame:
+    """The rows and columns of `docs` without the repeated bytes in `text`, and with `n_chars`, if it is a column, to match.
+
+    Of a character that loses some of its bytes the others go too. A null text stays null.
+    """
+    rest = [c for c in docs.columns if c != text]
+    rows = _cut(docs, key, text, length, rest, decoded=True).withColumn("_text", F.when(~F.col("missing"), F.col("kept")))
+    own = {text: F.col("_text"), n_chars: F.char_length(F.coalesce("_text", F.lit(""))).cast("long")}
+    return rows.select(*((own[c] if c in own else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

@@ -85,6 +85,17 @@ def test_edge_cases(spark, monkeypatch):
     assert suffix.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_rewritten_keeps_rows_and_columns(spark):
+    texts = [None, "keep", "\ufffd" + "é" * 30, "é" * 30, "x" + "é" * 30 + "y"]
+    docs = spark.createDataFrame([(i if i else None, t, "k", 9, "r") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, kept string, n_chars long, `odd name.` string")
+    out = suffix.rewritten(docs, length=41)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[None].text, got[1].text) == (None, "keep") and got[1].n_chars == 4 and got[None].n_chars == 0
+    assert (got[2].text, got[3].text, got[4].text) == ("\ufffd", "", "xy") and got[4].kept == "k" and got[4][4] == "r"
+
+
 def test_query_on_whole_table(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = dict(zip(texts, plain(texts.values(), 400)))

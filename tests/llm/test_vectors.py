@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from parcelscope.llm import graphs, hnsw, queries
+from parcelscope.llm import graphs, hnsw, nn_descent, queries
 
 
 def cloud(seed, groups, spread=0.02, noise=600, dim=24):
@@ -79,3 +79,58 @@ def test_link_query_on_whole_table(spark, sf):
     assert len(got) == len(rows)
     for i, r in enumerate(rows):
         assert (got[r.vec_id].n_links, got[r.vec_id].component_id) == (links[i], rows[component[i]].vec_id)
+
+
+def plain_nearest(ids, values, asked, count):
+    products = values.astype(np.float64) @ values.astype(np.float64).T
+    out = {}
+    for i in asked:
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-products[i, j], ids[j]))[:count]
+        out[ids[i]] = [(ids[j], products[i, j]) for j in order]
+    return out
+
+
+@pytest.mark.parametrize("rows", [32_768, 250])
+def test_nearest_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(nn_descent, "SHARD_ROWS", rows)
+    draw = np.random.default_rng(5)
+    values = (draw.normal(size=(900, 16)) * draw.uniform(0.2, 3, size=(900, 1))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(values)], "vec_id long, embedding array<float>, score int")
+    asked = list(range(0, 900, 20))
+    want = plain_nearest(list(range(900)), values, asked, 20)
+    got = {}
+    for r in nn_descent.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert got.keys() == want.keys()
+    hits = 0
+    for key, found in got.items():
+        found.sort(key=lambda r: r.rank)
+        assert [r.rank for r in found] == list(range(1, 21)) and key not in [r.vec_id for r in found]
+        assert all((a.score, -a.vec_id) > (b.score, -b.vec_id) for a, b in zip(found, found[1:]))
+        for r in found:
+            assert np.isclose(r.score, values[key].astype(float) @ values[r.vec_id].astype(float), rtol=1e-12)
+        hits += len({r.vec_id for r in found} & {v for v, _ in want[key]})
+    assert hits / (20 * len(want)) >= 0.95
+
+
+def test_nearest_edge_cases(spark):
+    rows = [(0, [1.0, 0.0], "c"), (1, [0.5, 0.0], "c"), (2, [0.5, 0.0], "c"), (2, [0.5, 0.0], "c"), (3, None, "c"), (4, [0.0, 0.0], "c"),
+            (5, [float("nan"), 1.0], "c"), (None, [9.0, 9.0], "c"), (6, [1.0, 2.0, 3.0], "c"), (7, [-1.0, 0.0], "c"), (20, [2.0, 1.0], "c")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    got = [tuple(r) for r in nn_descent.nearest(frame, frame.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 20, 2.0), (0, 2, 1, 0.5), (0, 3, 2, 0.5), (0, 4, 7, -1.0),
+                   (20, 1, 0, 2.0), (20, 2, 1, 1.0), (20, 3, 2, 1.0), (20, 4, 7, -2.0)]
+    assert nn_descent.nearest(frame.limit(0), frame).count() == 0
+    assert nn_descent.nearest(frame, frame.limit(0)).count() == 0
+
+
+def test_nearest_query_on_whole_table(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    values = np.array([r.embedding for r in rows], np.float32)
+    want = plain_nearest([r.vec_id for r in rows], values, [i for i, r in enumerate(rows) if r.vec_id % 20 == 0], 20)
+    got = {}
+    for r in queries.op9_nearest(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert sum(len(got[k] & {v for v, _ in want[k]}) for k in want) >= 0.9 * 20 * len(want)
