@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 
 # The delivery tables over the supplied ones, in SQL.
 LENS = """
-ld AS (SELECT l_orderkey, min(l_linenumber::BIGINT * 100000000 + l_suppkey) % 100000000 AS driver_id
+ld AS (SELECT l_orderkey, arg_min(l_suppkey, {'line': l_linenumber, 'supplier': l_suppkey}) AS driver_id
        FROM lineitem GROUP BY l_orderkey),
 lm AS (SELECT l.*, ld.driver_id,
               l_returnflag = 'R' AND CAST(round(l_discount * 100) AS INT) >=
@@ -128,8 +128,13 @@ f AS (SELECT order_id, CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, date,
 
 
 def six_decimals(column):
-    """Rounds half away from zero by scaling, without a decimal object per value."""
-    return F.signum(column) * F.floor(F.abs(column) * 1e6 + 0.5) / 1e6
+    """Rounds half away from zero by scaling, without a decimal object per value.
+
+    From 2^43 on a double has less than three binary places, and rounding changes nothing; floor() of the
+    scaled value would not fit a bigint there. NaN and infinity stay as they are.
+    """
+    scaled = F.signum(column) * F.floor(F.abs(column) * 1e6 + 0.5) / 1e6
+    return F.when(F.abs(column) < float(1 << 43), scaled).otherwise(column)
 
 
 def presentable(df: DataFrame) -> DataFrame:

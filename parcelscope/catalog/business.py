@@ -156,10 +156,10 @@ def _(t):
     return report.region_detail(t.orders)
 
 
-@query("d18_region_day_hour", """SELECT day_of_week, delivery_hour, count(*) AS orders,
-    round(avg(has_missing::INT), 6) AS failure_rate FROM o WHERE region = 'ASIA' GROUP BY 1, 2""")
+@query("d18_region_day_hour", """SELECT region, day_of_week, delivery_hour, count(*) AS orders,
+    round(avg(has_missing::INT), 6) AS failure_rate FROM o GROUP BY ALL""")
 def _(t):
-    return kpis.region_day_hour(t.orders).where(F.col("region") == "ASIA").drop("region")
+    return kpis.region_day_hour(t.orders)
 
 
 RUN_SQL = """rr AS (SELECT region, avg(has_missing::INT) AS rate FROM o GROUP BY 1),
@@ -240,10 +240,10 @@ def _pick(t, *names):
     return measures.measure(star.fact_orders(t.orders), {n: table[n] for n in names})
 
 
-@query("e1_totals", "SELECT count(*) AS total_orders, round(sum(order_amount), 4) AS total_revenue, "
-       "round(avg(order_amount), 6) AS avg_ticket FROM f")
+@query("e1_totals", "SELECT count(*) AS total_orders, round(sum(round(order_amount * 100)::BIGINT) / 100.0, 6) AS total_revenue, "
+       "round(sum(round(order_amount * 100)::BIGINT) / 100.0 / count(*), 6) AS avg_ticket FROM f")
 def _(t):
-    return _pick(t, "total_orders", "total_revenue", "avg_ticket").withColumn("total_revenue", F.round("total_revenue", 4))
+    return _pick(t, "total_orders", "total_revenue", "avg_ticket")
 
 
 @query("e2_failure_rate", "SELECT round(avg(has_missing_int), 6) AS failure_rate FROM f")
@@ -251,9 +251,9 @@ def _(t):
     return _pick(t, "failure_rate")
 
 
-@query("e3_failure_cost", "SELECT round(sum(failure_cost), 3) AS total_failure_cost FROM f")
+@query("e3_failure_cost", "SELECT round(count(*) FILTER (has_missing) * max(failure_cost), 6) AS total_failure_cost FROM f")
 def _(t):
-    return _pick(t, "total_failure_cost").select(F.round("total_failure_cost", 3).alias("total_failure_cost"))
+    return _pick(t, "total_failure_cost")
 
 
 @query("e4_rate_vs_target", "SELECT round(avg(has_missing_int) - 0.15, 6) AS failure_rate_vs_global FROM f")
@@ -274,20 +274,19 @@ def _(t):
                             measures.customer_measures()).withColumn("revenue_at_risk", F.round("revenue_at_risk", 4))
 
 
-@query("e7_projected_savings", "SELECT round(sum(failure_cost) * 0.30, 3) AS projected_savings FROM f")
+@query("e7_projected_savings", "SELECT round(count(*) FILTER (has_missing) * max(failure_cost) * 0.30, 6) AS projected_savings FROM f")
 def _(t):
-    return _pick(t, "projected_savings").select(F.round("projected_savings", 3).alias("projected_savings"))
+    return _pick(t, "projected_savings")
 
 
-@query("e8_sliced_measures", f"SELECT region, semester, count(*) AS total_orders, round(sum(order_amount), 4) AS total_revenue, "
-       "round(avg(has_missing_int), 6) AS failure_rate, round(sum(failure_cost), 3) AS total_failure_cost FROM f "
+@query("e8_sliced_measures", f"SELECT region, semester, count(*) AS total_orders, round(sum(round(order_amount * 100)::BIGINT) / 100.0, 6) AS total_revenue, "
+       "round(avg(has_missing_int), 6) AS failure_rate, round(count(*) FILTER (has_missing) * max(failure_cost), 6) AS total_failure_cost FROM f "
        "WHERE day_of_week IN ('Monday', 'Tuesday') AND amount_tier IS NOT NULL GROUP BY 1, 2")
 def _(t):
     table = measures.fact_measures()
     picked = {n: table[n] for n in ("total_orders", "total_revenue", "failure_rate", "total_failure_cost")}
     return measures.measure(star.fact_orders(t.orders), picked, ["region", "semester"],
-                            F.col("day_of_week").isin("Monday", "Tuesday") & F.col("amount_tier").isNotNull()).withColumns(
-        {"total_revenue": F.round("total_revenue", 4), "total_failure_cost": F.round("total_failure_cost", 3)})
+                            F.col("day_of_week").isin("Monday", "Tuesday") & F.col("amount_tier").isNotNull())
 
 
 @query("e9_day_average_of_regions", """SELECT day_of_week, round(avg(rate), 6) AS failure_rate, day_ord FROM

@@ -13,9 +13,6 @@ from .base import query
 from .kpis import VARIANCE_SQL
 from .relational import PHASES
 
-# Trees of the registered forests; the operators default to 300.
-TREES = 20
-
 
 @query("x1_correlation", """cr AS (SELECT count(*) AS n, corr(items_delivered, items_missing) AS r FROM o)
     SELECT n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM cr""")
@@ -141,14 +138,17 @@ def _split(t):
     return features.split_rows(written(features.feature_table(t.orders, t.customers), "features"))
 
 
-def _forest(t):
+def _forest(t, trees=300):
     train, test = _split(t)
-    return models.fit_forest(train, trees=TREES), train, test
+    return models.fit_forest(train, trees=trees), train, test
 
 
-@query("l2_split")
+@query("l2_split", """sd AS (SELECT has_missing, CAST(('0x' || substr(md5(order_id::VARCHAR), 1, 13))::BIGINT AS DOUBLE) AS draw FROM o),
+    sc AS (SELECT has_missing, quantile_cont(draw, 0.2) AS cut FROM sd GROUP BY 1)
+    SELECT CASE WHEN draw <= cut THEN 'test' ELSE 'train' END AS part, has_missing, count(*) AS orders
+    FROM sd JOIN sc USING (has_missing) GROUP BY 1, 2""")
 def _(t):
-    train, test = features.split_rows(t.orders_without_region)
+    train, test = features.split_rows(t.orders_without_region, label="has_missing")
     named = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return named.groupBy("part", "has_missing").agg(F.count(F.lit(1)).alias("orders"))
 
@@ -193,7 +193,7 @@ def _(t):
 
 @query("l7_importances")
 def _(t):
-    model, _train, _test = _forest(t)
+    model, _train, _test = _forest(t, trees=200)
     return models.importances(t.spark, model)
 
 
@@ -207,7 +207,7 @@ def _(t):
 def _(t):
     train, test = _split(t)
     curves = [models.roc_curve(models.scored(model, test)).withColumn("model", F.lit(name)) for name, model in
-              (("logistic", models.fit_logistic(train)), ("forest", models.fit_forest(train, trees=TREES)))]
+              (("logistic", models.fit_logistic(train)), ("forest", models.fit_forest(train)))]
     return curves[0].unionByName(curves[1])
 
 
@@ -243,9 +243,9 @@ def _(t):
 
 @query("l13_risk_scores")
 def _(t):
-    model, rows = _risk_model(t)
+    model, _rows = _risk_model(t)
     base = kpis.global_scalar(t.orders_without_region)
-    return models.risk_scores(model, rows, base["failure_rate"]).select(
+    return models.risk_scores(model, features.raw_risk_rows(t.orders, t.orders), base["failure_rate"]).select(
         "order_id", "probability", "risk_label", "delta_pp", F.inline("contributions"))
 
 
@@ -299,5 +299,5 @@ def _(t):
 
 @query("l21_top_factors")
 def _(t):
-    model, _train, _test = _forest(t)
+    model, _train, _test = _forest(t, trees=200)
     return models.top_factors(models.importances(t.spark, model))

@@ -62,15 +62,15 @@ def leaf_rules(nodes: pd.DataFrame) -> list[tuple]:
     return rules
 
 
-def leaf_table(reach: np.ndarray, value: float) -> np.ndarray:
-    """Attribution of each feature of a leaf for every met/unmet pattern: array (2^d, d).
+def leaf_table(reach: np.ndarray, value: float, patterns: np.ndarray) -> np.ndarray:
+    """Attribution of each feature of a leaf for the given met/unmet patterns: array (patterns, d).
 
     The Shapley weight of k met features out of d - 1 is the integral of t^k (1 - t)^(d - 1 - k)
     over 0..1, so the sum over feature sets is the integral of a product. That is a polynomial of
     degree d - 1, which a Gauss rule with d / 2 points integrates exactly.
     """
     d = len(reach)
-    met = ((np.arange(2 ** d)[:, None] >> np.arange(d)) & 1).astype(float)
+    met = ((patterns[:, None] >> np.arange(d)) & 1).astype(float)
     points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
     t = (points + 1) / 2
     factors = t[:, None, None] * met + (1 - t)[:, None, None] * reach
@@ -84,7 +84,8 @@ def _attribute(rules: list[tuple], x: np.ndarray, trees: int) -> np.ndarray:
         if len(features):
             values = x[:, features]
             pattern = ((values > lows) & (values <= highs)) @ (1 << np.arange(len(features)))
-            phi[:, features] += leaf_table(reach, value)[pattern]
+            seen, place = np.unique(pattern, return_inverse=True)
+            phi[:, features] += leaf_table(reach, value, seen)[place]
     return phi / trees
 
 

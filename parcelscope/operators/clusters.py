@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
-from .joins import join_dimension
 from .kpis import keyed
 from .models import scaler
 
 DRIVER_FEATURES = ["missing_rate", "total_deliveries", "avg_order_value", "region_diversity", "avg_items"]
 CUSTOMER_FEATURES = ["total_orders", "total_spent", "avg_order_value", "missing_rate", "customer_age"]
 
+#: Starts per model, of which the best is kept, and rounds of one start at most.
+STARTS, ITERATIONS = 10, 300
+
 # fixed values: segment labels in rank order
 DRIVER_PROFILES = ["Low Risk", "Medium Risk", "High Risk"]
 CUSTOMER_SEGMENTS = ["VIP", "Regular High", "Regular Low", "Occasional"]
@@ -44,9 +46,18 @@ def customer_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def fit_clusters(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> PipelineModel:
-    return Pipeline(stages=[*scaler(features), KMeans(k=k, seed=seed, featuresCol="features",
-                                                     predictionCol="cluster", maxIter=50)]).fit(
-        df.na.fill(0, list(features)))
+    scaling = Pipeline(stages=scaler(features)).fit(df.na.fill(0, list(features)))
+    scaled = scaling.transform(df.na.fill(0, list(features))).select("features").persist()
+    model = best_of_starts(scaled, k, seed)
+    scaled.unpersist()
+    return PipelineModel([*scaling.stages, model])
+
+
+def best_of_starts(scaled: DataFrame, k: int, seed: int, starts: int = STARTS) -> KMeansModel:
+    """The model of the lowest within-cluster squared distance among several starts."""
+    found = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=ITERATIONS).fit(scaled)
+             for i in range(starts)]
+    return min(found, key=lambda model: model.summary.trainingCost)
 
 
 def assigned(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -57,8 +68,7 @@ def elbow(spark: SparkSession, df: DataFrame, features: Sequence[str], ks=range(
     """Within-cluster squared distance for each number of clusters; the scaled rows are prepared once."""
     scaled = Pipeline(stages=scaler(features)).fit(df.na.fill(0, list(features))).transform(
         df.na.fill(0, list(features))).select("features").persist()
-    rows = [(k, float(KMeans(k=k, seed=seed, featuresCol="features", maxIter=50).fit(scaled).summary.trainingCost))
-            for k in ks]
+    rows = [(k, float(best_of_starts(scaled, k, seed).summary.trainingCost)) for k in ks]
     scaled.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double")
 
@@ -100,7 +110,7 @@ def cluster_distribution(clustered: DataFrame) -> DataFrame:
 def profile_impact(orders: DataFrame, clustered: DataFrame,
                    cost: float = agg.FLAT_COST_PER_FAILURE) -> DataFrame:
     """Failures and flat cost per risk profile; orders are added up per driver before the join."""
-    profiles = join_dimension(clustered, driver_clusters(clustered).select("cluster", "profile"), "cluster")
+    profiles = clustered.join(driver_clusters(clustered).select("cluster", "profile"), "cluster", "left")
     sums = keyed(orders, "driver_id").groupBy("driver_id").agg(
         agg.order_count().alias("orders"), agg.failure_count().alias("failures"), F.sum("amount_cents").alias("cents"))
     impact = sums.join(profiles.select("driver_id", "profile"), "driver_id").groupBy("profile").agg(

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS = 64
+#: Fewest and most ordered chunks that values are cut into; between them the session's shuffle partitions decide.
+CHUNKS, MOST_CHUNKS = 64, 512
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,11 +34,14 @@ def _limits_below(value: Column, limits: Column, first: int, last: int) -> Colum
 
 
 def with_value_chunk(df: DataFrame, value: str, weight: str | None = None, name: str = "chunk",
-                     chunks: int = CHUNKS) -> DataFrame:
-    """Adds the number of the ordered chunk that holds a numeric value."""
+                     chunks: int | None = None) -> DataFrame:
+    """Adds the number of the ordered chunk that holds a numeric value; as many chunks as shuffle partitions, within limits."""
+    if chunks is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = max(CHUNKS, min(MOST_CHUNKS, partitions))
     # Naming the weight keeps this branch's columns equal to the main one, so its shuffle is reused.
     source = F.when(F.col(weight) >= 0, F.col(value)) if weight else F.col(value)
-    limits = df.agg(F.percentile_approx(source, [i / chunks for i in range(1, chunks)], 1000)).scalar()
+    limits = df.agg(F.percentile_approx(source, [i / chunks for i in range(1, chunks)], 10 * MOST_CHUNKS)).scalar()
     # Plain comparisons: a lambda over the limits would hide the value from Spark's filter inference.
     chunk = _limits_below(F.col(value), F.col("chunk_limits"), 0, chunks - 1)
     return df.withColumn("chunk_limits", limits).withColumn(name, chunk).drop("chunk_limits")

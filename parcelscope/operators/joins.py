@@ -2,26 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, key: str | Sequence[str], how: str = "left",
-                   max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Joins a derived dimension that is expected to be small.
-
-    Its rows are counted up to the limit first. Within the limit it is broadcast, which keeps the
-    fact rows in place. Beyond it the join is left to Spark, which shuffles both sides and splits
-    oversized partitions at run time.
-    """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(dim) if small else dim, key, how)
-
-
 def build_master(orders: DataFrame, customers: DataFrame, drivers: DataFrame) -> DataFrame:
     """Orders with the attributes of their customer and driver; no order is dropped.
 
@@ -38,8 +21,8 @@ def region_dimension(orders: DataFrame) -> DataFrame:
 
 
 def attach_region_id(orders: DataFrame, regions: DataFrame) -> DataFrame:
-    """Keeps only orders whose region is known."""
-    return join_dimension(orders, regions.withColumnRenamed("region_name", "region"), "region", "inner")
+    """Keeps only orders whose region is known. How the join runs is decided by Spark from the sizes it meets."""
+    return orders.join(regions.withColumnRenamed("region_name", "region"), "region")
 
 
 def hot_keys(fact: DataFrame, key: str, parts: int = 200) -> Column:

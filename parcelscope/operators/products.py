@@ -21,7 +21,9 @@ def items_by_category(order_items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def counts_by(order_items: DataFrame, products: DataFrame, *names: str) -> DataFrame:
-    return counted(order_items, products).groupBy(*names).agg(F.sum("order_count").alias("order_count"))
+    """Lines per combination of product attributes; products that lack one of them are left out."""
+    return counted(order_items, products).na.drop(subset=list(names)).groupBy(*names).agg(
+        F.sum("order_count").alias("order_count"))
 
 
 def top_by_name(order_items: DataFrame, products: DataFrame, *names: str, k: int = 10) -> DataFrame:
@@ -29,8 +31,8 @@ def top_by_name(order_items: DataFrame, products: DataFrame, *names: str, k: int
 
 
 def top_products_table(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Products with at least one line and the revenue at list price."""
-    return counted(order_items, products).select(
+    """Products with at least one line and the revenue at list price; incomplete products are left out."""
+    return counted(order_items, products).na.drop(subset=["product_name", "category", "price"]).select(
         "product_id", "product_name", "category", "price", "order_count",
         (F.col("order_count") * F.col("price")).alias("revenue_generated"))
 

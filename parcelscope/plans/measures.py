@@ -17,10 +17,12 @@ def failure_rate_measure() -> Column:
 
 
 def fact_measures(target: float = agg.TARGET_FAILURE_RATE, savings: float = agg.SAVINGS_SHARE) -> dict[str, Column]:
-    cost = F.sum("failure_cost")
+    """Money is summed in whole cents, and costs as failures times the cost of one, so no total depends on the order of rows."""
+    cents = F.sum(F.round(F.col("order_amount") * 100).cast("bigint"))
+    cost = F.count_if(F.col("has_missing")) * F.coalesce(F.max(F.when(F.col("has_missing"), F.col("failure_cost"))), F.lit(0.0))
     return {
-        "total_orders": F.count(F.lit(1)), "total_revenue": F.sum("order_amount"),
-        "avg_ticket": F.avg("order_amount"), "failure_rate": failure_rate_measure(),
+        "total_orders": F.count(F.lit(1)), "total_revenue": cents / 100.0,
+        "avg_ticket": F.try_divide(cents / 100.0, F.count("order_amount")), "failure_rate": failure_rate_measure(),
         "total_failure_cost": cost, "failure_rate_vs_global": failure_rate_measure() - target,
         "projected_savings": cost * savings}
 

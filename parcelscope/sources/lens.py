@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import with_order_flags
 from ..operators.joins import join_per_key
 
-LINE_BASE = 100_000_000
+#: Supplier ids lie below 2^40 and line numbers below 2^23, so that a line number and an id fit one bigint.
+SUPPLIER_BITS = 40
 
 
 def _discount_points() -> Column:
@@ -19,8 +20,13 @@ def _discount_points() -> Column:
 
 
 def _first_driver() -> Column:
-    line = F.col("l_linenumber").cast("bigint") * LINE_BASE + F.col("l_suppkey")
-    return F.min(line) % LINE_BASE
+    """Supplier of the first line. One bigint per line keeps the aggregation free of structs."""
+    line, supplier = F.col("l_linenumber").cast("bigint"), F.col("l_suppkey").cast("bigint")
+    packed = F.shiftleft(line, SUPPLIER_BITS) + supplier
+    fits = supplier.between(0, (1 << SUPPLIER_BITS) - 1) & line.between(0, (1 << 63 - SUPPLIER_BITS) - 1)
+    outside = F.raise_error(F.lit("a line number or supplier id is too large")).cast("bigint")
+    checked = F.when(fits | supplier.isNull() | line.isNull(), packed).otherwise(outside)
+    return F.min(checked).bitwiseAND(F.lit((1 << SUPPLIER_BITS) - 1))
 
 
 def _threshold(driver: Column) -> Column:

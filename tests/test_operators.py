@@ -11,7 +11,9 @@ from parcelscope.functions import bands
 from parcelscope.operators import customers as cust
 from parcelscope.operators import distribution, features, finance, joins, kpis, products, quality, ranking, reshape, stats
 from parcelscope.operators import drivers as drv
+from parcelscope.catalog import base
 from parcelscope.plans import measures
+from parcelscope.sources.lens import Deliveries
 
 from helpers import by_key, column, customers, drivers, orders
 
@@ -80,14 +82,14 @@ def test_region_join_drops_unknown_regions(spark):
     assert sorted(column(joins.attach_region_id(o, regions), "order_id")) == [1, 3]
 
 
-def test_large_dimension_is_not_broadcast(spark):
-    o = orders(spark, [{}, {"driver_id": 2}])
-    dim = drivers(spark, [(1, 10), (2, 20), (3, 30)])
-    joined = joins.join_dimension(o, dim, "driver_id", max_rows=2)
-    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
-    hinted = joins.join_dimension(o, dim, "driver_id")
-    assert "ResolvedHint" in hinted._jdf.queryExecution().analyzed().toString()
-    assert sorted(column(joined, "trips")) == sorted(column(hinted, "trips")) == [10, 20]
+def test_no_job_runs_while_a_plan_is_built(spark):
+    o, dims = orders(spark, [{}, {"driver_id": 2}]), customers(spark, [(1, 30)])
+    spark.sparkContext.setJobGroup("building", "")
+    for plan in (joins.attach_region_id(o, joins.region_dimension(o)), features.label_codes(o, "region", "c"),
+                 features.feature_table(o, dims), features.risk_features(o)):
+        assert "ResolvedHint" not in plan._jdf.queryExecution().analyzed().toString()
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_semi_anti_flag_lookup(spark):
@@ -455,17 +457,82 @@ def test_prior_rate_with_text_ids(spark):
     assert got == {"A1": 0.5, "A2": 1.0}
 
 
+def test_prior_rate_with_text_ids_and_a_third_without_driver(spark):
+    """Text keys, one hot driver, and a third of all orders without a driver, all on one day."""
+    rng = random.Random(8)
+    rows = [{"order_id": i, "driver_id": None if n % 3 == 0 else 1, "items_missing": int(rng.random() < 0.3)}
+            for n, i in enumerate(rng.sample(range(100_000, 999_999), 3000))]
+    o = orders(spark, rows).withColumn("order_id", F.concat(F.lit("ORDER-2023-"), F.col("order_id").cast("string")))
+    overall = sum(r["items_missing"] for r in rows) / len(rows)
+    past, want = [], {}
+    for r in sorted(rows, key=lambda r: r["order_id"]):
+        key = f"ORDER-2023-{r['order_id']}"
+        want[key] = sum(past) / len(past) if past and r["driver_id"] else overall
+        if r["driver_id"]:
+            past.append(r["items_missing"])
+    assert by_key(features.prior_failure_rate(o), "order_id", "driver_fail_rate") == pytest.approx(want)
+    chunks = distribution.with_value_chunk(o.withColumn("p", features.text_place(o, "order_id")), "p").groupBy("chunk").count()
+    assert chunks.agg(F.max("count")).collect()[0][0] < 200
+
+
+def test_prior_rate_puts_missing_dates_last(spark):
+    rows = [{"order_id": 1, "date": None, "items_missing": 1}, {"order_id": 2, "date": "2023-01-02", "items_missing": 1},
+            {"order_id": 3, "date": "2023-01-03"}]
+    got = by_key(features.prior_failure_rate(orders(spark, rows)), "order_id", "driver_fail_rate")
+    assert got == {2: pytest.approx(2 / 3), 3: 1.0, 1: 0.5}
+
+
+def test_what_if_rows_of_unknown_drivers_get_the_overall_rate(spark):
+    history = orders(spark, [{"items_missing": 1}, {}, {"driver_id": 2}, {"driver_id": None, "region": "South"}])
+    rows = features.raw_risk_rows(orders(spark, [{"driver_id": 1}, {"driver_id": 77}, {"driver_id": None, "region": "South"}]), history)
+    assert by_key(rows, "order_id", "driver_hist_rate") == {1: 0.5, 2: 0.25, 3: 0.25}
+    assert by_key(rows, "order_id", "region_enc") == {1: 0, 2: 0, 3: 1}
+    assert features.risk_features(history).count() == 4
+
+
+def test_products_without_a_name_or_category_are_no_group(spark):
+    items = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4)], "order_id int, product_id int")
+    table = spark.createDataFrame([(1, "A", "x", 1.0), (2, None, "x", 1.0), (3, "C", None, 1.0), (4, "D", "y", None)],
+                                  "product_id int, product_name string, category string, price double")
+    assert by_key(products.counts_by(items, table, "product_name"), "product_name", "order_count") == {"A": 1, "C": 1, "D": 1}
+    assert by_key(products.counts_by(items, table, "category"), "category", "order_count") == {"x": 2, "y": 1}
+    assert column(products.top_products_table(items, table), "product_id") == [1]
+
+
 def test_label_codes_and_split(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "order_id int, region string")
     assert by_key(features.label_codes(df, "region", "c"), "order_id", "c") == {1: 1, 2: 0, 3: None}
-    ids = spark.range(5000).withColumnRenamed("id", "order_id")
+    ids = spark.range(5003).select(F.col("id").alias("order_id"), (F.col("id") % 7 == 0).cast("int").alias("label"))
     train, test = features.split_rows(ids)
-    assert train.count() + test.count() == 5000 and 0.17 < test.count() / 5000 < 0.23
-    assert train.join(test, "order_id").count() == 0
+    assert train.columns == test.columns == ids.columns and train.join(test, "order_id").count() == 0
+    for label, size in by_key(ids.groupBy("label").count(), "label", "count").items():
+        assert abs(test.where(F.col("label") == label).count() - size / 5) <= 1
+    assert train.count() + test.count() == 5003
 
 
 # ---- report measures
 
+def test_six_decimals_at_any_size(spark):
+    values = [0.1234565, -0.1234565, 2.5, 1.4e13, -1.4e13, 1e18, 9.1e12, 123456789.1234567, float("inf"), float("-inf"), 0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = column(df.select(base.six_decimals(F.col("v")).alias("r")), "r")
+    assert got == [0.123457, -0.123457, 2.5, 1.4e13, -1.4e13, 1e18, 9.1e12, 123456789.123457, float("inf"), float("-inf"), 0.0, None]
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(base.six_decimals(F.col("v")).alias("r"))
+    assert str(column(nan, "r")[0]) == "nan"
+
+
+def test_first_driver_with_large_ids(spark, tmp_path):
+    rows = [(1, 1, 5_000_000_007), (1, 2, 5), (2, 3, 100_000_000), (2, 2, 1_099_511_627_775), (3, 1, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint").select(
+        "*", F.lit("N").alias("l_returnflag"), F.lit(0.1).alias("l_discount"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = by_key(Deliveries(spark, str(tmp_path)).order_lines, "order_id", "driver_id")
+    assert got == {1: 5_000_000_007, 2: 1_099_511_627_775, 3: None}
+    lines.withColumn("l_suppkey", F.lit(1 << 40)).write.parquet(f"{tmp_path}/b/lineitem.parquet")
+    with pytest.raises(Exception, match="too large"):
+        Deliveries(spark, f"{tmp_path}/b").order_lines.collect()
+
+
 def test_measure_of_nothing_is_zero(spark):
     o = orders(spark, [{}]).withColumn("failure_cost", F.lit(0.0))
     r = measures.measure(o, measures.fact_measures(), where=F.lit(False)).collect()[0]
