@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from .common import dropped, stored, text_of
 
 #: Bytes whose windows are looked at together; longer texts are cut into stretches that overlap by a window.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Runs of one anchor that a task compares at a time; beyond it their windows are counted by Spark.
 TOGETHER = 4096
 
@@ -221,11 +221,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _snippets(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The bytes of each run: core, runs, key, content, anchor, lo, hi, n, snippet. `length` is in the runs' stop."""
+    """The bytes of each run: core, runs, key, content, anchor, lo, hi, n, snippet."""
     kind = dict(docs.dtypes)["key"]
     of_text = runs.groupBy("key", "content").agg(F.collect_list(F.struct(
         "core", "runs", "anchor", "lo", "hi", "n", "size")).alias("list")).withColumnsRenamed({"key": "k", "content": "c"})
-    joined = _packed(docs.select("key", "content", "text")).dropDuplicates(["key", "content"]).join(
+    # Rows of equal key and text give their runs twice; these are known to be repeated already (n > 1).
+    joined = _packed(docs.select("key", "content", "text")).join(
         of_text, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c"))).select("key", "content", "blob", "list")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
