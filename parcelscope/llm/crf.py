@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import sliced, text_of
 
 #: Labelled documents that the field is trained on at most, those of the smallest hash; and lines in one of them at most.
 TRAINING_DOCUMENTS = 6000
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str
     field every score is 0.5. Rows with a null key and repeated rows are kept; no rows give no rows.
     """
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             found = [line_features(t.as_py()) for t in batch.column(1)]
             values = np.full(len(found), 0.5)
             if field is not None and found:
@@ -251,7 +251,7 @@ def accepted(docs: DataFrame, field: Field | None, key: str = "doc_id", text: st
     place = docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             found = [line_features(t.as_py() or "") for t in batch.column(place)]
             if field is None or not found:
                 yield batch

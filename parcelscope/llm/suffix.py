@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import dropped, stored, text_of
+from .common import dropped, sliced, stored, text_of
 
 #: Bytes whose windows are looked at together; longer texts are cut into stretches that overlap by a window.
 STRETCH = 1 << 18
@@ -132,7 +132,7 @@ def sparse_ranks(docs: DataFrame, length: int) -> DataFrame:
     kind = dict(docs.dtypes)["key"]
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for place, anchor, lo, hi, core, f1, f2 in runs_of(_texts(batch.column(2)), length, length // 4):
                 rows = pa.array(place)
                 yield pa.RecordBatch.from_arrays(
@@ -212,7 +212,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in sliced(batches):
             blobs = pa.array([tool.compress(t) for t in _texts(batch.column(place))], pa.binary())
             columns = [blobs if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
@@ -231,7 +231,7 @@ def _snippets(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             counts = np.diff(batch.column(3).offsets.to_numpy())
             flat = batch.column(3).flatten()
             fields = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
@@ -326,7 +326,7 @@ def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], dec
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for blob, starts, stops in zip(*batch.columns[:3]):
                 whole = tool.decompress(blob.as_py())
