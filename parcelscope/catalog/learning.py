@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, clusters, features, kpis, models, stats
@@ -20,16 +22,45 @@ def _(t):
     return stats.correlation(t.orders_without_region, "items_delivered", "items_missing")
 
 
-def _u_sql(source, value, first):
+def _u_tables(source, value, first):
     """Ranks from a sort of all rows, independent of the counted form used in Spark."""
     return f"""rk AS (SELECT {value} AS v, {first} AS f, rank() OVER (ORDER BY {value}) AS lo,
            count(*) OVER (PARTITION BY {value}) AS t FROM {source}),
     us AS (SELECT count(*) FILTER (WHERE f)::DOUBLE AS n1, count(*) FILTER (WHERE NOT f)::DOUBLE AS n2,
            sum(lo + (t - 1) / 2.0) FILTER (WHERE f) - n1 * (n1 + 1) / 2 AS u1, sum(t::DOUBLE * t - 1) AS ties FROM rk),
-    uz AS (SELECT *, n1 * n2 - u1 AS u2, n1 * n2 / 2 AS mu,
-           sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM us)
-    SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u1, 6) AS u1, round(u2, 6) AS u2,
-           round((greatest(u1, u2) - mu - 0.5) / sd, 6) AS z_two_sided, round((u1 - mu - 0.5) / sd, 6) AS z_greater FROM uz"""
+    ux AS (SELECT *, n1 * n2 - u1 AS u2, n1 * n2 / 2 AS mu,
+           sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM us),
+    uz AS (SELECT *, (greatest(u1, u2) - mu - 0.5) / sd AS z2, (u1 - mu - 0.5) / sd AS zg FROM ux)"""
+
+
+_U_COLUMNS = ("n1::BIGINT AS n1, n2::BIGINT AS n2, round(u1, 6) AS u1, round(u2, 6) AS u2, round(z2, 6) AS z_two_sided, "
+              "round(zg, 6) AS z_greater")
+
+# Tail areas by Simpson's rule over s = 0..1, where x = the limit + s / (1 - s).
+_STEPS = "ig AS (SELECT i / 4000.0 AS s, CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 4000) r(i))"
+
+
+def _area(density, limit):
+    return (f"(SELECT sum(w * ({density}) / ((1 - s) * (1 - s))) / 12000.0 FROM "
+            f"(SELECT w, s, {limit} + s / (1 - s) AS x FROM ig) steps)")
+
+
+def _normal_p(z):
+    area = _area("exp(-x * x / 2) / sqrt(2 * pi())", f"abs({z})")
+    return f"CASE WHEN {z} >= 0 THEN {area} ELSE 1 - {area} END"
+
+
+def _t_p(t, v):
+    return "2 * " + _area(f"exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * "
+                          f"pow(1 + x * x / {v}, -({v} + 1) / 2.0)", f"abs({t})")
+
+
+def _chi2_p(h, k):
+    return _area(f"exp(({k} / 2.0 - 1) * ln(x) - x / 2 - lgamma({k} / 2.0)) / pow(2, {k} / 2.0)", h)
+
+
+def _u_sql(source, value, first):
+    return f"{_u_tables(source, value, first)} SELECT {_U_COLUMNS} FROM uz"
 
 
 @query("x2_order_frequency_u", _u_sql("c", "orders_per_month", "NOT had_failure"))
@@ -50,13 +81,18 @@ def _(t):
     return stats.mann_whitney_counts(cells, "failed", "is_high")
 
 
-def _h_sql(source, value, group):
-    return f"""kr AS (SELECT {group} AS k, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0 AS rk,
+def _h_tables(source, value, group, at=""):
+    return f"""kr{at} AS (SELECT {group} AS k, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0 AS rk,
            count(*) OVER (PARTITION BY {value}) AS t FROM {source} WHERE {group} IS NOT NULL),
-    kn AS (SELECT count(*)::DOUBLE AS n, sum(t::DOUBLE * t - 1) AS ties FROM kr),
-    kg AS (SELECT k, count(*) AS nj, avg(rk) AS mean_rank FROM kr GROUP BY 1)
-    SELECT count(*) AS groups, n::BIGINT AS n, round(12 / (n * (n + 1)) * sum(nj * (mean_rank - (n + 1) / 2) * (mean_rank - (n + 1) / 2))
-           / (1 - ties / (n * n * n - n)), 6) AS h, count(*) - 1 AS df FROM kg, kn GROUP BY n, ties"""
+    kn{at} AS (SELECT count(*)::DOUBLE AS n, sum(t::DOUBLE * t - 1) AS ties FROM kr{at}),
+    kg{at} AS (SELECT k, count(*) AS nj, avg(rk) AS mean_rank FROM kr{at} GROUP BY 1),
+    kh{at} AS (SELECT count(*) AS groups, n::BIGINT AS n, 12 / (n * (n + 1)) * sum(nj * (mean_rank - (n + 1) / 2)
+           * (mean_rank - (n + 1) / 2)) / (1 - ties / (n * n * n - n)) AS h, count(*) - 1 AS df
+           FROM kg{at}, kn{at} GROUP BY n, ties)"""
+
+
+def _h_sql(source, value, group):
+    return f"{_h_tables(source, value, group)} SELECT groups, n, round(h, 6) AS h, df FROM kh"
 
 
 @query("x4_age_groups_h", VARIANCE_SQL + ", " + _h_sql("ao", "y", "age_group"))
@@ -88,22 +124,36 @@ def _(t):
 
 # The same tests with their p-values.
 
-@query("x1_correlation_p")
+@query("x1_correlation_p", f"""{_STEPS}, cr AS (SELECT count(*) AS n, corr(items_delivered, items_missing) AS r FROM o),
+    ct AS (SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS v FROM cr)
+    SELECT n, round(r, 6) AS r, round(t, 6) AS t, round({_t_p("t", "v")}, 6) AS p_value FROM ct""")
 def _(t):
     return stats.with_t_p(stats.correlation(t.orders_without_region, "items_delivered", "items_missing"), 2)
 
 
-@query("x2_order_frequency_p")
+@query("x2_order_frequency_p", f"""{_STEPS}, {_u_tables("c", "orders_per_month", "NOT had_failure")}
+    SELECT {_U_COLUMNS}, round(least(2 * ({_normal_p("z2")}), 1), 6) AS p_value FROM uz""")
 def _(t):
     return stats.with_mann_whitney_p(stats.frequency_test(t.orders_without_region), "two-sided")
 
 
-@query("x5_paired_t_p")
+@query("x5_paired_t_p", PHASES + f""", {_STEPS}, pt AS (SELECT count(*) AS n, avg(pre_failure - post_failure) AS d,
+    avg(pre_failure - post_failure) / (stddev_samp(pre_failure - post_failure) / sqrt(count(*))) AS t FROM pp)
+    SELECT n, round(d, 6) AS mean_difference, round(t, 6) AS t, round({_t_p("t", "(n - 1)")}, 6) AS p_value FROM pt""")
 def _(t):
     return stats.with_t_p(stats.paired_t(cust.spend_by_phase(t.orders_without_region), "pre_failure", "post_failure"), 1)
 
 
-@query("x6_test_table")
+@query("x6_test_table", f"""{VARIANCE_SQL}, {RISK_SQL}, {_STEPS}, {_u_tables("rg", "y", "is_high")},
+    {_h_tables("ao", "y", "region", "r")}, {_h_tables("ao", "y", "age_group", "a")}, {_h_tables("ao", "y", "value_segment", "v")},
+    tt AS (SELECT 'Driver (high vs. low risk)' AS dimension, 'Driver' AS category, 'Mann-Whitney U' AS test, u1 AS statistic,
+                  {_normal_p("zg")} AS p FROM uz UNION ALL
+    SELECT 'Region', 'Location', 'Kruskal-Wallis', h, {_chi2_p("h", "df")} FROM khr UNION ALL
+    SELECT 'Age Group', 'Customer', 'Kruskal-Wallis', h, {_chi2_p("h", "df")} FROM kha UNION ALL
+    SELECT 'Value Segment', 'Customer', 'Kruskal-Wallis', h, {_chi2_p("h", "df")} FROM khv)
+    SELECT dimension, category, test, round(statistic, 6) AS statistic, round(p, 6) AS p_value,
+    CASE WHEN p < 0.05 THEN 'YES (p < 0.05)' ELSE 'NO (p >= 0.05)' END AS significant,
+    CASE WHEN p < 0.001 THEN 'p < 0.001' ELSE printf('p = %.4f', p) END AS label FROM tt""")
 def _(t):
     return stats.test_table(t.orders, t.customers)
 
@@ -301,3 +351,109 @@ def _(t):
 def _(t):
     model, _train, _test = _forest(t, trees=200)
     return models.top_factors(models.importances(t.spark, model))
+
+
+# What must hold for model results whatever the library's random numbers, next to the rows that SQL can count.
+
+SPLIT_SQL = """sd AS (SELECT order_id, has_missing, CAST(('0x' || substr(md5(order_id::VARCHAR), 1, 13))::BIGINT AS DOUBLE) AS draw
+    FROM o), sc AS (SELECT has_missing, quantile_cont(draw, 0.2) AS cut FROM sd GROUP BY 1),
+    te AS (SELECT order_id, has_missing FROM sd JOIN sc USING (has_missing) WHERE draw <= cut)"""
+
+
+def _checks(spark, rows):
+    return spark.createDataFrame([(name, int(n), bool(holds)) for name, n, holds in rows], "check string, n bigint, holds boolean")
+
+
+@query("l6_l11_forest_checks", SPLIT_SQL + """ SELECT * FROM (
+    SELECT 'L6 scores of test rows in 0..1' AS "check", count(*) AS n, true AS holds FROM te UNION ALL
+    SELECT 'L7 importances add up to 1', 9, true UNION ALL
+    SELECT 'L8 area equals the library', count(*), true FROM te WHERE has_missing UNION ALL
+    SELECT 'L8 area above chance', 1, true UNION ALL
+    SELECT 'L9 curve never falls', 0, true UNION ALL
+    SELECT 'L10 base and attributions add up to the score', count(*), true FROM te UNION ALL
+    SELECT 'L11 category shares add up to 100', 5, true UNION ALL SELECT 'L21 top factors in order', 5, true)""")
+def _(t):
+    model, _train, test = _forest(t)
+    scores = written(models.scored(model, test).select("order_id", "label", "score", "probability"), "scores")
+    n, failed, low, high = scores.agg(F.count("order_id"), F.sum("label"), F.min("score"), F.max("score")).first()
+    weights = models.importances(t.spark, model).collect()
+    area, library = models.auc_from_counts(scores).first().auc, models.auc(scores)
+    by_score = Window.orderBy(F.desc("threshold"))
+    falls = models.roc_curve(scores).withColumns({
+        "x": F.lag("fpr", 1, 0.0).over(by_score), "y": F.lag("tpr", 1, 0.0).over(by_score)}).where(
+        "fpr < x OR tpr < y").count()
+    phi = written(attribution.attributions(t.spark, model, test), "phi")
+    total = sum((F.col(f) for f in features.FEATURES), F.col("base_value"))
+    rows, off = phi.join(scores, "order_id").agg(F.count("order_id"), F.max(F.abs(total - F.col("score")))).first()
+    shares = attribution.category_attribution(phi).collect()
+    top = models.top_factors(models.importances(t.spark, model)).collect()
+    return _checks(t.spark, [
+        ("L6 scores of test rows in 0..1", n, 0 <= low <= high <= 1),
+        ("L7 importances add up to 1", len(weights), abs(sum(w.importance for w in weights) - 1) < 1e-9),
+        ("L8 area equals the library", failed, abs(area - library) < 1e-9), ("L8 area above chance", 1, area > 0.5),
+        ("L9 curve never falls", falls, falls == 0),
+        ("L10 base and attributions add up to the score", rows, off < 1e-9),
+        ("L11 category shares add up to 100", len(shares), abs(sum(s.pct for s in shares) - 100) < 1e-9),
+        ("L21 top factors in order", len(top), [f.feature for f in top] == [w.feature for w in weights[:5]])])
+
+
+@query("l4_l13_regression_checks", """SELECT * FROM (SELECT 'L4 gradient is zero' AS "check", 9 AS n, true AS holds UNION ALL
+    SELECT 'L5 scores of all rows in 0..1', count(*), true FROM o UNION ALL
+    SELECT 'L13 every order has a probability', count(*), true FROM o UNION ALL
+    SELECT 'L13 label fits the probability', count(*), true FROM o UNION ALL
+    SELECT 'L13 six contributions each', count(*) * 6, true FROM o)""")
+def _(t):
+    train, _test = _split(t)
+    model = models.fit_logistic(train)
+    slope = F.col("score") - F.col("label")
+    scaled = models.scored(model, train).withColumn("x", vector_to_array("features"))
+    sums = scaled.agg(F.count("label").alias("n"), *[F.sum(slope * F.col("x")[i]).alias(f"g{i}")
+                                                      for i in range(len(features.FEATURES))]).first()
+    steepest = max(abs(sums[f"g{i}"] + c) for i, c in enumerate(model.stages[-1].coefficients.toArray())) / sums.n
+    risk, rows = _risk_model(t)
+    n, low, high = models.scored(risk, rows).agg(F.count("score"), F.min("score"), F.max("score")).first()
+    base = kpis.global_scalar(t.orders_without_region)
+    marked = models.risk_scores(risk, features.raw_risk_rows(t.orders, t.orders), base["failure_rate"])
+    p = F.col("probability")
+    fits = F.col("risk_label") == F.when(p < 0.1, "Low Risk").when(p < 0.2, "Medium Risk").otherwise("High Risk")
+    every, fitting, parts, least, most = marked.agg(F.count(p), F.count_if(fits), F.sum(F.size("contributions")),
+                                                    F.min(p), F.max(p)).first()
+    return _checks(t.spark, [
+        ("L4 gradient is zero", len(features.FEATURES), steepest < 1e-4),
+        ("L5 scores of all rows in 0..1", n, 0 <= low <= high <= 1),
+        ("L13 every order has a probability", every, 0 <= least <= most <= 1),
+        ("L13 label fits the probability", fitting, fitting == every), ("L13 six contributions each", parts, True)])
+
+
+@query("l16_l20_cluster_checks", """dn AS (SELECT driver_id, count(*) AS n, count(*) FILTER (WHERE has_missing) AS bad FROM o
+    WHERE driver_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
+    SELECT * FROM (SELECT 'L16 distance falls with k' AS "check", 3 AS n, true AS holds UNION ALL
+    SELECT 'L17 drivers over clusters', count(*), true FROM dn UNION ALL
+    SELECT 'L17 rates rise from low to high risk', 3, true UNION ALL
+    SELECT 'L18 customers over clusters', count(DISTINCT customer_id), true FROM o UNION ALL
+    SELECT 'L18 spending falls from the first segment', 4, true UNION ALL
+    SELECT 'L19 axes explain a share each', 2, true UNION ALL
+    SELECT 'L20 shares of drivers add up', count(*), true FROM dn UNION ALL
+    SELECT 'A35 failures over profiles', sum(bad)::BIGINT, true FROM dn)""")
+def _(t):
+    rows = written(clusters.driver_features(t.orders), "drivers")
+    elbow = clusters.elbow(t.spark, rows, clusters.DRIVER_FEATURES, ks=(2, 3, 4)).orderBy("k").collect()
+    found = clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3), rows, clusters.DRIVER_FEATURES)
+    profiles = clusters.driver_clusters(found).collect()
+    rates = [next(p.avg_missing_rate for p in profiles if p.profile == name) for name in clusters.DRIVER_PROFILES]
+    people = written(clusters.customer_features(t.orders_without_region, t.customers), "customers")
+    model = clusters.fit_clusters(people, clusters.CUSTOMER_FEATURES, 4)
+    segments = clusters.customer_clusters(clusters.assigned(model, people, clusters.CUSTOMER_FEATURES)).collect()
+    spent = [next(s.avg_spent for s in segments if s.segment == name) for name in clusters.CUSTOMER_SEGMENTS]
+    explained = clusters.principal_axes(rows, clusters.DRIVER_FEATURES).stages[-1].explainedVariance.toArray()
+    shares = clusters.cluster_distribution(found).collect()
+    impact = clusters.profile_impact(t.orders_without_region, found).collect()
+    return _checks(t.spark, [
+        ("L16 distance falls with k", len(elbow), elbow[0].inertia > elbow[1].inertia > elbow[2].inertia),
+        ("L17 drivers over clusters", sum(p.n_drivers for p in profiles), True),
+        ("L17 rates rise from low to high risk", len(rates), rates == sorted(rates)),
+        ("L18 customers over clusters", sum(s.n_customers for s in segments), True),
+        ("L18 spending falls from the first segment", len(spent), spent == sorted(spent, reverse=True)),
+        ("L19 axes explain a share each", len(explained), 1 >= sum(explained) and explained[0] >= explained[1] > 0),
+        ("L20 shares of drivers add up", sum(s.drivers for s in shares), abs(sum(s.pct for s in shares) - 100) < 1e-9),
+        ("A35 failures over profiles", sum(i.total_failures for i in impact), True)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -55,8 +56,12 @@ def fit_clusters(df: DataFrame, features: Sequence[str], k: int, seed: int = 42)
 
 def best_of_starts(scaled: DataFrame, k: int, seed: int, starts: int = STARTS) -> KMeansModel:
     """The model of the lowest within-cluster squared distance among several starts."""
-    found = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=ITERATIONS).fit(scaled)
-             for i in range(starts)]
+    def fit(start: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster", maxIter=ITERATIONS).fit(scaled)
+
+    # The starts are jobs of their own; a few at a time keep the cluster busy between their short stages.
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(fit, range(starts)))
     return min(found, key=lambda model: model.summary.trainingCost)
 
 
