@@ -134,9 +134,52 @@ def _(t):
     UNION ALL SELECT 'drivers', unnest(['driver_id', 'driver_name', 'age', 'trips']),
            unnest(['bigint', 'string', 'int', 'int']), (SELECT count(*) FROM dr), 4
     UNION ALL SELECT 'order_items', unnest(['order_id', 'product_id']), unnest(['bigint', 'bigint']),
-           (SELECT count(*) FROM it), 2)""")
+           (SELECT count(*) FROM it), 2
+    UNION ALL SELECT 'products', unnest(['product_id', 'product_name', 'category', 'price']),
+           unnest(['bigint', 'string', 'string', 'double']), (SELECT count(*) FROM pr), 4
+    UNION ALL SELECT 'orders', unnest(['order_id', 'customer_id', 'date', 'amount_cents', 'order_amount', 'delivery_hour',
+           'driver_id', 'items_missing', 'items_delivered', 'region', 'day_of_week', 'month', 'has_missing']),
+           unnest(['bigint', 'bigint', 'date', 'bigint', 'double', 'int', 'bigint', 'int', 'int', 'string', 'string', 'string',
+           'boolean']), (SELECT count(*) FROM o), 13)""")
 def _(t):
-    return quality.table_profile({"customers": t.customers, "drivers": t.drivers, "order_items": t.order_items})
+    return quality.table_profile(_tables(t))
+
+
+def _tables(t):
+    return {"customers": t.customers, "drivers": t.drivers, "order_items": t.order_items, "products": t.products,
+            "orders": t.orders}
+
+
+def _per_table(t, summary):
+    """One summary per table, with the table's name."""
+    out = None
+    for name, df in _tables(t).items():
+        one = summary(df).withColumn("table_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("p2_null_counts_by_table", """SELECT * FROM (
+    SELECT 'orders' AS table_name, 'driver_id' AS column_name, count(*) - count(driver_id) AS nulls FROM o UNION ALL
+    SELECT 'products', 'product_name', count(*) - count(product_name) FROM pr UNION ALL
+    SELECT 'products', 'category', count(*) - count(category) FROM pr UNION ALL
+    SELECT 'products', 'price', count(*) - count(price) FROM pr UNION ALL
+    SELECT 'customers', 'customer_name', count(*) - count(customer_name) FROM cu UNION ALL
+    SELECT 'drivers', 'driver_name', count(*) - count(driver_name) FROM dr) WHERE nulls > 0""")
+def _(t):
+    return _per_table(t, quality.null_counts)
+
+
+@query("p3_duplicate_rows_by_table", """SELECT * FROM (
+    SELECT 'orders' AS table_name, count(*) AS row_count, count(DISTINCT order_id) AS distinct_rows, count(*) - count(DISTINCT order_id)
+           AS duplicates FROM o UNION ALL
+    SELECT 'customers', count(*), count(DISTINCT customer_id), count(*) - count(DISTINCT customer_id) FROM cu UNION ALL
+    SELECT 'drivers', count(*), count(DISTINCT driver_id), count(*) - count(DISTINCT driver_id) FROM dr UNION ALL
+    SELECT 'products', count(*), count(DISTINCT product_id), count(*) - count(DISTINCT product_id) FROM pr UNION ALL
+    SELECT 'order_items', sum(n)::BIGINT, count(*), sum(n - 1)::BIGINT
+    FROM (SELECT count(*) AS n FROM it GROUP BY order_id, product_id))""")
+def _(t):
+    return _per_table(t, quality.duplicate_rows)
 
 
 @query("p2_null_counts", "SELECT * FROM (SELECT 'driver_id' AS column_name, count(*) - count(driver_id) AS nulls FROM m "
@@ -158,6 +201,29 @@ def _(t):
     return quality.sample_rows(t.customers, ["customer_id"], 5)
 
 
+@query("p4_sample_orders", "SELECT order_id, date, round(order_amount, 6) AS order_amount, region, driver_id, customer_id "
+       "FROM o ORDER BY order_id LIMIT 5")
+def _(t):
+    return quality.sample_rows(t.orders, ["order_id"], 5).select(
+        "order_id", "date", "order_amount", "region", "driver_id", "customer_id")
+
+
+@query("p4_sample_products", "SELECT * FROM (SELECT product_id, product_name, category, round(price, 6) AS price FROM pr) "
+       "ORDER BY product_id LIMIT 5")
+def _(t):
+    return quality.sample_rows(t.products, ["product_id"], 5)
+
+
+@query("p4_sample_drivers", "SELECT * FROM dr ORDER BY driver_id LIMIT 5")
+def _(t):
+    return quality.sample_rows(t.drivers, ["driver_id"], 5)
+
+
+@query("p4_sample_order_items", "SELECT * FROM it ORDER BY order_id, product_id LIMIT 5")
+def _(t):
+    return quality.sample_rows(t.order_items, ["order_id", "product_id"], 5)
+
+
 @query("p5_date_range", "SELECT first_day, last_day FROM g")
 def _(t):
     return quality.date_span(t.orders)

@@ -314,13 +314,13 @@ def _(t):
 
 
 def _driver_clusters(t):
-    rows = clusters.driver_features(t.orders)
+    rows = written(clusters.driver_features(t.orders), "drivers")
     return clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3), rows, clusters.DRIVER_FEATURES)
 
 
 @query("l16_elbow")
 def _(t):
-    return clusters.elbow(t.spark, clusters.driver_features(t.orders), clusters.DRIVER_FEATURES)
+    return clusters.elbow(t.spark, written(clusters.driver_features(t.orders), "drivers"), clusters.DRIVER_FEATURES)
 
 
 @query("l17_driver_clusters")
@@ -330,14 +330,14 @@ def _(t):
 
 @query("l18_customer_clusters")
 def _(t):
-    rows = clusters.customer_features(t.orders_without_region, t.customers)
+    rows = written(clusters.customer_features(t.orders_without_region, t.customers), "customers")
     model = clusters.fit_clusters(rows, clusters.CUSTOMER_FEATURES, 4)
     return clusters.customer_clusters(clusters.assigned(model, rows, clusters.CUSTOMER_FEATURES))
 
 
 @query("l19_driver_axes")
 def _(t):
-    rows = clusters.driver_features(t.orders)
+    rows = written(clusters.driver_features(t.orders), "drivers")
     axes = clusters.principal_axes(rows, clusters.DRIVER_FEATURES)
     return clusters.projected(axes, rows, clusters.DRIVER_FEATURES, "driver_id")
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import with_order_flags
-from ..operators.joins import join_per_key
 
 #: Supplier ids lie below 2^40 and line numbers below 2^23, so that a line number and an id fit one bigint.
 SUPPLIER_BITS = 40
@@ -127,7 +126,8 @@ class Deliveries:
         lines = self.table("lineitem")
         drivers = lines.groupBy("l_orderkey").agg(_first_driver().alias("driver_id"))
         returned = lines.where((F.col("l_returnflag") == "R") & (_discount_points() >= 6))
-        missing = join_per_key(returned, drivers, "l_orderkey", "inner", row_id="l_partkey").where(
+        # Both sides are dealt out by the order, as the ranking and the last step need it: one shuffle each.
+        missing = returned.join(drivers, "l_orderkey").where(
             _discount_points() >= _threshold(F.col("driver_id")))
         place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
         first = missing.withColumn("position", F.row_number().over(place)).where("position <= 3")
