@@ -22,6 +22,8 @@ from .hnsw import usable
 
 #: Rows of a shard, about: what one graph holds in a task's memory. Queries of a block.
 SHARD_ROWS, BLOCK_ROWS = 32_768, 512
+#: Blocks that one copy of a shard's graph is sent for.
+BLOCKS_TOGETHER = 2
 #: Neighbours that a node keeps; other nodes' links to it that it takes part in; new partners that a comparison suggests to each node.
 NEIGHBOURS, REVERSE, SUGGESTED = 20, 20, 6
 #: Rounds at most, and the share of changed links under which rounds end.
@@ -264,9 +266,14 @@ def nearest(rows: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str
         F.collect_list("id").alias("asked"), F.flatten(F.collect_list("vector")).alias("values"))
     # The stated queries, block by block, against every shard of their length.
     everywhere = packed.join(sizes.select("dim", "shards"), "dim").select(
-        "asked", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("turn"), "dim").select(
-        "asked", "values", (F.col("dim").cast("long") * (1 << 32) + F.col("turn")).alias("of"))
-    pairs = everywhere.join(graphs, F.col("of") == F.col("shard")).select("asked", "values", "ids", "vectors", "neighbours")
+        "asked", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("turn"), "dim", "block").select(
+        "asked", "values", (F.col("dim").cast("long") * (1 << 32) + F.col("turn")).alias("of"),
+        F.floor(F.col("block") / BLOCKS_TOGETHER).alias("copy_of"))
+    # A graph goes to as many tasks as its queries need, however many these are.
+    copies = graphs.join(blocks, F.shiftright("shard", 32) == F.col("dim")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / BLOCKS_TOGETHER))))
+    pairs = everywhere.join(copies, (F.col("of") == F.col("shard")) & (F.col("copy_of") == F.col("copy"))).select(
+        "asked", "values", "ids", "vectors", "neighbours")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
