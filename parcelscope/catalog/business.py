@@ -229,7 +229,21 @@ def _(t):
 
 @query("k6_report_document")
 def _(t):
-    return writers.document(report.report_document(t.orders, t.customers, t.drivers))
+    from .learning import model_results
+    return writers.document(report.report_document(t.orders, t.customers, t.drivers, model_results(t)))
+
+
+@query("k6_report_plan", """sp AS (SELECT round_even(g_failures * g_cost, 2) AS cost,
+    (SELECT coalesce(sum(cents), 0) / 100.0 FROM c WHERE churned) AS risk FROM g),
+    br AS (SELECT region FROM o GROUP BY 1 ORDER BY avg(has_missing::INT), region LIMIT 1)
+    SELECT unnest([1, 2, 3, 4, 5])::INT AS priority, unnest(['30% reduction in failure cost', '-2pp in failure rate',
+    'Reduction of the worst failure window', 'Alignment to ' || region || ' benchmark',
+    'Recover $' || format('{:,}', CAST(round_even(round_even(risk, 2), 0) AS BIGINT)) || ' in revenue']) AS impact,
+    (SELECT strftime(first_day, '%Y-%m') || '–' || strftime(last_day, '%Y-%m') FROM g) AS period FROM sp, br""")
+def _(t):
+    document = writers.document(report.report_document(t.orders, t.customers, t.drivers))
+    schema = "meta struct<period string>, action_plan array<struct<priority int, impact string>>"
+    return document.select(F.from_json("document", schema).alias("d")).select("d.meta.period", F.inline("d.action_plan"))
 
 
 # ---- report measures

@@ -97,8 +97,8 @@ def _(t):
        "SELECT 'products', count(*) FROM pr UNION ALL SELECT 'order_items', count(*) FROM it)")
 def _(t):
     folder = fresh_path(t.spark, "processed")
-    writers.write_processed(joins.build_master(t.orders, t.customers, t.drivers), t.products, t.order_items, folder)
-    return writers.manifest(t.spark, folder, ["master", "products", "order_items"], "parquet").drop("bytes")
+    counts = writers.write_processed(joins.build_master(t.orders, t.customers, t.drivers), t.products, t.order_items, folder)
+    return writers.manifest(t.spark, folder, counts).drop("bytes", "description")
 
 
 STAR_ROWS = """SELECT * FROM (SELECT 'fct_orders' AS table_name, count(*) AS row_count FROM o UNION ALL
@@ -114,16 +114,30 @@ STAR_ROWS = """SELECT * FROM (SELECT 'fct_orders' AS table_name, count(*) AS row
 
 @query("k2_star_csv_sink", STAR_ROWS)
 def _(t):
-    folder, tables = fresh_path(t.spark, "star"), star.star_tables(t)
-    writers.write_star_csv(tables, folder)
-    return writers.manifest(t.spark, folder, list(tables)).drop("bytes")
+    folder = fresh_path(t.spark, "star")
+    counts = writers.write_star_csv(star.star_tables(t), folder)
+    return writers.manifest(t.spark, folder, counts).drop("bytes", "description")
+
+
+def _star_files(t):
+    """All fourteen files: the thirteen tables and the document of global figures."""
+    folder = fresh_path(t.spark, "star")
+    counts = writers.write_star_csv(star.star_tables(t), folder)
+    counts["global_kpis"] = writers.write_counted(
+        star.global_kpis(t.orders, t.customers, t.drivers), f"{folder}/global_kpis", writers.write_document)
+    return writers.manifest(t.spark, folder, counts)
 
 
 @query("k7_file_manifest")
 def _(t):
-    folder, tables = fresh_path(t.spark, "star"), star.star_tables(t)
-    writers.write_star_csv(tables, folder)
-    return writers.manifest(t.spark, folder, list(tables))
+    return _star_files(t)
+
+
+@query("k7_file_manifest_checks", STAR_ROWS.replace("SELECT * FROM (", "SELECT table_name, row_count, true AS has_bytes, "
+       "true AS described FROM (").removesuffix(")") + " UNION ALL SELECT 'global_kpis', 1)")
+def _(t):
+    return _star_files(t).select("table_name", "row_count", (F.col("bytes") > 0).alias("has_bytes"),
+                                 (F.length("description") > 0).alias("described"))
 
 
 # ---- profiling

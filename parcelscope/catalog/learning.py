@@ -285,10 +285,33 @@ def _(t):
     return _conclusion(t)[1]
 
 
+def model_results(t):
+    """Attribution by category, tests and conclusion, stored as one row."""
+    categories, summary = _conclusion(t)
+    return written(report.model_document(categories, stats.test_table(t.orders, t.customers), summary), "model")
+
+
 @query("k5_model_document")
 def _(t):
-    categories, summary = _conclusion(t)
-    return writers.document(report.model_document(categories, stats.test_table(t.orders, t.customers), summary))
+    return writers.document(model_results(t))
+
+
+@query("k5_test_records", f"""{VARIANCE_SQL}, {RISK_SQL}, {_STEPS}, {_u_tables("rg", "y", "is_high")},
+    {_h_tables("ao", "y", "region", "r")}, {_h_tables("ao", "y", "age_group", "a")}, {_h_tables("ao", "y", "value_segment", "v")},
+    tt AS (SELECT 'mann_whitney_drivers' AS name, 'Mann-Whitney U' AS test, round_even(u1, 2) AS statistic, {_normal_p("zg")} AS p,
+                  true AS short FROM uz UNION ALL
+    SELECT 'kruskal_regions', 'Kruskal-Wallis', round_even(h, 2), {_chi2_p("h", "df")}, true FROM khr UNION ALL
+    SELECT 'kruskal_age_groups', 'Kruskal-Wallis', round_even(h, 4), {_chi2_p("h", "df")}, false FROM kha UNION ALL
+    SELECT 'kruskal_value_segments', 'Kruskal-Wallis', round_even(h, 4), {_chi2_p("h", "df")}, false FROM khv)
+    SELECT name, test, round(statistic, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant,
+    CASE WHEN short AND p < 0.001 THEN 'p < 0.001' WHEN short THEN printf('p = %.4f', p) ELSE printf('p = %.3f', p) END AS label FROM tt""")
+def _(t):
+    names = [name for name, *_ in report.TEST_RECORDS.values()]
+    records = stats.test_table(t.orders, t.customers).select(F.lit(1).alias("one")).limit(1).withColumn(
+        "r", report.test_records(stats.test_table(t.orders, t.customers)))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"r.{n}").alias("v")) for n in names])
+    return records.select(F.explode(listed).alias("x")).select(
+        "x.name", "x.v.test", "x.v.statistic", "x.v.p_value", "x.v.significant", "x.v.label")
 
 
 @query("l13_risk_scores")

@@ -11,6 +11,17 @@ from ..operators import customers as cust
 from ..operators import drivers as drv
 from ..operators import finance, kpis, stats
 
+# fixed values: name, description, decimals of the statistic and decimals of the p-value of each test in the model document;
+# a test with four decimals says "p < 0.001" for less
+TEST_RECORDS = {
+    "Driver (high vs. low risk)": ("mann_whitney_drivers", "High risk (>=Q75) vs. Low risk (<=Q25) among drivers", 2, 4),
+    "Age Group": ("kruskal_age_groups", "Failure rate by customer age group", 4, 3),
+    "Value Segment": ("kruskal_value_segments", "Failure rate by customer value segment", 4, 3),
+    "Region": ("kruskal_regions", "Failure rate across regions", 2, 4),
+}
+# fixed values: what each action of the plan brings
+IMPACTS = {1: "30% reduction in failure cost", 2: "-2pp in failure rate", 3: "Reduction of the worst failure window"}
+
 # fixed value: the statement that closes the model results
 VERDICT = "The problem lies with the drivers — not the customers."
 
@@ -68,16 +79,24 @@ def model_document(categories: DataFrame, tests: DataFrame, summary: DataFrame)
     """Model results: attribution by category, tests and conclusion as one nested row."""
     shares = categories.select(F.struct((-F.col("pct")).alias("k"), "category").alias("place"), "category",
                                agg.half_even("pct", 1).alias("pct"), "level")
-    proof = tests.select("dimension", "test", "statistic", "p_value",
-                         (F.col("p_value") < 0.05).alias("significant"), "label",
-                         F.col("dimension").alias("place"))
     return summary.select(F.struct("*").alias("conclusion")).withColumns({
-        "shap_categories": rows_as_array(shares, "place"),
-        "statistical_tests": rows_as_array(proof, "place")})
+        "shap_categories": rows_as_array(shares, "place"), "statistical_tests": test_records(tests)})
+
+
+def test_records(tests: DataFrame) -> Column:
+    """The four tests as one struct with a field each."""
+    fields = []
+    for dimension, (name, description, digits, decimals) in TEST_RECORDS.items():
+        p = F.col("p_value")
+        label = bands.p_text(p) if decimals == 4 else F.format_string(f"p = %.{decimals}f", p)
+        record = F.struct("test", F.lit(description).alias("description"), agg.half_even("statistic", digits).alias("statistic"),
+                          "p_value", (p < 0.05).alias("significant"), label.alias("label"))
+        fields.append(F.max(F.when(F.col("dimension") == dimension, record)).alias(name))
+    return tests.agg(F.struct(*fields)).scalar()
 
 
 def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
-                    model_results: DataFrame | None = None) -> DataFrame:
+                    model_results: DataFrame | None = None, project: str = "Delivery quality") -> DataFrame:
     """The dashboard document: nested KPIs, regions, months, days, periods, tiers, drivers,
     retention and plan in one row. Every nested list is a finished small summary."""
     r1 = lambda c: agg.half_even(F.col(c) * 100, 1)
@@ -105,8 +124,17 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
         F.struct((-F.col("failure_rate")).alias("k"), "driver_id").alias("place"), "driver_name",
         r1("failure_rate").alias("failure_rate"), "deliveries",
         bands.experience_tier(F.col("trips"), bands.TIER_LABELS_REPORT).alias("tier"))
+    best = kpis.extremes(kpis.amounts_by(orders, "region").select("region", "failure_rate"), "region", "failure_rate").select(
+        "best_region").scalar()
+    impact = F.when(F.col("place") == 4, F.concat(F.lit("Alignment to "), best, F.lit(" benchmark"))).when(
+        F.col("place") == 5, F.concat(F.lit("Recover $"), F.format_number("savings", 0), F.lit(" in revenue")))
+    for place, text in IMPACTS.items():
+        impact = impact.when(F.col("place") == place, F.lit(text))
     plan = finance.savings_plan(orders, profile).withColumnRenamed("priority", "place").withColumn(
-        "priority", F.col("place"))
+        "priority", F.col("place")).withColumn("impact", impact)
+    meta = orders.agg(F.struct(
+        F.lit(project).alias("project"), F.concat_ws("–", F.min("month"), F.max("month")).alias("period"),
+        F.countDistinct("region").alias("regions"))).scalar()
 
     base, back, risk = cust.affected_base(profile), cust.return_rates(profile), cust.revenue_at_risk(profile)
     one = lambda df: df.select(F.struct("*")).scalar()
@@ -116,7 +144,7 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
         agg.half_even(F.col("g.failures") * F.col("g.cost_per_failure"), 2).alias("total_failure_cost"),
         "total_drivers", "total_customers", "total_regions",
         agg.half_even("g.cost_per_failure", 2).alias("cost_per_failure"))
-    document = kpi_row.select(F.struct("*").alias("kpis")).withColumns({
+    document = kpi_row.select(meta.alias("meta"), F.struct("*").alias("kpis")).withColumns({
         "regions": rows_as_array(regions, "place"), "monthly_trend": rows_as_array(months, "place"),
         "days_of_week": rows_as_array(days, "place"), "periods_of_day": rows_as_array(periods, "place"),
         "driver_tiers": rows_as_array(tiers, "place"), "worst_drivers": rows_as_array(worst, "place"),
@@ -129,7 +157,17 @@ def report_document(orders: DataFrame, customers: DataFrame, drivers: DataFrame,
         F.col("risk.churned_customers").alias("churned_customers"),
         agg.half_even("risk.revenue_at_risk", 2).alias("revenue_at_risk"))).drop("b", "back", "risk")
     if model_results is not None:
-        document = document.withColumn("model", one(model_results))
+        m = lambda path: F.col(f"m.{path}")
+        proof = F.concat(F.lit("Mann-Whitney "), m("statistical_tests.mann_whitney_drivers.label"),
+                         F.lit(" (drivers) vs Kruskal-Wallis "), m("statistical_tests.kruskal_age_groups.label"),
+                         F.lit(" (customers by age)"))
+        document = document.withColumn("m", one(model_results)).withColumns({
+            "shap_categories": m("shap_categories"),
+            "conclusion": F.struct(
+                m("conclusion.verdict"), m("conclusion.driver_shap_pct"), m("conclusion.client_shap_pct"),
+                m("conclusion.driver_vs_client_ratio").cast("int").alias("driver_vs_client_ratio"),
+                m("conclusion.worst_driver_rate"), m("conclusion.best_driver_rate"), m("conclusion.model_auc"),
+                proof.alias("statistical_proof"), m("statistical_tests"))}).drop("m")
     return document
 
 
