@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,18 @@ class Graph:
             nodes = self.order[:int((level >= layer).sum())]
             self._build(nodes, 2 * LINKS if layer == 0 else LINKS)
 
+    def stored(self) -> bytes:
+        """The links without the vectors."""
+        return zlib.compress(pickle.dumps((self.tops, [layer.astype(np.int32) for layer in self.layers])), 1)
+
+    @classmethod
+    def restored(cls, vectors: np.ndarray, links: bytes) -> Graph:
+        graph = cls.__new__(cls)
+        graph.vectors = vectors
+        graph.tops, layers = pickle.loads(zlib.decompress(links))
+        graph.layers = [layer.astype(np.int64) for layer in layers]
+        return graph
+
     def _build(self, nodes: np.ndarray, links: int) -> None:
         graph = np.full((len(self.vectors), links), -1, np.int64)
         starts = self.entries(self.vectors[nodes])
@@ -160,11 +174,11 @@ def _tree(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return ids[other], least[label][other]
 
 
-SHARD = "label int, dim int, shard int, ids binary, vectors binary, a array<long>, b array<long>"
+SHARD = "label int, dim int, shard int, ids binary, vectors binary, graph binary, a array<long>, b array<long>"
 
 
 def shard_links(points: DataFrame, least: float) -> DataFrame:
-    """One row per shard: its ids and unit vectors (binary), and links (a, b) that connect its near vectors."""
+    """One row per shard: its ids, unit vectors and graph (binary), and links (a, b) that connect its near vectors."""
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").drop_duplicates("id")
@@ -174,7 +188,7 @@ def shard_links(points: DataFrame, least: float) -> DataFrame:
         true = (query != node) & (np.einsum("id,id->i", exact[query], exact[node]) >= least)
         a, b = _tree(ids, query[true], node[true])
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [ids.tobytes()],
-                             "vectors": [exact.tobytes()], "a": [a], "b": [b]})
+                             "vectors": [exact.tobytes()], "graph": [graph.stored()], "a": [a], "b": [b]})
 
     return points.groupBy("label", "dim", "shard").applyInPandas(build, SHARD)
 
@@ -184,24 +198,25 @@ def cross_links(shards: DataFrame, least: float) -> DataFrame:
 
     A row holds two shards, whatever the label's size; links of a pair of shards are fewer than their rows.
     """
-    one, other = shards.select("label", "dim", "shard", "ids", "vectors"), shards.select(
+    one, other = shards.select("label", "dim", "shard", "ids", "vectors", "graph"), shards.select(
         F.col("label").alias("l"), F.col("dim").alias("d"), F.col("shard").alias("s"),
         F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
     same = (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("shard") > F.col("s"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids, more = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["other_ids"], np.int64)
                 exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
                 others = np.frombuffer(row["other_vectors"], np.float64).reshape(len(more), -1)
-                graph = Graph(exact.astype(np.float32), seed=int(row["shard"]))
+                graph = Graph.restored(exact.astype(np.float32), row["graph"])
                 query, node = near_pairs(graph, others.astype(np.float32), least)
                 true = np.einsum("id,id->i", others[query], exact[node]) >= least
                 a, b = _tree(np.concatenate((ids, more)), query[true] + len(ids), node[true])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return one.join(other, same).select("shard", "ids", "vectors", "other_ids", "other_vectors").mapInArrow(
+    return one.join(other, same).select("ids", "vectors", "graph", "other_ids", "other_vectors").mapInArrow(
         search, "a long, b long")
 
 
