@@ -261,7 +261,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """
     kind = dict(docs.dtypes)["key"]
     everything = stored(sparse_ranks(docs, length), "ranks")
-    shared = everything.groupBy("core").agg(F.count("*").alias("anchors")).where("anchors > 1").select("core")
+    # Stored before the join, so that Spark can split the rows of a very frequent core over several tasks.
+    shared = stored(everything.groupBy("core").agg(F.count("*").alias("anchors")).where("anchors > 1").select("core"), "cores")
     ranks = stored(everything.join(shared, "core"), "shared")
     dropped(everything)
     whole = ["core", "lo", "hi", "f1", "f2"]
@@ -270,8 +271,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     copied = ranks.join(classes.where("n > 1").select(*whole), whole).select(
         "key", "content", (F.col("anchor") - F.col("hi")).alias("start"),
         (F.col("anchor") - F.col("lo") + length).alias("stop"))
-    several = classes.groupBy("core").agg(F.count("*").alias("runs"), F.min("n").alias("least")).where(
-        "runs > 1 AND least = 1").select("core", "runs")
+    several = stored(classes.groupBy("core").agg(F.count("*").alias("runs"), F.min("n").alias("least")).where(
+        "runs > 1 AND least = 1").select("core", "runs"), "several")
     runs = classes.join(several, "core").select(
         "core", "runs", "one.*", "lo", "hi", "n", (F.col("hi") - F.col("lo") + length).alias("size"))
     snippets = _snippets(docs, runs)
