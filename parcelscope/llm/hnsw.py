@@ -23,6 +23,8 @@ TILE = 1024
 LINKS, INSERT_BEAM = 16, 48
 #: Vectors of a shard whose links are found by brute force to audit the beam; recall that must be reached.
 AUDITED, RECALL = 64, 0.995
+#: Products that a comparison with every node holds at a time.
+CELLS = 1 << 21
 
 
 class Graph:
@@ -129,23 +131,61 @@ class Graph:
         return beam_search(self.vectors, self.layers[-1], queries, starts, min(width, len(self.vectors)))
 
 
-def near_pairs(graph: Graph, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of products from `least` on, with a beam that doubles until the audit passes.
+def compared(exact: np.ndarray, asked: np.ndarray, rows: np.ndarray, least: float,
+             own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (query, node) that connect what all products from `least` on connect, for the queries in `rows`, block by block.
 
-    A beam as wide as the graph holds every node that is reached, so the audit's last step is exhaustive.
+    `own` gives the nodes that the queries themselves are. There are fewer links than nodes and queries,
+    however many products there are.
     """
-    width, n = 32, len(graph.vectors)
+    name = len(exact) + np.arange(len(asked)) if own is None else own
+    part = np.arange(len(exact) + (len(asked) if own is None else 0))
+    query, node = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    size = max(1, CELLS // max(1, len(exact)))
+    for start in range(0, len(rows), size):
+        block = rows[start:start + size]
+        near = asked[block] @ exact.T >= least
+        for i in np.flatnonzero(near.any(axis=1)):
+            found, this = np.flatnonzero(near[i]), part[name[block[i]]]
+            if (part[found] == this).all():
+                continue
+            parts, first = np.unique(part[found], return_index=True)
+            new = found[first[parts != this]]
+            query.append(np.full(len(new), block[i]))
+            node.append(new)
+            joined = np.zeros(len(part), bool)
+            joined[parts] = joined[this] = True
+            part[joined[part]] = min(parts[0], this)
+    return np.concatenate(query), np.concatenate(node)
+
+
+def near_pairs(graph: Graph, exact: np.ndarray, asked: np.ndarray, least: float,
+               own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) that connect what products from `least` on connect, with a beam that doubles until the audit passes.
+
+    `exact` and `asked` are the graph's nodes and the queries in double. Queries whose beam ends before
+    their links do are compared with every node.
+    """
+    queries, width, n = asked.astype(np.float32), 32, len(exact)
+    everyone = np.arange(len(queries))
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = [np.flatnonzero(row >= least + 1e-6) for row in queries[audit] @ graph.vectors.T]
-    # A list of the beam's length cannot hold more links than that.
+    products = queries[audit] @ graph.vectors.T
+    links = [np.flatnonzero(row >= least + 1e-6) for row in products]
     while width < n:
         found = graph.search(queries[audit], width, None if own is None else own[audit])[0]
-        if reached(found, [t if len(t) <= width else np.intersect1d(t, f) for t, f in zip(truth, found)]) >= RECALL:
+        # A query with more links than the beam is compared with every node below.
+        fitting = [t if len(t) < width else t[:0] for t in links]
+        if reached(found, fitting) >= RECALL:
             break
         width *= 2
     ids, scores = graph.search(queries, width, own)
-    query, place = np.nonzero((scores >= least - 1e-5) & (ids >= 0))
-    return query, ids[query, place]
+    near = (scores >= least - 1e-5) & (ids >= 0)
+    cut = near[:, -1]
+    query, place = np.nonzero(near & ~cut[:, None])
+    node = ids[query, place]
+    true = np.einsum("id,id->i", asked[query], exact[node]) >= least
+    more = compared(exact, asked, everyone[cut], least, own)
+    return np.concatenate((query[true], more[0])), np.concatenate((node[true], more[1]))
 
 
 def usable(vector: str) -> Column:
@@ -165,6 +205,14 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
+def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct vector, in row order, and the place in that list of every row's vector."""
+    rows = np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()    # no negative zeros
+    places: dict[bytes, int] = {}
+    copy_of = np.array([places.setdefault(row, len(places)) for row in map(bytes, rows)])
+    return np.unique(copy_of, return_index=True)[1], copy_of
+
+
 def _tree(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each id to the smallest id that it reaches."""
     label = components_of(len(ids), a, b)
@@ -178,17 +226,20 @@ SHARD = "label int, dim int, shard int, ids binary, vectors binary, graph binary
 
 
 def shard_links(points: DataFrame, least: float) -> DataFrame:
-    """One row per shard: its ids, unit vectors and graph (binary), and links (a, b) that connect its near vectors."""
+    """One row per shard: its distinct unit vectors, the smallest id and the graph of these (binary), and links (a, b)
+    that connect the ids of its near vectors, equal ones among them."""
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").drop_duplicates("id")
         ids, exact = rows["id"].to_numpy(), unit(_matrix(rows["vector"]))
-        graph = Graph(exact.astype(np.float32), seed=int(key[2]))
-        query, node = near_pairs(graph, graph.vectors, least, np.arange(len(ids)))
-        true = (query != node) & (np.einsum("id,id->i", exact[query], exact[node]) >= least)
-        a, b = _tree(ids, query[true], node[true])
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [ids.tobytes()],
-                             "vectors": [exact.tobytes()], "graph": [graph.stored()], "a": [a], "b": [b]})
+        first, copy_of = distinct(exact)
+        points = exact[first]
+        graph = Graph(points.astype(np.float32), seed=int(key[2]))
+        query, node = near_pairs(graph, points, points, least, np.arange(len(first)))
+        copies = np.flatnonzero((first[copy_of] != np.arange(len(ids))) & (np.einsum("id,id->i", exact, exact) >= least))
+        a, b = _tree(ids, np.concatenate((copies, first[query])), np.concatenate((first[copy_of[copies]], first[node])))
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [ids[first].tobytes()],
+                             "vectors": [points.tobytes()], "graph": [graph.stored()], "a": [a], "b": [b]})
 
     return points.groupBy("label", "dim", "shard").applyInPandas(build, SHARD)
 
@@ -211,9 +262,8 @@ def cross_links(shards: DataFrame, least: float) -> DataFrame:
                 exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
                 others = np.frombuffer(row["other_vectors"], np.float64).reshape(len(more), -1)
                 graph = Graph.restored(exact.astype(np.float32), row["graph"])
-                query, node = near_pairs(graph, others.astype(np.float32), least)
-                true = np.einsum("id,id->i", others[query], exact[node]) >= least
-                a, b = _tree(np.concatenate((ids, more)), query[true] + len(ids), node[true])
+                query, node = near_pairs(graph, exact, others, least)
+                a, b = _tree(np.concatenate((ids, more)), query + len(ids), node)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return one.join(other, same).select("ids", "vectors", "graph", "other_ids", "other_vectors").mapInArrow(

@@ -134,3 +134,25 @@ def test_nearest_query_on_whole_table(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert got.keys() == want.keys()
     assert sum(len(got[k] & {v for v, _ in want[k]}) for k in want) >= 0.9 * 20 * len(want)
+
+
+def towards(draw, v, cosine, size, jitter):
+    """Unit vectors at about `cosine` to v, and each other's near copies."""
+    w = draw.normal(size=len(v))
+    w -= (w @ v) * v
+    w = cosine * v + np.sqrt(1 - cosine ** 2) * w / np.linalg.norm(w)
+    return hnsw.unit(w + draw.normal(size=(size, len(v))) * jitter)
+
+
+@pytest.mark.parametrize("rows,jitter", [(20_000, 0.0), (1000, 0.0), (20_000, 1e-4), (1000, 1e-4)])
+def test_links_between_groups_of_copies(spark, monkeypatch, rows, jitter):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", rows)
+    draw = np.random.default_rng(8)
+    v = hnsw.unit(draw.normal(size=(1, 24)))[0]
+    values = np.concatenate((towards(draw, v, 1.0, 200, jitter), towards(draw, v, 0.95, 200, jitter),
+                             draw.normal(size=(1600, 24)))).astype(np.float32)
+    frame = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(values)], "vec_id long, embedding array<float>, label int")
+    got = {r.key: (r.n_links, r.component, r.kept) for r in hnsw.linked(frame).collect()}
+    links, component = plain_links(values, np.ones(len(values), int))
+    assert (links[:400] == 399).all()
+    assert got == {i: (links[i], component[i], component[i] == i) for i in range(len(values))}
