@@ -21,8 +21,8 @@ SHARD_ROWS = 20_000
 TILE = 1024
 #: Links per node above the ground layer (twice as many on it), and the beam when inserting.
 LINKS, INSERT_BEAM = 16, 48
-#: Vectors of a shard whose links are found by brute force to audit the beam; recall that must be reached.
-AUDITED, RECALL = 64, 0.995
+#: Vectors of a shard whose links and NEAREST nodes are found by brute force to audit the beam; recall that must be reached.
+AUDITED, NEAREST, RECALL = 64, 10, 0.995
 #: Products that a comparison with every node holds at a time.
 CELLS = 1 << 21
 
@@ -163,21 +163,29 @@ def near_pairs(graph: Graph, exact: np.ndarray, asked: np.ndarray, least: float,
                own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) that connect what products from `least` on connect, with a beam that doubles until the audit passes.
 
-    `exact` and `asked` are the graph's nodes and the queries in double. Queries whose beam ends before
-    their links do are compared with every node.
+    The audit holds the beam against the true links and the true nearest nodes of some queries, so it
+    measures something where links are rare. `exact` and `asked` are the graph's nodes and the queries in
+    double. Queries whose beam ends before their links do, and all of them where a beam of a sixteenth
+    of the graph has not passed, are compared with every node.
     """
     queries, width, n = asked.astype(np.float32), 32, len(exact)
     everyone = np.arange(len(queries))
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
     products = queries[audit] @ graph.vectors.T
+    if own is not None:
+        products[np.arange(len(audit)), own[audit]] = -np.inf
+    k = min(NEAREST, n)
     links = [np.flatnonzero(row >= least + 1e-6) for row in products]
-    while width < n:
+    nearest = list(np.argpartition(-products, k - 1, axis=1)[:, :k])
+    while width * 16 <= n:
         found = graph.search(queries[audit], width, None if own is None else own[audit])[0]
         # A query with more links than the beam is compared with every node below.
         fitting = [t if len(t) < width else t[:0] for t in links]
-        if reached(found, fitting) >= RECALL:
+        if reached(found, fitting) >= RECALL and reached(found, nearest) >= RECALL:
             break
         width *= 2
+    else:
+        return compared(exact, asked, everyone, least, own)
     ids, scores = graph.search(queries, width, own)
     near = (scores >= least - 1e-5) & (ids >= 0)
     cut = near[:, -1]

@@ -156,3 +156,13 @@ def test_links_between_groups_of_copies(spark, monkeypatch, rows, jitter):
     links, component = plain_links(values, np.ones(len(values), int))
     assert (links[:400] == 399).all()
     assert got == {i: (links[i], component[i], component[i] == i) for i in range(len(values))}
+
+
+def test_audit_sees_a_graph_that_is_not_searchable():
+    draw = np.random.default_rng(9)
+    exact = hnsw.unit(draw.normal(size=(2000, 24)))
+    asked = hnsw.unit(np.concatenate((draw.normal(size=(1500, 24)), exact[[1234]] + 1e-3)))
+    graph = hnsw.Graph(exact.astype(np.float32))
+    graph.layers[-1][:] = -1
+    query, node = hnsw.near_pairs(graph, exact, asked, 0.93)
+    assert (query.tolist(), node.tolist()) == ([1500], [1234])
