@@ -32,6 +32,8 @@ ROUNDS, SETTLED = 7, 0.02
 FIRST_GROUP = 32
 #: Queries of a block whose neighbours are found by brute force to audit the beam, and recall that must be reached.
 AUDITED, RECALL = 32, 0.95
+#: Products that a comparison with every node holds at a time.
+CELLS = 1 << 22
 
 
 def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
@@ -158,15 +160,16 @@ def neighbour_graph(points: DataFrame) -> DataFrame:
     return graph
 
 
-SHARD = "shard long, ids binary, vectors binary, neighbours binary"
+SHARD = "shard long, copies binary, held binary, vectors binary, neighbours binary"
 
 
 def shard_graphs(points: DataFrame, graph: DataFrame) -> DataFrame:
-    """One row per shard: ids, vectors as given (float32 or float64 as doubles) and neighbour lists as row numbers, all binary."""
+    """One row per shard: each node's copies and their number, vectors as given (float32 or float64 as doubles) and
+    neighbour lists as row numbers, all binary."""
     back = graph.withColumn("turn", F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node"), "node")))
     both = graph.select("node", "other").union(back.where(F.col("turn") <= REVERSE).select("other", "node"))
     lists = both.groupBy("node").agg(F.collect_set("other").alias("near"))
-    rows = points.join(lists, F.col("id") == F.col("node"), "left").select("shard", "id", "vector", "near")
+    rows = points.join(lists, F.col("id") == F.col("node"), "left").select("shard", "id", "vector", "near", "copies")
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -176,48 +179,87 @@ def shard_graphs(points: DataFrame, graph: DataFrame) -> DataFrame:
             if found is not None:
                 near[i, :len(found)] = np.searchsorted(ids, np.asarray(found))
         vectors = np.stack([np.asarray(v, np.float64) for v in rows["vector"]])
-        return pd.DataFrame({"shard": [key[0]], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "neighbours": [near.tobytes()]})
+        held = np.array([len(c) for c in rows["copies"]], np.int64)
+        copies = np.concatenate([np.asarray(c, np.int64) for c in rows["copies"]])
+        return pd.DataFrame({"shard": [key[0]], "copies": [copies.tobytes()], "held": [held.tobytes()],
+                             "vectors": [vectors.tobytes()], "neighbours": [near.tobytes()]})
 
     return rows.groupBy("shard").applyInPandas(pack, SHARD)
 
 
-def searched(ids: np.ndarray, vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, own: np.ndarray,
-             count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def searched(copies: np.ndarray, held: np.ndarray, vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray,
+             own: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, product) of the `count` best that the beam finds for each query; the beam doubles until the audit passes.
 
-    `own` holds the queries' ids, which are no candidates. A shard no larger than the beam is compared
-    as a whole.
+    Of each node `copies` holds the smallest ids, one list after the other, and `held` how many; `own` the
+    queries' ids, which are no candidates. Products are taken in double for all nodes that single
+    precision cannot tell from the best, and the audit judges the rows that are returned. Queries whose
+    beam ends among such nodes are compared with every node, and all of them where no beam has passed.
     """
     points, asked = vectors.astype(np.float32), queries.astype(np.float32)
-    width, n = 4 * count, len(ids)
-    draw = np.random.default_rng(n)
-    starts = np.unique(draw.integers(0, n, 64))
-    entries = np.repeat(starts[None, :], len(queries), axis=0)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    exact = asked[audit] @ points.T
-    exact[own[audit][:, None] == ids[None, :]] = -np.inf
-    k = min(count, n)
-    truth = list(np.argpartition(-exact, k - 1, axis=1)[:, :k])
-    while width < n:
-        found = beam_search(points, neighbours, asked[audit], entries[audit], width)[0]
-        if reached(found, truth) >= RECALL:
-            break
-        width *= 2
-    if width >= n:
-        found = np.repeat(np.arange(n)[None, :], len(queries), axis=0)
-    else:
-        found = beam_search(points, neighbours, asked, entries, width)[0][:, :count + 8]
-    query, place = np.nonzero(found >= 0)
-    node = found[query, place]
-    candidate = ids[node] != own[query]
-    query, node = query[candidate], node[candidate]
-    score = np.einsum("id,id->i", queries[query], vectors[node])
-    order = np.lexsort((ids[node], -score, query))
-    query, node, score = query[order], node[order], score[order]
-    starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.empty(0, int)
-    rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
-    kept = rank < count
-    return query[kept], ids[node[kept]], score[kept]
+    n, at = len(vectors), np.cumsum(held) - held
+    least = copies[at]
+    # The query's own id may take one place.
+    k = min(count + 1, n)
+    doubt = 2 * vectors.shape[1] * np.finfo(np.float32).eps * np.sqrt(
+        np.einsum("id,id->i", queries, queries) * np.einsum("id,id->i", vectors, vectors).max(initial=0))
+
+    def ranked(query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = np.einsum("id,id->i", queries[query], vectors[node])
+        place = _places(query, order := np.lexsort((least[node], -score, query)))
+        order = order[place < k]
+        query, node, score = (np.repeat(x[order], held[node[order]]) for x in (query, node, score))
+        first = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (node[1:] != node[:-1])))) if len(node) else []
+        number = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))).astype(np.int64)
+        found = copies[at[node] + number]
+        other = found != own[query]
+        query, found, score = query[other], found[other], score[other]
+        order = np.lexsort((found, -score, query))
+        order = order[_places(query, order) < count]
+        return query[order], found[order], score[order]
+
+    def everything(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the k best among all nodes, with those that rounding may have put behind them."""
+        query, node = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        size = max(1, CELLS // n)
+        for start in range(0, len(rows), size):
+            block = rows[start:start + size]
+            products = queries[block] @ vectors.T
+            limit = np.partition(products, n - k, axis=1)[:, n - k] - 1e-6 * doubt[block]
+            row, column = np.nonzero(products >= limit[:, None])
+            query.append(block[row])
+            node.append(column)
+        return np.concatenate(query), np.concatenate(node)
+
+    def beamed(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, scores = beam_search(points, neighbours, asked[rows], entries[rows], width)
+        limit = scores[:, k - 1] - doubt[rows]
+        near = (scores >= limit[:, None]) & (ids >= 0)
+        cut = near[:, -1]
+        row, place = np.nonzero(near & ~cut[:, None])
+        more = everything(rows[cut])
+        return ranked(np.concatenate((rows[row], more[0])), np.concatenate((ids[row, place], more[1])))
+
+    everyone, width = np.arange(len(queries)), 4 * count
+    if width < n:
+        starts = np.unique(np.random.default_rng(n).integers(0, n, 64))
+        entries = np.repeat(starts[None, :], len(queries), axis=0)
+        audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
+        query, found, _ = ranked(*everything(audit))
+        truth = [found[query == q] for q in audit]
+        while width < n:
+            query, found, _ = beamed(audit, width)
+            if reached([found[query == q] for q in audit], truth) >= RECALL:
+                return beamed(everyone, width)
+            width *= 2
+    return ranked(*everything(everyone))
+
+
+def _places(group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Place of each row in its group, of rows taken in `order`, which keeps groups together."""
+    group = group[order]
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, int)
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
 
 
 def nearest(rows: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str = "embedding", count: int = 20) -> DataFrame:
@@ -233,14 +275,17 @@ def nearest(rows: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str
         sound = whole.where(F.col("id").isNotNull() & usable("vector"))
         return sound.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
-    points = points_of(rows)
+    # Equal vectors are one node. No query takes more of its ids than `count`, and its own.
+    first = Window.partitionBy("dim", "vector").orderBy("id")
+    points = points_of(rows).withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= count + 1).groupBy(
+        "dim", "vector").agg(F.sort_array(F.collect_list("id")).alias("copies")).withColumn("id", F.col("copies")[0])
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sizes = points.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("largest")).withColumn(
         "shards", F.ceil(F.col("n") / SHARD_ROWS))
     turn = F.pmod(F.xxhash64("id", F.lit(0)), F.col("shards"))
     dealt = points.join(sizes, "dim").select(
         "id", "vector", (F.col("dim").cast("long") * (1 << 32) + turn).alias("shard"), "largest",
-        F.ceil(F.col("n") / F.col("shards")).alias("size"))
+        F.ceil(F.col("n") / F.col("shards")).alias("size"), "copies")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,11 +297,12 @@ def nearest(rows: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str
                 largest = batch.column(3).to_numpy()[at[0]]
                 for i, code in zip(at, coded(lifted(values.reshape(len(at), dim), largest))):
                     codes[i] = code
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(codes, pa.binary())],
-                                             ["id", "vector", "shard", "size", "code"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[4:], pa.array(codes, pa.binary())],
+                                             ["id", "vector", "shard", "size", "copies", "code"])
 
     kind = dict(rows.dtypes)[vector]
-    placed = stored(dealt.mapInArrow(encode, f"id long, vector {kind}, shard long, size long, code binary"), "points")
+    placed = stored(dealt.mapInArrow(encode, f"id long, vector {kind}, shard long, size long, "
+                                            "copies array<long>, code binary"), "points")
     graphs = stored(shard_graphs(placed, neighbour_graph(placed)), "graphs")
 
     queries = points_of(asked)
@@ -273,17 +319,17 @@ def nearest(rows: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str
     copies = graphs.join(blocks, F.shiftright("shard", 32) == F.col("dim")).withColumn(
         "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / BLOCKS_TOGETHER))))
     pairs = everywhere.join(copies, (F.col("of") == F.col("shard")) & (F.col("copy_of") == F.col("copy"))).select(
-        "asked", "values", "ids", "vectors", "neighbours")
+        "asked", "values", "copies", "held", "vectors", "neighbours")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.column(0)[i].values.to_numpy()
                 values = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                ids = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
-                vectors = np.frombuffer(batch.column(3)[i].as_buffer(), np.float64).reshape(len(ids), -1)
-                near = np.frombuffer(batch.column(4)[i].as_buffer(), np.int32).reshape(len(ids), -1).astype(np.int64)
-                query, found, score = searched(ids, vectors, near, values, own, count)
+                copies, held = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (2, 3))
+                vectors = np.frombuffer(batch.column(4)[i].as_buffer(), np.float64).reshape(len(held), -1)
+                near = np.frombuffer(batch.column(5)[i].as_buffer(), np.int32).reshape(len(held), -1).astype(np.int64)
+                query, found, score = searched(copies, held, vectors, near, values, own, count)
                 yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(found), pa.array(score)],
                                                  ["query_id", "vec_id", "score"])
 

@@ -166,3 +166,28 @@ def test_audit_sees_a_graph_that_is_not_searchable():
     graph.layers[-1][:] = -1
     query, node = hnsw.near_pairs(graph, exact, asked, 0.93)
     assert (query.tolist(), node.tolist()) == ([1500], [1234])
+
+
+@pytest.mark.parametrize("rows", [32_768, 400])
+def test_nearest_among_ties(spark, monkeypatch, rows):
+    monkeypatch.setattr(nn_descent, "SHARD_ROWS", rows)
+    draw = np.random.default_rng(6)
+    values = draw.normal(size=(1500, 16))
+    values[:, 0] = 0
+    hot = draw.permutation(1500)[:450]
+    values[hot] = 3 * values[0]                                       # copies
+    values[hot[150:300], 0] = draw.normal(size=150)                   # ties for the queries, which have no such component
+    values[hot[300:]] *= 1 + 1e-9 * draw.permutation(150)[:, None]    # alike in single precision
+    asked = [i for i in range(0, 1500, 20) if values[i, 0] == 0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    whole = [np.einsum("d,id->i", values[i], values) for i in asked]
+    got = {}
+    for r in nn_descent.nearest(frame, frame.where(frame.vec_id.isin(asked))).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    near = 0
+    for i, products in zip(asked, whole):
+        want = sorted((j for j in range(1500) if j != i), key=lambda j: (-products[j], j))[:20]
+        if set(want) <= set(hot.tolist()):
+            near += 1
+            assert got[i] == want
+    assert near > 10
