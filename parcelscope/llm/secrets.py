@@ -70,8 +70,8 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """Weak spans that the scope confirms: key, content, extra (sorted array of spans).
 
-    The interval join: a part covers the cells from SCOPE before it to SCOPE after it, a weak span
-    asks in the cell of its start, and the semi join keeps it if the other part's interval holds it.
+    The interval join: a part covers the cells from SCOPE before it to SCOPE after it, a weak span those
+    from its start to its stop, and the semi join keeps it if the two intervals meet: then they share a cell.
     Rows with the same key and text count once, as their spans are the same.
     """
     texts = found.where(F.size("login") + F.size("blob") + F.size("endpoint") > 0).dropDuplicates(["key", "content"])
@@ -82,15 +82,16 @@ def linked(found: DataFrame) -> DataFrame:
     cells = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("stop") + SCOPE) / SCOPE))
     parts = spans.select("key", "content", part.alias("part"), F.col("start").alias("p_start"),
                          F.col("stop").alias("p_stop"), F.explode(cells).alias("cell"))
-    # Of the parts of one kind in a cell only the outermost limits matter for a start in that cell.
-    weak = spans.where(F.col("rank") >= len(BASE)).withColumn("cell", F.floor(F.col("start") / SCOPE))
+    weak = spans.where(F.col("rank") >= len(BASE))
+    own_cells = F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("stop") / SCOPE))
 
     def confirmed(rows: DataFrame, need: str) -> DataFrame:
         other = parts.where(F.col("part") == need).select(
             F.col("key").alias("k"), F.col("content").alias("c"), F.col("cell").alias("p_cell"), "p_start", "p_stop")
         near = (F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c")) & (F.col("cell") == F.col("p_cell"))
                 & (F.col("p_start") <= F.col("stop") + SCOPE) & (F.col("p_stop") >= F.col("start") - SCOPE))
-        return rows.join(other, near, "left_semi")
+        # Each need looks in all cells of a span: the parts may lie on its two sides.
+        return rows.withColumn("cell", F.explode(own_cells)).join(other, near, "left_semi").drop("cell").distinct()
 
     kept = None
     for kind, needs in NEEDS.items():

@@ -52,6 +52,23 @@ def test_weak_parts_need_their_complement(scanned):
     assert whole <= {(s.start, s.rank, s.stop) for r in scanned[0].values() for s in r.spans}
 
 
+def test_parts_within_scope_of_a_long_span(spark):
+    address, login, secret = "https://a.example.com/".ljust(600, "x"), "login=" + "b" * 14, "password=abcdef1"
+    texts = {
+        1: f"{KEY} {address}" + " " * 20 + secret,                    # the parts lie on both sides, in cells apart
+        2: f"{KEY} {address}" + " " * 256 + secret,
+        3: f"{KEY} {address}" + " " * 257 + secret,
+        4: " " * 255 + login + " " * 250 + secret,
+        5: " " * 255 + login + " " * 257 + secret,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = secrets.scanned(docs).select("key", "spans", secrets.listed("spans").alias("said")).collect()
+    said = {r.key: r.said for r in rows}
+    assert {key for key, s in said.items() if "endpoint" in s} == {1, 2}
+    assert {key for key, s in said.items() if "login" in s} == {4}
+    assert all(len(set(r.spans)) == len(r.spans) for r in rows)
+
+
 def test_redaction_replaces_each_run(spark, scanned):
     rows = secrets.redacted(scanned[1]).collect()
     assert len(rows) == len(TEXTS) + 2 and rows[0].asDict().keys() == {"doc_id", "text", "spans"}
