@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, hnsw, html_tree, nn_descent, packing, secrets, simhash, suffix
+from . import bpe, chat, crf, hnsw, html_tree, nn_descent, packing, periodic, secrets, simhash, suffix, url_rules, whitening
 from .common import table
 
 
@@ -80,6 +80,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents in which every tenth id, by the hash h of its decimal digits, repeats its words from a on with period p.
+
+    Texts of the others, of a null id and of no words stay as they are.
+    """
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = periodic.words_of(F.col("text"))
+    n, g = F.size("words").cast("long"), F.floor(h / 10).cast("long")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words")).withColumn("a", F.when(n > 0, g % n))
+    period = F.floor((n - F.col("a")) / (3 + g % 8)).cast("long") + 1
+    planted = F.transform(F.col("words"), lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.withColumn("p", period).select(
+        "doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.found(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    return rows.select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+SITES = (("net/", False), ("example.net/en/", True), ("example.com/de/", False), ("org/fr/", True))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_rules.site_rule(text, allow) for text, allow in SITES] + [
+        url_rules.pattern_rule(text) for text in url_rules.PATTERNS]
+    rows = url_rules.judged(table(spark, sf_dir, "pages"), rules)
+    return rows.select(F.col("key").alias("page_id"), "host", "path", "rule", "pattern", "verdict")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=32).withColumnRenamed("key", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
@@ -91,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -106,4 +149,38 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    # Every rule stated as a regular expression of its own, tried on every URL.
+    "op12_url_filter": r"""
+WITH s AS (SELECT * FROM (VALUES ('net/', '(^|\.)net$', '/', 'block'), ('example.net/en/', '(^|\.)example\.net$', '/en/', 'allow'),
+    ('example.com/de/', '(^|\.)example\.com$', '/de/', 'block'), ('org/fr/', '(^|\.)org$', '/fr/', 'allow')) v(rule, host_regex, prefix, verdict)),
+f AS (SELECT * FROM (VALUES
+    ('||adult-', '^([^/?#]*\.)?adult-', 'block'), ('||adult.', '^([^/?#]*\.)?adult\.', 'block'),
+    ('||porn-', '^([^/?#]*\.)?porn-', 'block'), ('||porn.', '^([^/?#]*\.)?porn\.', 'block'),
+    ('||xxx.', '^([^/?#]*\.)?xxx\.', 'block'), ('||xxx-', '^([^/?#]*\.)?xxx-', 'block'),
+    ('||casino-', '^([^/?#]*\.)?casino-', 'block'), ('||casino.', '^([^/?#]*\.)?casino\.', 'block'),
+    ('||poker-', '^([^/?#]*\.)?poker-', 'block'), ('||betting-', '^([^/?#]*\.)?betting-', 'block'),
+    ('||ads.', '^([^/?#]*\.)?ads\.', 'block'), ('||ad.', '^([^/?#]*\.)?ad\.', 'block'),
+    ('||adserver.', '^([^/?#]*\.)?adserver\.', 'block'), ('||tracker.', '^([^/?#]*\.)?tracker\.', 'block'),
+    ('||tracking.', '^([^/?#]*\.)?tracking\.', 'block'), ('||doubleclick.', '^([^/?#]*\.)?doubleclick\.', 'block'),
+    ('/adserver/', '/adserver/', 'block'), ('/banner-ads/', '/banner-ads/', 'block'), ('/popunder/', '/popunder/', 'block'),
+    ('/affiliate^', '/affiliate([^a-z0-9_.%-]|$)', 'block'), ('/wp-login.', '/wp-login\.', 'block'),
+    ('/wp-admin/', '/wp-admin/', 'block'), ('/cgi-bin/', '/cgi-bin/', 'block'), ('/login^', '/login([^a-z0-9_.%-]|$)', 'block'),
+    ('/signup^', '/signup([^a-z0-9_.%-]|$)', 'block'), ('/checkout^', '/checkout([^a-z0-9_.%-]|$)', 'block'),
+    ('/cart^', '/cart([^a-z0-9_.%-]|$)', 'block'), ('/share^*url=', '(?s)/share([^a-z0-9_.%-]|$).*url=', 'block'),
+    ('/search^*q=', '(?s)/search([^a-z0-9_.%-]|$).*q=', 'block'), ('/calendar/*/day/', '(?s)/calendar/.*/day/', 'block'),
+    ('^sessionid=', '[^a-z0-9_.%-]sessionid=', 'block'), ('^phpsessid=', '[^a-z0-9_.%-]phpsessid=', 'block'),
+    ('^jsessionid=', '[^a-z0-9_.%-]jsessionid=', 'block'), ('^replytocom=', '[^a-z0-9_.%-]replytocom=', 'block'),
+    ('/print/*.html|', '(?s)/print/.*\.html$', 'block'), ('@@||docs.', '^([^/?#]*\.)?docs\.', 'allow'),
+    ('@@||wiki.', '^([^/?#]*\.)?wiki\.', 'allow'), ('@@/license^', '/license([^a-z0-9_.%-]|$)', 'allow')) v(pattern, regex, verdict)),
+u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, row_number() OVER () AS place, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM u),
+ps AS (SELECT place, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+       FROM p JOIN s ON regexp_matches(host, host_regex) AND starts_with(path, prefix) GROUP BY place),
+pf AS (SELECT place, arg_min(pattern, (verdict = 'block', pattern)) AS pattern, min(verdict) AS verdict
+       FROM p JOIN f ON regexp_matches(folded, regex) GROUP BY place)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN pattern END AS pattern,
+       coalesce(ps.verdict, pf.verdict, 'allow') AS verdict
+FROM p LEFT JOIN ps USING (place) LEFT JOIN pf USING (place)""",
 }
