@@ -121,12 +121,13 @@ def indexed(rows: DataFrame, rules: Sequence[Rule]) -> list[tuple[str, int, Rule
     What comes to the driver is one count per token of the rules.
     """
     wanted = sorted({t for rule in rules for t in rule.tokens})
-    counts: dict[str, int] = {}
-    if wanted:
-        spark = rows.sparkSession
-        mine = spark.createDataFrame([(t,) for t in wanted], "token string")
-        counts = {r.token: r.n for r in rows.select(F.explode(tokens_of()).alias("token")).join(mine, "token").groupBy(
-            "token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tokens = rows.select(F.explode(tokens_of()).alias("token"))
+    if len(wanted) <= IN_ROW:
+        tokens = tokens.where(F.col("token").isin(wanted))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if len(wanted) > IN_ROW:
+        counted = counted.join(rows.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token")
+    counts = {r.token: r.n for r in counted.collect()} if wanted else {}
     return [(min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=""), rank, rule)
             for rank, rule in enumerate(ranked(rules))]
 
