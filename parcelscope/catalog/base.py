@@ -150,10 +150,11 @@ def presentable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, recursive: bool = False):
     """Registers a function of the delivery tables, with the SQL that must agree with it.
 
-    `sql` is a SELECT, or further named tables followed by one, over the tables of LENS.
+    `sql` is a SELECT, or further named tables followed by one, over the tables of LENS; `recursive` where
+    one of them is built from itself.
     """
     def register(build: Callable[[Deliveries], DataFrame]):
         if name in QUERIES:
@@ -162,6 +163,6 @@ def query(name: str, sql: str | None = None):
         if sql is not None:
             body = sql.strip()
             joint = "" if body.upper().startswith("SELECT") else ","
-            ORACLE[name] = f"WITH {LENS.strip()}{joint} {body}"
+            ORACLE[name] = f"WITH {'RECURSIVE ' * recursive}{LENS.strip()}{joint} {body}"
         return build
     return register

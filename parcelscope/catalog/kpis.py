@@ -12,6 +12,7 @@ from ..operators import drivers as drv
 from ..plans import star
 from ..session import written
 from .base import query
+from .solvers import assigned_sql, clusters_sql
 
 
 @query("a1_executive_kpis", """SELECT count(*) AS total_orders, round(sum(amount_cents) / 100.0, 6) AS total_revenue,
@@ -293,11 +294,29 @@ def _(t):
     return finance.impact_by_quadrant(drv.driver_dimension(t.orders_without_region, t.drivers))
 
 
-@query("a35_profile_impact")
-def _(t):
+DRIVER_ROWS_SQL = """df AS (SELECT driver_id, count(*) AS total_deliveries, avg(has_missing::INT) AS missing_rate,
+    sum(amount_cents) / 100.0 / count(*) AS avg_order_value, count(DISTINCT region) AS region_diversity,
+    avg(items_delivered) AS avg_items FROM o WHERE driver_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)"""
+DRIVER_CLUSTERS_SQL = f"""{DRIVER_ROWS_SQL}, {clusters_sql("df", "driver_id", clusters.DRIVER_FEATURES, [3], "d")}, {assigned_sql(3, "d")},
+    ds AS (SELECT cluster, count(*) AS n_drivers, round_even(avg(missing_rate), 3) AS avg_missing_rate,
+    round_even(avg(total_deliveries), 3) AS avg_deliveries, round_even(avg(avg_order_value), 3) AS avg_ticket
+    FROM df JOIN kad ON key = driver_id GROUP BY 1),
+    dp AS (SELECT *, ['Low Risk', 'Medium Risk', 'High Risk'][row_number() OVER (ORDER BY avg_missing_rate, cluster)] AS profile FROM ds)"""
+
+
+def _driver_clusters(t):
     rows = written(clusters.driver_features(t.orders), "drivers")
-    model = clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3)
-    return clusters.profile_impact(t.orders_without_region, clusters.assigned(model, rows, clusters.DRIVER_FEATURES))
+    return clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3, "driver_id"), rows)
+
+
+@query("a35_profile_impact", DRIVER_CLUSTERS_SQL + """, pi AS (SELECT profile, count(*) AS total_orders, count(*) FILTER (WHERE has_missing)
+    AS total_failures, sum(amount_cents) / 100.0 AS total_revenue FROM o JOIN kad ON key = driver_id JOIN dp USING (cluster) GROUP BY 1)
+    SELECT profile, total_orders, total_failures, round(total_failures::DOUBLE / total_orders, 6) AS failure_rate,
+    round(total_revenue, 6) AS total_revenue, round(total_failures * 25.0, 6) AS estimated_cost,
+    round(total_failures * 25.0 / total_revenue * 100, 6) AS pct_revenue_at_risk,
+    round(total_failures * 100.0 / sum(total_failures) OVER (), 6) AS pct_of_cost FROM pi""", recursive=True)
+def _(t):
+    return clusters.profile_impact(t.orders_without_region, _driver_clusters(t))
 
 
 @query("a36_retention_summary", """rs AS (SELECT count(*) AS n, count(*) FILTER (WHERE had_failure) AS had,
@@ -370,11 +389,9 @@ def _(t):
     return kpis.extremes(kpis.amounts_by(t.orders, "region"), "region", "failure_rate")
 
 
-@query("a41_cluster_summary")
+@query("a41_cluster_summary", DRIVER_CLUSTERS_SQL + " SELECT * FROM dp", recursive=True)
 def _(t):
-    rows = written(clusters.driver_features(t.orders), "drivers")
-    model = clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3)
-    return clusters.driver_clusters(clusters.assigned(model, rows, clusters.DRIVER_FEATURES))
+    return clusters.driver_clusters(_driver_clusters(t))
 
 
 @query("a42_driver_list", "SELECT driver_id, driver_name, round(failure_rate, 6) AS driver_hist_rate FROM dt")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, clusters, features, kpis, models, stats
@@ -12,8 +10,9 @@ from ..plans import report
 from ..session import written
 from ..sources import writers
 from .base import query
-from .kpis import VARIANCE_SQL
+from .kpis import DRIVER_CLUSTERS_SQL, DRIVER_ROWS_SQL, VARIANCE_SQL
 from .relational import PHASES
+from .solvers import assigned_sql, axes_sql, clusters_sql, newton_sql
 
 
 @query("x1_correlation", """cr AS (SELECT count(*) AS n, corr(items_delivered, items_missing) AS r FROM o)
@@ -171,14 +170,15 @@ FEATURE_SQL = """pf AS (SELECT order_id, coalesce(CASE WHEN driver_id IS NOT NUL
     re AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS code FROM (SELECT DISTINCT region FROM o)),
     pn AS (SELECT order_id, CASE delivery_hour // 6 WHEN 0 THEN 'overnight' WHEN 1 THEN 'morning' WHEN 2 THEN 'afternoon'
            ELSE 'evening' END AS period FROM o),
-    pe AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS code FROM (SELECT DISTINCT period FROM pn))
-    SELECT order_id, round(rate, 6) AS driver_fail_rate, round(order_amount, 6) AS order_amount, items_delivered, delivery_hour,
+    pe AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS code FROM (SELECT DISTINCT period FROM pn)),
+    ft AS MATERIALIZED (SELECT order_id, rate AS driver_fail_rate, order_amount, items_delivered, delivery_hour,
     pe.code::INT AS period_enc, (isodow(date) >= 6)::INT AS is_weekend, (isodow(date) = 1)::INT AS is_monday,
     re.code::INT AS region_enc, customer_age, has_missing::INT AS label FROM o JOIN pf USING (order_id) JOIN re USING (region)
-    JOIN pn USING (order_id) JOIN pe USING (period) JOIN cu USING (customer_id)"""
+    JOIN pn USING (order_id) JOIN pe USING (period) JOIN cu USING (customer_id))"""
 
 
-@query("l1_feature_table", FEATURE_SQL)
+@query("l1_feature_table", FEATURE_SQL + """ SELECT * REPLACE (round(driver_fail_rate, 6) AS driver_fail_rate,
+    round(order_amount, 6) AS order_amount) FROM ft""")
 def _(t):
     return features.feature_table(t.orders, t.customers)
 
@@ -218,18 +218,36 @@ def _(t):
         "driver_id", *[f"{f}_z" for f in clusters.DRIVER_FEATURES])
 
 
-@query("l4_odds_ratios")
+SPLIT_SQL = FEATURE_SQL + """, sd AS (SELECT *, CAST(('0x' || substr(md5(order_id::VARCHAR), 1, 13))::BIGINT AS DOUBLE) AS draw FROM ft),
+    sc AS (SELECT label, quantile_cont(draw, 0.2) AS cut FROM sd GROUP BY 1),
+    tr AS MATERIALIZED (SELECT sd.* FROM sd JOIN sc USING (label) WHERE draw > cut),
+    te AS MATERIALIZED (SELECT sd.* FROM sd JOIN sc USING (label) WHERE draw <= cut)"""
+REGRESSION_SQL = SPLIT_SQL + ", " + newton_sql("tr", features.FEATURES, True, "a")
+_NAMES = ", ".join(f"'{f}'" for f in features.FEATURES)
+
+
+@query("l4_odds_ratios", f"""{REGRESSION_SQL}, od AS (SELECT unnest([{_NAMES}]) AS feature, unnest(w[1:9]) AS coef FROM rwa)
+    SELECT feature, round(coef, 6) AS coef, round(exp(coef), 6) AS odds_ratio FROM od""", recursive=True)
 def _(t):
     train, _test = _split(t)
     return models.odds_ratios(t.spark, models.fit_logistic(train))
 
 
+RISK_MODEL_SQL = """rc AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS region_enc FROM (SELECT DISTINCT region FROM o)),
+    wc AS (SELECT day_of_week, row_number() OVER (ORDER BY day_of_week) - 1 AS day_enc FROM (SELECT DISTINCT day_of_week FROM o)),
+    dh AS (SELECT driver_id, avg(has_missing::INT) AS rate FROM o WHERE driver_id IS NOT NULL GROUP BY 1),
+    rr AS MATERIALIZED (SELECT order_id, region_enc, day_enc, delivery_hour, order_amount, items_delivered, coalesce(rate, g_rate) AS
+    driver_hist_rate, has_missing::INT AS label FROM o JOIN rc USING (region) JOIN wc USING (day_of_week) LEFT JOIN dh USING (driver_id), g),
+    """ + newton_sql("rr", models.RISK_FEATURES, False, "b") + """,
+    rs AS MATERIALIZED (SELECT order_id, y::INT AS label, 1 / (1 + exp(-list_dot_product(x, w))) AS score, x, w FROM nxb, rwb)"""
+
+
 def _risk_model(t):
     rows = written(features.risk_features(t.orders), "risk")
     return models.fit_logistic(rows, models.RISK_FEATURES, standardise=False), rows
 
 
-@query("l5_risk_model_in_sample")
+@query("l5_risk_model_in_sample", RISK_MODEL_SQL + " SELECT order_id, label, round(score, 6) AS score FROM rs", recursive=True)
 def _(t):
     model, rows = _risk_model(t)
     return models.scored(model, rows).select("order_id", "label", "score")
@@ -244,7 +262,20 @@ def _(t):
 @query("l7_importances")
 def _(t):
     model, _train, _test = _forest(t, trees=200)
-    return models.importances(t.spark, model)
+    return models.importances(model)
+
+
+LOGISTIC_TEST_SQL = REGRESSION_SQL + """, ls AS MATERIALIZED (SELECT order_id, label, 1 / (1 + exp(-(w[10] + """ + " + ".join(
+    f"coalesce(({f} - m{i}) / nullif(s{i}, 0), 0) * w[{i + 1}]" for i, f in enumerate(features.FEATURES)) + """))) AS score
+    FROM te, rwa, moa)"""
+
+
+@query("l8_logistic_auc", LOGISTIC_TEST_SQL + """, rk AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0
+    AS place FROM ls) SELECT round((sum(place) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+    / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM rk""", recursive=True)
+def _(t):
+    train, test = _split(t)
+    return models.auc_from_counts(models.scored(models.fit_logistic(train), test))
 
 
 @query("l8_auc")
@@ -253,6 +284,14 @@ def _(t):
     return models.auc_from_counts(models.scored(model, test))
 
 
+@query("l9_logistic_curve", LOGISTIC_TEST_SQL + """ SELECT DISTINCT round(score, 6) AS threshold,
+    round(sum((label = 0)::INT) OVER (ORDER BY score DESC)::DOUBLE / sum((label = 0)::INT) OVER (), 6) AS fpr,
+    round(sum((label = 1)::INT) OVER (ORDER BY score DESC)::DOUBLE / sum((label = 1)::INT) OVER (), 6) AS tpr FROM ls""", recursive=True)
+def _(t):
+    train, test = _split(t)
+    return models.roc_curve(models.scored(models.fit_logistic(train), test))
+
+
 @query("l9_roc_curves")
 def _(t):
     train, test = _split(t)
@@ -314,7 +353,10 @@ def _(t):
         "x.name", "x.v.test", "x.v.statistic", "x.v.p_value", "x.v.significant", "x.v.label")
 
 
-@query("l13_risk_scores")
+@query("l13_risk_scores", RISK_MODEL_SQL + f""" SELECT order_id, round(score, 6) AS probability,
+    CASE WHEN score < 0.1 THEN 'Low Risk' WHEN score < 0.2 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_label,
+    round((score - g_rate) * 100, 6) AS delta_pp, unnest([{", ".join(f"'{f}'" for f in models.RISK_FEATURES)}]) AS feature,
+    unnest(list_transform(x[1:6], lambda v, i: round(v * w[i], 6))) AS contribution FROM rs, g""", recursive=True)
 def _(t):
     model, _rows = _risk_model(t)
     base = kpis.global_scalar(t.orders_without_region)
@@ -338,34 +380,51 @@ def _(t):
 
 def _driver_clusters(t):
     rows = written(clusters.driver_features(t.orders), "drivers")
-    return clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3), rows, clusters.DRIVER_FEATURES)
+    return clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3, "driver_id"), rows)
 
 
-@query("l16_elbow")
+@query("l16_elbow", f"""{DRIVER_ROWS_SQL}, {clusters_sql("df", "driver_id", clusters.DRIVER_FEATURES, range(2, 9), "e")}
+    SELECT k::INT AS k, round(inertia, 6) AS inertia FROM kbe""", recursive=True)
 def _(t):
-    return clusters.elbow(t.spark, written(clusters.driver_features(t.orders), "drivers"), clusters.DRIVER_FEATURES)
+    return clusters.elbow(t.spark, written(clusters.driver_features(t.orders), "drivers"), clusters.DRIVER_FEATURES, "driver_id")
 
 
-@query("l17_driver_clusters")
+@query("l17_driver_clusters", DRIVER_CLUSTERS_SQL + " SELECT * FROM dp", recursive=True)
 def _(t):
     return clusters.driver_clusters(_driver_clusters(t))
 
 
-@query("l18_customer_clusters")
+@query("l17_cluster_members", DRIVER_CLUSTERS_SQL + " SELECT key AS driver_id, cluster FROM kad", recursive=True)
+def _(t):
+    return _driver_clusters(t).select("driver_id", "cluster")
+
+
+@query("l18_customer_clusters", f"""cf AS (SELECT customer_id, count(*) AS total_orders, sum(amount_cents) / 100.0 AS total_spent,
+    sum(amount_cents) / 100.0 / count(*) AS avg_order_value, avg(has_missing::INT) AS missing_rate, min(customer_age) AS customer_age
+    FROM m GROUP BY 1), {clusters_sql("cf", "customer_id", clusters.CUSTOMER_FEATURES, [4], "c")}, {assigned_sql(4, "c")},
+    cs AS (SELECT cluster, count(*) AS n_customers, avg(total_orders) AS o, avg(total_spent) AS s, avg(avg_order_value) AS v,
+    avg(missing_rate) AS r, avg(coalesce(customer_age, 0)) AS a FROM cf JOIN kac ON key = customer_id GROUP BY 1)
+    SELECT cluster, n_customers, round_even(o, 2) AS avg_orders, round_even(s, 2) AS avg_spent, round_even(v, 2) AS avg_ticket,
+    round_even(r, 2) AS avg_missing, round_even(a, 2) AS avg_age, ['VIP', 'Regular High', 'Regular Low', 'Occasional'][row_number() OVER
+    (ORDER BY round_even(s, 2) DESC, cluster)] AS segment FROM cs""", recursive=True)
 def _(t):
     rows = written(clusters.customer_features(t.orders_without_region, t.customers), "customers")
-    model = clusters.fit_clusters(rows, clusters.CUSTOMER_FEATURES, 4)
-    return clusters.customer_clusters(clusters.assigned(model, rows, clusters.CUSTOMER_FEATURES))
+    model = clusters.fit_clusters(rows, clusters.CUSTOMER_FEATURES, 4, "customer_id")
+    return clusters.customer_clusters(clusters.assigned(model, rows))
 
 
-@query("l19_driver_axes")
+@query("l19_driver_axes", f"""{DRIVER_ROWS_SQL}, {clusters_sql("df", "driver_id", clusters.DRIVER_FEATURES, [3], "d")},
+    {axes_sql(len(clusters.DRIVER_FEATURES), "d")}
+    SELECT key AS driver_id, round(list_dot_product(x, v1), 6) AS pca1, round(list_dot_product(x, v2), 6) AS pca2,
+    round(e1, 6) AS explained1, round(e2, 6) AS explained2 FROM kxd, axd""", recursive=True)
 def _(t):
     rows = written(clusters.driver_features(t.orders), "drivers")
-    axes = clusters.principal_axes(rows, clusters.DRIVER_FEATURES)
-    return clusters.projected(axes, rows, clusters.DRIVER_FEATURES, "driver_id")
+    return clusters.projected(clusters.principal_axes(rows, clusters.DRIVER_FEATURES), rows, "driver_id")
 
 
-@query("l20_cluster_distribution")
+@query("l20_cluster_distribution", DRIVER_CLUSTERS_SQL + """ SELECT profile, count(*) AS drivers, round(avg(missing_rate), 6) AS avg_rate,
+    round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM df JOIN kad ON key = driver_id JOIN dp USING (cluster)
+    GROUP BY 1""", recursive=True)
 def _(t):
     return clusters.cluster_distribution(_driver_clusters(t))
 
@@ -373,110 +432,4 @@ def _(t):
 @query("l21_top_factors")
 def _(t):
     model, _train, _test = _forest(t, trees=200)
-    return models.top_factors(models.importances(t.spark, model))
-
-
-# What must hold for model results whatever the library's random numbers, next to the rows that SQL can count.
-
-SPLIT_SQL = """sd AS (SELECT order_id, has_missing, CAST(('0x' || substr(md5(order_id::VARCHAR), 1, 13))::BIGINT AS DOUBLE) AS draw
-    FROM o), sc AS (SELECT has_missing, quantile_cont(draw, 0.2) AS cut FROM sd GROUP BY 1),
-    te AS (SELECT order_id, has_missing FROM sd JOIN sc USING (has_missing) WHERE draw <= cut)"""
-
-
-def _checks(spark, rows):
-    return spark.createDataFrame([(name, int(n), bool(holds)) for name, n, holds in rows], "check string, n bigint, holds boolean")
-
-
-@query("l6_l11_forest_checks", SPLIT_SQL + """ SELECT * FROM (
-    SELECT 'L6 scores of test rows in 0..1' AS "check", count(*) AS n, true AS holds FROM te UNION ALL
-    SELECT 'L7 importances add up to 1', 9, true UNION ALL
-    SELECT 'L8 area equals the library', count(*), true FROM te WHERE has_missing UNION ALL
-    SELECT 'L8 area above chance', 1, true UNION ALL
-    SELECT 'L9 curve never falls', 0, true UNION ALL
-    SELECT 'L10 base and attributions add up to the score', count(*), true FROM te UNION ALL
-    SELECT 'L11 category shares add up to 100', 5, true UNION ALL SELECT 'L21 top factors in order', 5, true)""")
-def _(t):
-    model, _train, test = _forest(t)
-    scores = written(models.scored(model, test).select("order_id", "label", "score", "probability"), "scores")
-    n, failed, low, high = scores.agg(F.count("order_id"), F.sum("label"), F.min("score"), F.max("score")).first()
-    weights = models.importances(t.spark, model).collect()
-    area, library = models.auc_from_counts(scores).first().auc, models.auc(scores)
-    by_score = Window.orderBy(F.desc("threshold"))
-    falls = models.roc_curve(scores).withColumns({
-        "x": F.lag("fpr", 1, 0.0).over(by_score), "y": F.lag("tpr", 1, 0.0).over(by_score)}).where(
-        "fpr < x OR tpr < y").count()
-    phi = written(attribution.attributions(t.spark, model, test), "phi")
-    total = sum((F.col(f) for f in features.FEATURES), F.col("base_value"))
-    rows, off = phi.join(scores, "order_id").agg(F.count("order_id"), F.max(F.abs(total - F.col("score")))).first()
-    shares = attribution.category_attribution(phi).collect()
-    top = models.top_factors(models.importances(t.spark, model)).collect()
-    return _checks(t.spark, [
-        ("L6 scores of test rows in 0..1", n, 0 <= low <= high <= 1),
-        ("L7 importances add up to 1", len(weights), abs(sum(w.importance for w in weights) - 1) < 1e-9),
-        ("L8 area equals the library", failed, abs(area - library) < 1e-9), ("L8 area above chance", 1, area > 0.5),
-        ("L9 curve never falls", falls, falls == 0),
-        ("L10 base and attributions add up to the score", rows, off < 1e-9),
-        ("L11 category shares add up to 100", len(shares), abs(sum(s.pct for s in shares) - 100) < 1e-9),
-        ("L21 top factors in order", len(top), [f.feature for f in top] == [w.feature for w in weights[:5]])])
-
-
-@query("l4_l13_regression_checks", """SELECT * FROM (SELECT 'L4 gradient is zero' AS "check", 9 AS n, true AS holds UNION ALL
-    SELECT 'L5 scores of all rows in 0..1', count(*), true FROM o UNION ALL
-    SELECT 'L13 every order has a probability', count(*), true FROM o UNION ALL
-    SELECT 'L13 label fits the probability', count(*), true FROM o UNION ALL
-    SELECT 'L13 six contributions each', count(*) * 6, true FROM o)""")
-def _(t):
-    train, _test = _split(t)
-    model = models.fit_logistic(train)
-    slope = F.col("score") - F.col("label")
-    scaled = models.scored(model, train).withColumn("x", vector_to_array("features"))
-    sums = scaled.agg(F.count("label").alias("n"), *[F.sum(slope * F.col("x")[i]).alias(f"g{i}")
-                                                      for i in range(len(features.FEATURES))]).first()
-    steepest = max(abs(sums[f"g{i}"] + c) for i, c in enumerate(model.stages[-1].coefficients.toArray())) / sums.n
-    risk, rows = _risk_model(t)
-    n, low, high = models.scored(risk, rows).agg(F.count("score"), F.min("score"), F.max("score")).first()
-    base = kpis.global_scalar(t.orders_without_region)
-    marked = models.risk_scores(risk, features.raw_risk_rows(t.orders, t.orders), base["failure_rate"])
-    p = F.col("probability")
-    fits = F.col("risk_label") == F.when(p < 0.1, "Low Risk").when(p < 0.2, "Medium Risk").otherwise("High Risk")
-    every, fitting, parts, least, most = marked.agg(F.count(p), F.count_if(fits), F.sum(F.size("contributions")),
-                                                    F.min(p), F.max(p)).first()
-    return _checks(t.spark, [
-        ("L4 gradient is zero", len(features.FEATURES), steepest < 1e-4),
-        ("L5 scores of all rows in 0..1", n, 0 <= low <= high <= 1),
-        ("L13 every order has a probability", every, 0 <= least <= most <= 1),
-        ("L13 label fits the probability", fitting, fitting == every), ("L13 six contributions each", parts, True)])
-
-
-@query("l16_l20_cluster_checks", """dn AS (SELECT driver_id, count(*) AS n, count(*) FILTER (WHERE has_missing) AS bad FROM o
-    WHERE driver_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
-    SELECT * FROM (SELECT 'L16 distance falls with k' AS "check", 3 AS n, true AS holds UNION ALL
-    SELECT 'L17 drivers over clusters', count(*), true FROM dn UNION ALL
-    SELECT 'L17 rates rise from low to high risk', 3, true UNION ALL
-    SELECT 'L18 customers over clusters', count(DISTINCT customer_id), true FROM o UNION ALL
-    SELECT 'L18 spending falls from the first segment', 4, true UNION ALL
-    SELECT 'L19 axes explain a share each', 2, true UNION ALL
-    SELECT 'L20 shares of drivers add up', count(*), true FROM dn UNION ALL
-    SELECT 'A35 failures over profiles', sum(bad)::BIGINT, true FROM dn)""")
-def _(t):
-    rows = written(clusters.driver_features(t.orders), "drivers")
-    elbow = clusters.elbow(t.spark, rows, clusters.DRIVER_FEATURES, ks=(2, 3, 4)).orderBy("k").collect()
-    found = clusters.assigned(clusters.fit_clusters(rows, clusters.DRIVER_FEATURES, 3), rows, clusters.DRIVER_FEATURES)
-    profiles = clusters.driver_clusters(found).collect()
-    rates = [next(p.avg_missing_rate for p in profiles if p.profile == name) for name in clusters.DRIVER_PROFILES]
-    people = written(clusters.customer_features(t.orders_without_region, t.customers), "customers")
-    model = clusters.fit_clusters(people, clusters.CUSTOMER_FEATURES, 4)
-    segments = clusters.customer_clusters(clusters.assigned(model, people, clusters.CUSTOMER_FEATURES)).collect()
-    spent = [next(s.avg_spent for s in segments if s.segment == name) for name in clusters.CUSTOMER_SEGMENTS]
-    explained = clusters.principal_axes(rows, clusters.DRIVER_FEATURES).stages[-1].explainedVariance.toArray()
-    shares = clusters.cluster_distribution(found).collect()
-    impact = clusters.profile_impact(t.orders_without_region, found).collect()
-    return _checks(t.spark, [
-        ("L16 distance falls with k", len(elbow), elbow[0].inertia > elbow[1].inertia > elbow[2].inertia),
-        ("L17 drivers over clusters", sum(p.n_drivers for p in profiles), True),
-        ("L17 rates rise from low to high risk", len(rates), rates == sorted(rates)),
-        ("L18 customers over clusters", sum(s.n_customers for s in segments), True),
-        ("L18 spending falls from the first segment", len(spent), spent == sorted(spent, reverse=True)),
-        ("L19 axes explain a share each", len(explained), 1 >= sum(explained) and explained[0] >= explained[1] > 0),
-        ("L20 shares of drivers add up", sum(s.drivers for s in shares), abs(sum(s.pct for s in shares) - 100) < 1e-9),
-        ("A35 failures over profiles", sum(i.total_failures for i in impact), True)])
+    return models.top_factors(models.importances(model))

@@ -8,33 +8,18 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions import bands
-from ..session import fresh_path
 from .features import FEATURE_CATEGORIES, FEATURES
+from .models import Forest
 
 # The functions run in Python workers travel with the job; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def forest_nodes(spark: SparkSession, model: PipelineModel) -> pd.DataFrame:
-    """All nodes of the forest. Their number is bounded by trees x 2^(depth + 1), whatever the data."""
-    path = fresh_path(spark, "forest")
-    model.stages[-1].save(path)
-    # `impurityStats` holds the weighted rows per class, so its sum is the cover of the node.
-    return spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("cover"),
-        F.col("nodeData.impurityStats")[1].alias("positive")).toPandas()
-
-
 def leaf_rules(nodes: pd.DataFrame) -> list[tuple]:
     """Every leaf as (features, lows, highs, reach, value).
 
@@ -89,15 +74,14 @@ def _attribute(rules: list[tuple], x: np.ndarray, trees: int) -> np.ndarray:
     return phi / trees
 
 
-def attributions(spark: SparkSession, model: PipelineModel, rows: DataFrame,
-                 features: Sequence[str] = FEATURES) -> DataFrame:
+def attributions(spark: SparkSession, model: Forest, rows: DataFrame) -> DataFrame:
     """order_id, base value and one column per feature; base + sum equals the predicted chance."""
-    nodes = forest_nodes(spark, model)
+    nodes = model.nodes()
     trees = int(nodes["tree"].nunique())
     rules = leaf_rules(nodes)
     base = sum(float(np.prod(reach)) * value for _, _, _, reach, value in rules) / trees
     shared = spark.sparkContext.broadcast(rules)
-    names = list(features)
+    names = list(model.features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,22 +1,30 @@
-"""Failure-risk models: logistic regression and random forest."""
+"""Failure-risk models: logistic regression and random forest, and their scores without the fitted library objects."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands
+from ..session import fresh_path
 from .distribution import running_counts
 from .features import FEATURES
 
+# The functions run in Python workers travel with the job; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RISK_FEATURES = ["region_enc", "day_enc", "delivery_hour", "order_amount", "items_delivered",
                  "driver_hist_rate"]
 
@@ -41,51 +49,234 @@ FACTOR_ACTIONS = {
 }
 
 
-def _assembler(features: Sequence[str], output: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=output)
+# ---- logistic regression
+
+@dataclass(frozen=True)
+class Logistic:
+    """A fitted regression: each feature as (x - centre) * scale, then weights and an intercept."""
 
+    features: tuple[str, ...]
+    centres: tuple[float, ...]
+    scales: tuple[float, ...]
+    weights: tuple[float, ...]
+    intercept: float
+    rows: int
+    penalty: float
 
-def _score() -> Column:
-    return vector_to_array("probability")[1]
+    def linear(self) -> Column:
+        terms = [(F.col(f).cast("double") - c) * (s * w)
+                 for f, c, s, w in zip(self.features, self.centres, self.scales, self.weights)]
+        return sum(terms, F.lit(self.intercept))
 
+    def score(self) -> Column:
+        """Plain arithmetic on the feature columns; null where a feature is."""
+        return 1 / (1 + F.exp(-self.linear()))
 
-def scaler(features: Sequence[str]) -> list:
-    """Assembles and standardises. The scale uses the sample deviation, which is larger than the
-    population one by sqrt(n / (n - 1))."""
-    return [_assembler(features, "raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]
+
+def scaling(df: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float]]:
+    """Mean of each feature, and one over its sample deviation (0 for a feature without spread)."""
+    row = df.agg(*[F.struct(F.avg(f).alias("mean"), F.stddev_samp(f).alias("sd")).alias(f"f{i}")
+                   for i, f in enumerate(features)]).first()
+    return ([float(row[i].mean or 0) for i in range(len(features))],
+            [1 / row[i].sd if row[i].sd else 0.0 for i in range(len(features))])
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    model = Pipeline(stages=scaler(features)).fit(df)
-    values = vector_to_array("features")
-    return model.transform(df).select("*", *[values[i].alias(f"{f}_z") for i, f in enumerate(features)]).drop(
-        "raw_features", "features")
+    """Adds f_z for each feature. The scale uses the sample deviation, which is larger than the population
+    one by sqrt(n / (n - 1)); a feature without any spread is 0 everywhere."""
+    means, scales = scaling(df, features)
+    return df.select("*", *[((F.col(f) - m) * s).alias(f"{f}_z") for f, m, s in zip(features, means, scales)])
+
+
+def gradient(df: DataFrame, model: Logistic) -> list[float]:
+    """Slope of the penalised loss at the model: one per feature and the intercept's; zero at the optimum."""
+    return _newton_sums(df, model)[1].tolist()
+
+
+def _newton_sums(df: DataFrame, model: Logistic) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature at a model: one aggregate of d squared sums, whatever the rows."""
+    d = len(model.features)
+    x = [*((F.col(f).cast("double") - c) * s for f, c, s in zip(model.features, model.centres, model.scales)), F.lit(1.0)]
+    rows = df.select(model.linear().alias("eta"), F.col("label").cast("double").alias("y"),
+                     *[v.alias(f"x{i}") for i, v in enumerate(x)]).withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
+    # log(1 + e^eta) without overflow.
+    loss = F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))) - F.col("y") * F.col("eta")
+    spread = F.col("p") * (1 - F.col("p"))
+    pairs = [(i, j) for i in range(d + 1) for j in range(i + 1)]
+    sums = rows.agg(F.sum(loss), *[F.sum((F.col("p") - F.col("y")) * F.col(f"x{i}")) for i in range(d + 1)],
+                    *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+    weights = np.array([*model.weights, 0.0])
+    curvature = np.zeros((d + 1, d + 1))
+    for (i, j), value in zip(pairs, sums[d + 2:]):
+        curvature[i, j] = curvature[j, i] = value
+    curvature[np.arange(d), np.arange(d)] += model.penalty
+    return (sums[0] + model.penalty * float(weights @ weights) / 2,
+            np.array(sums[1:d + 2]) + model.penalty * weights, curvature)
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str] = FEATURES, standardise: bool = True,
-                 strength: float = 1.0) -> PipelineModel:
-    """L2-penalised logistic regression. A penalty of 1/C per data set is 1/(C n) per row."""
-    rows = train.count()
-    regression = LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000,
-                                    regParam=1.0 / (strength * rows), elasticNetParam=0.0, standardization=False)
-    before = scaler(features) if standardise else [_assembler(features)]
-    return Pipeline(stages=[*before, regression]).fit(train)
+                 strength: float = 1.0, rounds: int = 50) -> Logistic:
+    """L2-penalised logistic regression: the sum of log losses plus |weights|^2 / (2 strength); the intercept is free.
+
+    Newton's method: each round is one aggregate over the rows and the solution of a system as wide as the
+    features; steps that would raise the loss are halved. The optimum is unique, and reached to rounding
+    in a few rounds. Rows with one label only have no optimum: all weights are 0 and the score is the label.
+    """
+    d = len(features)
+    counts = train.agg(F.count("label").alias("n"), F.sum("label").alias("failed")).first()
+    if not counts.n:
+        raise ValueError("no labelled rows to fit")
+    centres, scales = scaling(train, features) if standardise else ([0.0] * d, [1.0] * d)
+    model = Logistic(tuple(features), tuple(centres), tuple(scales), (0.0,) * d, 0.0, counts.n, 1 / strength)
+    if counts.failed in (0, counts.n):
+        return replace(model, intercept=math.inf if counts.failed else -math.inf)
+    model = replace(model, intercept=math.log(counts.failed / (counts.n - counts.failed)))
+    loss, slope, curvature = _newton_sums(train, model)
+    for _ in range(rounds):
+        unit = 1 / np.sqrt(np.diagonal(curvature))
+        step = unit * np.linalg.lstsq(curvature * np.outer(unit, unit), slope * unit, rcond=None)[0]
+        for _ in range(30):
+            moved = replace(model, weights=tuple(float(w - s) for w, s in zip(model.weights, step)),
+                            intercept=float(model.intercept - step[-1]))
+            after = _newton_sums(train, moved)
+            if after[0] <= loss + 1e-12 * abs(loss):
+                break
+            step = step / 2
+        # Steps are compared with the spread of the linear score, so that units of features do not matter.
+        small = float(np.abs(step / unit).max()) < 1e-9 * math.sqrt(counts.n)
+        model, (loss, slope, curvature) = moved, after
+        if small:
+            break
+    return model
+
+
+# ---- random forest
+
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest as its table of nodes: tree, id, left, right, feature, threshold, cover, positive, gain.
+
+    `cover` and `positive` are the weighted training rows of a node, all and failed. The number of nodes is
+    bounded by trees x 2^(depth + 1), whatever the data.
+    """
+
+    features: tuple[str, ...]
+    table: DataFrame
+    depth: int
+
+    def nodes(self) -> pd.DataFrame:
+        return self.table.toPandas()
 
 
 def fit_forest(train: DataFrame, features: Sequence[str] = FEATURES, trees: int = 300,
-               depth: int = 8, seed: int = 42) -> PipelineModel:
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth,
-                                    impurity="gini", featureSubsetStrategy="sqrt", seed=seed)
-    return Pipeline(stages=[_assembler(features), forest]).fit(train)
+               depth: int = 8, seed: int = 42) -> Forest:
+    """Trained by the library, then stored as a table of nodes, from which scores, importances and attributions come."""
+    estimator = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth,
+                                       impurity="gini", featureSubsetStrategy="sqrt", seed=seed)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    fitted = Pipeline(stages=[assembler, estimator]).fit(train).stages[-1]
+    return Forest(tuple(features), forest_table(train.sparkSession, fitted), depth)
+
+
+def forest_table(spark: SparkSession, fitted: RandomForestClassificationModel) -> DataFrame:
+    path = fresh_path(spark, "forest")
+    fitted.save(path)
+    # `impurityStats` holds the weighted rows per class, so its sum is the cover of the node.
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("cover"),
+        F.col("nodeData.impurityStats")[1].alias("positive"), F.col("nodeData.gain").alias("gain"))
+
+
+def full_trees(nodes: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold) per tree and inner place, and the leaf value per tree and last place.
+
+    Trees are filled up to the same depth: the children of place k are 2k + 1 and 2k + 2, and below a leaf every place
+    has its value. So all trees are walked in step.
+    """
+    trees, inner = nodes["tree"].nunique(), (1 << depth) - 1
+    feature = np.zeros((trees, inner), np.int64)
+    threshold = np.full((trees, inner), np.inf)
+    value = np.zeros((trees, inner + 1))
+    for t, (_, tree) in enumerate(nodes.groupby("tree")):
+        by_id = {row.id: row for row in tree.itertuples()}
+        stack = [(0, 0, 0)]
+        while stack:
+            name, place, level = stack.pop()
+            node = by_id[name]
+            if level == depth:
+                value[t, place - inner] = node.positive / node.cover
+                continue
+            if node.left >= 0:
+                feature[t, place], threshold[t, place] = node.feature, node.threshold
+            sides = (node.left, node.right) if node.left >= 0 else (name, name)
+            stack += [(side, 2 * place + 1 + i, level + 1) for i, side in enumerate(sides)]
+    return feature, threshold, value
+
+
+def walked(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, value: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Mean leaf value over the trees for each row of x; NaN where a feature is missing."""
+    trees, inner = feature.shape
+    base, flat_feature, flat_threshold = (np.arange(trees) * inner)[:, None], feature.ravel(), threshold.ravel()
+    leaves, out = (np.arange(trees) * (inner + 1))[:, None], np.empty(len(x))
+    for start in range(0, len(x), rows):
+        part = x[start:start + rows]
+        flat, row = part.ravel(), (np.arange(len(part)) * part.shape[1])[None, :]
+        place = np.zeros((trees, len(part)), np.int64)
+        while inner and place.min(initial=inner) < inner:
+            at = base + place
+            place = 2 * place + 1 + ~(flat[row + flat_feature[at]] <= flat_threshold[at])
+        mean = value.ravel()[leaves + place - inner].mean(axis=0)
+        out[start:start + rows] = np.where(np.isnan(part).any(axis=1), np.nan, mean)
+    return out
+
+
+def forest_score(forest: Forest) -> Column:
+    """Score as a vectorised function of the feature columns; only they go to Python, and no row moves."""
+    arrays = full_trees(forest.nodes(), forest.depth)
+    shared = forest.table.sparkSession.sparkContext.broadcast(arrays)
+
+    @F.pandas_udf("double")
+    def score(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in columns:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in batch])
+            yield pd.Series(walked(x, *shared.value))
+
+    return F.nanvl(score(*[F.col(f).cast("double") for f in forest.features]), F.lit(None).cast("double"))
+
+
+def importances(forest: Forest) -> DataFrame:
+    """Fall of impurity times rows, over the splits of each feature, as a share within each tree, then over all trees.
+
+    Features that no tree splits on have 0; a tree without splits takes no part.
+    """
+    spark = forest.table.sparkSession
+    names = spark.createDataFrame(list(enumerate(forest.features)), "feature int, name string")
+    splits = forest.table.where("left >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("cover")).alias("fall"))
+    of_tree = Window.partitionBy("tree")
+    shares = splits.withColumn("share", F.try_divide("fall", F.sum("fall").over(of_tree))).groupBy("feature").agg(
+        F.sum("share").alias("share"))
+    total = F.sum("share").over(Window.partitionBy())
+    return names.join(shares, "feature", "left").select(
+        F.col("name").alias("feature"), F.coalesce(F.try_divide(F.col("share"), total), F.lit(0.0)).alias("importance")).orderBy(
+        F.desc("importance"), "feature")
+
 
+# ---- scores
 
-def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("score", _score())
+Model = Logistic | Forest
+
+
+def scored(model: Model, df: DataFrame) -> DataFrame:
+    """Adds score, the predicted chance of a failure; rows that lack a feature have none."""
+    return df.withColumn("score", model.score() if isinstance(model, Logistic) else forest_score(model))
 
 
 def auc(predictions: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
+    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score",
                                          metricName="areaUnderROC", numBins=0).evaluate(predictions)
 
 
@@ -107,20 +298,12 @@ def auc_from_counts(predictions: DataFrame) -> DataFrame:
     return run.agg(F.try_divide(wins, F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc"))
 
 
-def odds_ratios(spark: SparkSession, model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
-    coefficients = model.stages[-1].coefficients.toArray()
-    rows = [(f, float(c), math.exp(c)) for f, c in zip(features, coefficients)]
+def odds_ratios(spark: SparkSession, model: Logistic) -> DataFrame:
+    rows = [(f, w, math.exp(w)) for f, w in zip(model.features, model.weights)]
     return spark.createDataFrame(rows, "feature string, coef double, odds_ratio double").orderBy(
         F.desc("odds_ratio"), "feature")
 
 
-def importances(spark: SparkSession, model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(features, values)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(
-        F.desc("importance"), "feature")
-
-
 def top_factors(factor_importance: DataFrame, k: int = 5) -> DataFrame:
     text = F.create_map(*[x for f, (meaning, action) in FACTOR_ACTIONS.items()
                           for x in (F.lit(f), F.struct(F.lit(meaning).alias("interpretation"),
@@ -129,13 +312,11 @@ def top_factors(factor_importance: DataFrame, k: int = 5) -> DataFrame:
         "t", F.try_element_at(text, F.col("feature"))).select("feature", "importance", "t.*")
 
 
-def risk_scores(model: PipelineModel, scenarios: DataFrame, base_rate: Column,
-                features: Sequence[str] = RISK_FEATURES) -> DataFrame:
+def risk_scores(model: Logistic, scenarios: DataFrame, base_rate: Column) -> DataFrame:
     """Probability, label, distance to the overall rate and the share of each raw feature in the
     linear score, for any number of orders or what-if rows."""
-    coefficients = model.stages[-1].coefficients.toArray()
-    parts = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) * float(c)).alias("contribution"))
-                      for f, c in zip(features, coefficients)])
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) * w).alias("contribution"))
+                      for f, w in zip(model.features, model.weights)])
     return scored(model, scenarios).withColumn("base_rate", base_rate).select(
         "order_id", F.col("score").alias("probability"), bands.risk_label(F.col("score")).alias("risk_label"),
         ((F.col("score") - F.col("base_rate")) * 100).alias("delta_pp"), parts.alias("contributions"))
