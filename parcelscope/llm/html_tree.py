@@ -26,7 +26,8 @@ BLOCKS = ("html body main article section div header footer nav aside form ul ol
           "legend menu center hgroup search").split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
-SKIPPED = frozenset("head template svg math object select button canvas audio video datalist map".split())
+#: Inert content and form controls; whatever else holds text is judged by the model.
+SKIPPED = frozenset("head template select datalist".split())
 CLOSES_P = frozenset(BLOCKS) - frozenset("html body td th tr thead tbody tfoot caption li dt dd legend summary".split())
 #: Start tags that end an open element of the same family, up to the elements that hold such a family.
 FAMILIES = {"li": (frozenset(["li"]), frozenset("ul ol menu".split())),
@@ -51,7 +52,7 @@ HINTS = (
 HINT_OF = {word: kind for words, kind in HINTS for word in words.split()}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|
-    (/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S | re.X)
+    (/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S | re.X)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?|\Z", re.I) for name in RAW}
 _NAMING = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
@@ -263,7 +264,7 @@ class Model:
     pairs: np.ndarray
 
     def texts(self, sources: list[str]) -> list[str]:
-        """Main text of each page: runs of text that are more likely content than not, one per line."""
+        """Main text of each page: runs of text that are more likely content than not, with an empty line between."""
         if not sources:
             return []
         forest = Forest([parsed(s) for s in sources])
@@ -271,7 +272,7 @@ class Model:
         out: list[list[str]] = [[] for _ in sources]
         for i in np.flatnonzero(content & (forest.tag == 1)):
             out[forest.page[i]].append(forest.text[i])
-        return ["\n".join(lines) for lines in out]
+        return ["\n\n".join(blocks) for blocks in out]
 
 
 def labels_of(pages: list[Page], forest: Forest, marked: bool) -> np.ndarray:

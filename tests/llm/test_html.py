@@ -17,7 +17,7 @@ def by_landmark(source):
     """Text between the article tags by its paragraph and heading tags, for pages of the test tables' one layout."""
     body = source[source.index("<article>") + 9:source.index("</article>")]
     blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
-    return "\n".join(b for b in blocks if b)
+    return "\n\n".join(b for b in blocks if b)
 
 
 def test_messages_against_enumeration():
@@ -46,7 +46,9 @@ def test_parser_on_broken_markup():
     assert blocks("<p>a<b>b<p>c&amp;&nbsp;d<br>e</i></div>f") == ["ab", "c& d ef"]
     assert blocks("<script>var a='</p><p>no';</script>x<style>p{}</style><!-- <p>no</p> -->y<!-- open") == ["xy"]
     assert blocks("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == list("abcdefg")
-    assert blocks("<head><title>no</title><meta x></head>a<svg><text>no</text></svg> < b <p title='>'>c</p>") == ["a < b", "c"]
+    assert blocks("<head><title>no</title><meta x></head>a<svg><title>no</title></svg> < b <p title='>'>c</p>") == ["a < b", "c"]
+    assert blocks("a <math><mi>x</mi></math> <object>y</object> <button>z</button><canvas>v</canvas><select><option>no</select>") == ["a x y zv"]
+    assert blocks(f"<p title='{'a > b ' * 6000}' class=\"{'>' * 30_000}\">c</p>d") == ["c", "d"]
     assert blocks("<p title=\"x>y</p>z") == ["y", "z"] and blocks("") == [] and blocks("<b><p>a</b>c</p>") == ["ac"]
     assert len(blocks("<div>" * 30_000 + "deep")) == 1
 
@@ -71,6 +73,13 @@ def test_query_on_whole_tables(spark):
             assert r.n_chars == len(r.text)
 
 
+def test_blocks_are_joined_by_an_empty_line(model):
+    page = ("<nav><a href='/'>Home</a></nav><article><h1>One, two and three</h1><p>First   paragraph, with <b>bold</b>\n words in it. "
+            "It goes on.</p><p>Second paragraph; it says more, and says it at some length.</p></article>")
+    assert model.texts([page]) == ["One, two and three\n\nFirst paragraph, with bold words in it. It goes on.\n\n"
+                                   "Second paragraph; it says more, and says it at some length."]
+
+
 def test_edge_cases(spark, model):
     long = "<article>" + "<p>" + "word word, word. " * 30_000 + "</p></article>"
     rows = [(1, "u", None, "c"), (None, None, "", "c"), (3, "u", "<nav><a>x</a></nav>", "c"), (4, "u", long, "c"), (4, "u", long, "c")]
