@@ -17,7 +17,7 @@ ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LOGIN = r"""(?i:user_?name|user_?id|login|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+"""
-BLOB = r"(?=[A-Za-z0-9+/_-]{0,127}[0-9])(?=[A-Za-z0-9+/_-]{0,127}[A-Z])[A-Za-z0-9+/_-]{32,}"
+BLOB = r"[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"""https?://[A-Za-z0-9.:-]+[^\s"'<>]*"""
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "login": LOGIN, "blob": BLOB, "endpoint": ENDPOINT}
 BASE = ("assign", "access", "hex")
@@ -31,6 +31,8 @@ NEEDS = {"login": ("secret",), "blob": ("identifier",), "endpoint": ("identifier
 SCOPE = 256
 #: A short value after a key word is no secret.
 LEAST_VALUE = 6
+#: What the whole match of a kind must hold somewhere.
+HOLDS = {"blob": ("[0-9]", "[A-Z]")}
 
 
 def match_spans(text: Column, kind: str) -> Column:
@@ -49,6 +51,8 @@ def match_spans(text: Column, kind: str) -> Column:
         start = s["at"] + F.char_length(pair["piece"])
         stop = start + F.char_length(pair["match"])
         value = F.char_length(F.regexp_extract(pair["match"], pattern, 1)) if kind == "assign" else F.lit(LEAST_VALUE)
+        for part in HOLDS.get(kind, ()):
+            value = F.when(F.rlike(pair["match"], F.lit(part)), value).otherwise(F.lit(0))
         return F.struct(stop.cast("long").alias("at"), F.concat(s["spans"], F.array(F.struct(
             start.cast("long").alias("start"), F.lit(rank).alias("rank"), stop.cast("long").alias("stop"),
             value.cast("int").alias("value")))).alias("spans"))

@@ -69,6 +69,16 @@ def test_parts_within_scope_of_a_long_span(spark):
     assert all(len(set(r.spans)) == len(r.spans) for r in rows)
 
 
+def test_long_tokens_are_tested_whole(spark):
+    near = f"{KEY} "
+    texts = {0: near + "a" * 200 + "1Abbbbb", 1: near + "1" + "a" * 200 + "Abbbbb", 2: near + "a" * 300, 3: near + "a" * 150 + "1" + "b" * 150,
+             4: near + "A" + "a" * 149 + "1" + "b" * 150}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.key: [(s.start, s.stop) for s in r.spans if s.rank == list(secrets.KINDS).index("blob")] for r in secrets.scanned(docs).collect()}
+    at = len(near)
+    assert got == {0: [(at, len(texts[0]))], 1: [(at, len(texts[1]))], 2: [], 3: [], 4: [(at, len(texts[4]))]}
+
+
 def test_redaction_replaces_each_run(spark, scanned):
     rows = secrets.redacted(scanned[1]).collect()
     assert len(rows) == len(TEXTS) + 2 and rows[0].asDict().keys() == {"doc_id", "text", "spans"}
