@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +45,32 @@ def dropped(df: DataFrame) -> None:
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short stretches of the batches, so that a worker holds few texts as Python objects at a time."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Short stretches of the batches, so that a worker holds few texts as Python objects at a time.
+
+    A stretch has at most `rows` rows and about `size` bytes of text, or one longer text. Memory that a batch
+    took goes back to the system after it, as workers live on for the stages that follow.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        bytes_of = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                bytes_of += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, start = np.cumsum(bytes_of), 0
+        while start < batch.num_rows:
+            before = int(upto[start - 1]) if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
         del batch
         pa.default_memory_pool().release_unused()
+        _trim()
+
+
+def _trim() -> None:
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_of(name: str) -> Column:

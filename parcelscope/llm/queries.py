@@ -43,7 +43,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix.without_repeats(table(spark, sf_dir, "documents"), length=400)
-    return rows.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # Bytes left over from cut characters show as U+FFFD in the text; the digest is of the bytes.
+    return rows.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     snippets = _snippets(docs, runs)
     few = snippets.where(F.col("runs") <= TOGETHER).repartition("core").sortWithinPartitions("core")
     spans = f"key {kind}, content long, start long, stop long"
-    near = few.mapInArrow(lambda batches: (_repeated_runs(b, length) for b in _whole_groups(batches)), spans)
+    near = few.mapInArrow(lambda batches: (_repeated_runs(b, length) for b in _whole_groups(sliced(batches, 1024))), spans)
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -317,9 +317,11 @@ def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], dec
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("content"), text_of(text).alias("text"),
                        F.col(text).isNull().alias("missing"), others)
+    # A set: rows of equal key and text each bring the same spans.
     spans = stored(repeated_spans(rows.select("key", "content", "text"), length).groupBy("key", "content").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")).withColumnsRenamed(
-        {"key": "k", "content": "c"}), "spans")
+        F.collect_set(F.struct("start", "stop")).alias("spans")).select(
+        F.col("key").alias("k"), F.col("content").alias("c"), F.col("spans.start").alias("starts"),
+        F.col("spans.stop").alias("stops")), "spans")
     joined = _packed(rows).join(spans, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c")), "left").select(
         "blob", "starts", "stops", "key", "rest", "missing")
     schema = StructType([*joined.schema.fields[3:], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
