@@ -22,6 +22,8 @@ UNSAFE_SPACE = re.compile(r" (?:\s|\Z)")
 #: Words kept per worker and generation; two generations live at a time.
 CACHE_WORDS = 400_000
 CACHED_LENGTH = 24
+#: Bytes of the table that tells a second sight from a first.
+SEEN = 1 << 22
 #: ASCII characters that are neither letters, digits nor white space, and begin no match that holds letters.
 SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -97,17 +99,26 @@ def merged(data: bytes, vocabulary: Vocabulary) -> list[int]:
 
 
 class Remembered(dict):
-    """What `make` gives for a text, kept for two generations of CACHE_WORDS short texts that `keeps` accepts."""
+    """What `make` gives for a short text that comes again, kept for two generations of CACHE_WORDS texts.
 
-    def __init__(self, make: Callable[[str], bytes], keeps: Callable[[str], bool]) -> None:
+    A text is kept from its second sight on, by a byte of its hash in a table of fixed size, so that texts
+    that come once do not push out the others.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make, self.keeps, self.older = make, keeps, {}
+        self.make, self.older, self.seen = make, {}, bytearray(SEEN)
 
     def __missing__(self, text: str) -> bytes:
         value = self.older.get(text)
         if value is None:
             value = self.make(text)
-            if len(text) > CACHED_LENGTH or not self.keeps(text):
+            if len(text) > CACHED_LENGTH:
+                return value
+            mark = hash(text)
+            place, tag = mark % SEEN, mark // SEEN & 255
+            if self.seen[place] != tag:
+                self.seen[place] = tag
                 return value
         if len(self) >= CACHE_WORDS:
             self.older = dict(self)
@@ -127,8 +138,8 @@ class Encoder:
     def __init__(self, match_ids: Callable[[str], bytes], pattern: str) -> None:
         self.split = regex.compile(pattern).findall
         self.match_ids = match_ids
-        self.matches = Remembered(match_ids, lambda match: not match.isalpha())
-        self.spaced = Remembered(self._spaced, str.isalpha)
+        self.matches = Remembered(match_ids)
+        self.spaced = Remembered(self._spaced)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.split(chunk)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,13 @@ from pyspark.sql import functions as F
 from .bpe import Encoder
 from .common import stored, text_of
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 PIECES = ("key {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded_length long")
 
-_ENCODERS: dict[tuple[str, str], tuple[Encoder, str]] = {}
+_ENCODERS: dict[tuple[str, str], tuple[Callable[[str], bytes], str]] = {}
 
 
 def byte_names() -> dict[int, str]:
@@ -28,11 +33,11 @@ def byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def encoder(path: str, pattern: str) -> tuple[Encoder, str]:
-    """Ids by the tokenizers library, and the smallest integer type that holds them; one per worker process.
+def encoder(path: str, pattern: str) -> tuple[Callable[[str], bytes], str]:
+    """Ids as the tokenizers library gives them, and the smallest integer type that holds them; one per worker process.
 
-    The pattern's matches go to the library's model one by one, so strings of special tokens are
-    ordinary text.
+    The strings of the file's added tokens are cut out of a text first and become their own ids; the pattern's
+    matches of what lies between go to the library's model one by one.
     """
     if (path, pattern) not in _ENCODERS:
         from tokenizers import Tokenizer
@@ -44,10 +49,30 @@ def encoder(path: str, pattern: str) -> tuple[Encoder, str]:
             return array("I", [token.id for token in model.tokenize(data)]).tobytes()
 
         kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        _ENCODERS[path, pattern] = Encoder(match_ids, pattern), kind
+        _ENCODERS[path, pattern] = with_added(Encoder(match_ids, pattern), tokenizer), kind
     return _ENCODERS[path, pattern]
 
 
+def with_added(encode: Callable[[str], bytes], tokenizer: Tokenizer) -> Callable[[str], bytes]:
+    """`encode` for the text between added tokens, and the ids of these tokens where they stand."""
+    added = tokenizer.get_added_tokens_decoder()
+    odd = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]
+    if odd:
+        raise ValueError(f"added tokens that take in their surroundings are not supported: {odd}")
+    if not added:
+        return encode
+    ids = {token.content: array("I", [i]).tobytes() for i, token in added.items()}
+    found = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
+
+    def encode_all(text: str) -> bytes:
+        parts = found.split(text)
+        if len(parts) == 1:
+            return encode(text)
+        return b"".join(ids[part] if i % 2 else encode(part) for i, part in enumerate(parts) if part)
+
+    return encode_all
+
+
 def streams(docs: DataFrame, path: str, pattern: str, key: str, text: str, end_id: int) -> DataFrame:
     """First pass: key, part (input partition), start (ids before the document in its partition), n, ids; stored.
 

@@ -48,10 +48,12 @@ def test_segment_tree_on_long_matches(library):
 def test_cache_generations(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 100)
     made = []
-    words = bpe.Remembered(lambda w: made.append(w) or w.encode(), lambda w: w != "7")
-    for n in [*range(150), 60, 7, 7, 60]:
-        assert words[str(n)] == str(n).encode() and len(words) <= 100
-    assert len(made) == 152
+    words = bpe.Remembered(lambda w: made.append(w) or w.encode())
+    for _ in range(3):
+        for i in range(1000):
+            assert words[str(i)] == str(i).encode() and len(words) <= 100 and len(words.older) <= 100
+    before = len(made)
+    assert words["999"] == b"999" and len(made) == before
 
 
 def test_each_code_point_as_both_libraries_take_it():
@@ -90,7 +92,6 @@ def test_bpe_query_on_whole_table(spark, sf, library):
 
 def check_pieces(pieces, texts, length):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.key].append(p)
@@ -123,6 +124,22 @@ def test_packing_edge_cases(spark, length):
     assert packing.packed(docs.limit(0), JSON, P.PATTERN).count() == 0
 
 
+def test_added_tokens_are_taken_as_the_library_takes_them(spark):
+    mark = "<|endoftext|>"
+    texts = dict(enumerate([f"a {mark} b", mark, mark * 3, f" {mark}", f"{mark}x {mark[:-1]}", f"a{mark}\n{mark} é", mark.upper(), f"<|{mark}|>"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pieces = packing.packed(docs, JSON, P.PATTERN, length=8).collect()
+    check_pieces(pieces, texts, 8)
+    assert {p.key: p.doc_tokens for p in pieces}[0] == 5 and {p.key: p.doc_tokens for p in pieces}[2] == 4
+
+
+def test_cache_gives_what_the_model_gives():
+    made = []
+    cache = bpe.Remembered(lambda text: made.append(text) or text.encode())
+    assert [cache[t] for t in ("a", "a", "a", "b", "x" * 99, "x" * 99)] == [b"a", b"a", b"a", b"b", b"x" * 99, b"x" * 99]
+    assert made == ["a", "a", "b", "x" * 99, "x" * 99]
+
+
 def test_packing_null_keys(spark):
     rows = packing.packed(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string"), JSON, P.PATTERN).collect()
     assert [r.length for r in rows] == [3, 3] and sorted(r.offset for r in rows) == [0, 3]
