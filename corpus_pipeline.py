@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: quality, near-duplicates, repeated passages, secrets, packing."""
+"""From raw documents to packed training sequences: quality, near-duplicates, repeated passages, secrets, packing.
+
+In every stage a null text counts as an empty one and stays null, rows with a null or repeated id are rows of
+their own, columns that a stage does not know are carried along to the packing, whatever their names, and no
+documents give no rows. Near duplicates know rows by their id alone: rows of one id, null too, stay or go together.
+"""
 
 from __future__ import annotations
 

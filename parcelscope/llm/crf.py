@@ -20,6 +20,8 @@ from .common import sliced, text_of
 
 #: Labelled documents that the field is trained on at most, those of the smallest hash; and lines in one of them at most.
 TRAINING_DOCUMENTS = 6000
+#: Lines in the whole sample: some 1.2 KB each while training.
+TRAINING_ROWS = 400_000
 TRAINING_LINES = 300
 BINS = 8
 
@@ -202,26 +204,31 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """The field learned from a bounded sample of the labelled documents that are not held out.
 
     The sample holds TRAINING_DOCUMENTS labels, those of the smallest hash of their key, without the
-    documents of more than TRAINING_LINES lines; it is all that the driver gets. Labels other than 0
-    and 1 are left out. None if one of the two labels is missing.
+    documents of more than TRAINING_LINES lines, and ends where its lines reach TRAINING_ROWS; it is all that
+    the driver gets. Labels other than 0 and 1, and of null keys, are left out; a document that comes twice
+    counts twice. None if one of the two labels is missing, as it is where a table is empty.
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(
-        F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("key"), "key", "label").limit(TRAINING_DOCUMENTS)
+        F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("draw"))
+    chosen = usable.orderBy("draw", "key", "label").limit(TRAINING_DOCUMENTS)
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [line_features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([len(f) for f in found], pa.int64()),
-                 pa.array([f.tobytes() for f in found], pa.binary())], ["label", "n", "raw"])
+                [batch.column("label"), batch.column("draw"), pa.array([len(f) for f in found], pa.int64()),
+                 pa.array([f.tobytes() for f in found], pa.binary())], ["label", "draw", "n", "raw"])
 
     short = F.length(text_of("text")) - F.length(F.replace(text_of("text"), F.lit("\n"), F.lit(""))) < TRAINING_LINES
-    sample = rows.where(short).mapInArrow(features, "label int, n long, raw binary").toPandas()
+    sample = rows.where(short).mapInArrow(features, "label int, draw long, n long, raw binary").toPandas()
+    if sample["label"].nunique() < 2:
+        return None
+    # By hash until the lines are enough: what the driver trains on is bounded in lines, not in documents alone.
+    sample = sample.sort_values(["draw", "label", "raw"])
+    sample = sample[sample["n"].cumsum() <= TRAINING_ROWS].sort_values(["label", "raw"]).reset_index(drop=True)
     if sample["label"].nunique() < 2:
         return None
-    sample = sample.sort_values(["label", "raw"]).reset_index(drop=True)
     raw = np.frombuffer(b"".join(sample["raw"]), np.float32).reshape(-1, len(FEATURES))
     return fitted(raw, sample["n"].to_numpy(), sample["label"].to_numpy())
 
@@ -246,7 +253,11 @@ def scored(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str
 
 def accepted(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str = "text",
              least: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose score is at least `least`, with all their columns."""
+    """The rows of `docs` whose score is at least `least`, with all their columns, whatever their names.
+
+    A null text is scored as an empty one and stays null; null keys and repeated rows are kept or left like any
+    other; without a field all rows stay, and no rows give no rows.
+    """
     schema = docs.schema
     place = docs.columns.index(text)
 

@@ -133,7 +133,10 @@ def counted(spans: str, kind: str) -> Column:
 
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of `docs` with each reported span, or run of overlapping spans, replaced by `mark`; other columns as they are."""
+    """The rows of `docs` with each reported span, or run of overlapping spans, replaced by `mark`; other columns as they are.
+
+    A null text stays null; rows of a null key and repeated rows are redacted each on their own; no rows give no rows.
+    """
     spans = scanned(docs, key, text).select(
         F.col("key").alias("_k"), F.col("content").alias("_c"), F.col("spans").alias("_spans")).where(
         F.size("_spans") > 0).dropDuplicates(["_k", "_c"])

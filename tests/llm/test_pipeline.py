@@ -90,6 +90,63 @@ def test_run_gives_the_last_stage(spark, sf, stages):
 
 def test_empty_documents(spark, sf):
     docs = corpus_pipeline.table(spark, sf, "documents").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
     assert simhash.without_near_copies(docs).columns == suffix.rewritten(docs).columns == docs.columns
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null texts, empty and very long texts, null and repeated ids, repeated rows, and columns named as the stages' own."""
+    good = "The river rose slowly through the night. People moved what they could, and waited.\n" * 3
+    rows = [(1, None), (2, ""), (None, None), (None, good), (3, good + "One."), (3, good + "One."), (3, "another text of the same id"),
+            (4, "w" * 900_000), (5, " \n\t "), (6, "password = hunter22secret here"), (None, "token: abcdef123456 x")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 7, -1.0) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, key string, content long, score double")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_quality_stage_on_odd_rows(spark, sf, odd):
+    assert rows_of(crf.accepted(odd, None)) == rows_of(odd)
+    kept = corpus_pipeline.quality(spark, odd, sf)
+    assert kept.columns == odd.columns and set(rows_of(kept)) <= set(rows_of(odd))
+
+
+def test_near_duplicate_stage_on_odd_rows(spark, sf, odd):
+    kept = corpus_pipeline.near_duplicates(spark, odd, sf)
+    assert kept.columns == odd.columns and set(rows_of(kept)) <= set(rows_of(odd))
+    ids = {}
+    for r in kept.collect():
+        ids.setdefault(plain_fingerprint(r.text), set()).add(r.doc_id)
+    assert ids.keys() == {plain_fingerprint(r.text) for r in odd.collect()}
+    assert all(len(of - {None}) <= 1 for of in ids.values()) and kept.where("doc_id = 2 OR doc_id = 5").count() == 0
+
+
+def test_suffix_stage_on_odd_rows(spark, sf, odd):
+    out = corpus_pipeline.repeated_passages(spark, odd, sf)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    # Rows in the order of their id and text stand next to each other, as texts here only lose what they share.
+    texts = [r.text for r in odd.collect()]
+    want = sorted(kept.decode("utf-8", "ignore") for *_, kept in plain([t for t in texts if t is None or len(t) < 10_000], 400))
+    got = [r for r in out.collect()]
+    assert sorted(r.text or "" for r in got if len(r.text or "") < 10_000 and r.doc_id != 4) == want
+    assert sum(r.text is None for r in got) == 2 and [r.text for r in got if r.doc_id == 4] == [""]
+    assert all(r.key == "k" and r.content == 7 and r.n_chars == len(r.text or "") for r in got)
+
+
+def test_secret_stage_on_odd_rows(spark, sf, odd):
+    out = corpus_pipeline.secret_spans(spark, odd, sf).collect()
+    texts = sorted((r.text or "" for r in odd.where("text NOT LIKE '%hunter%' AND text NOT LIKE 'token%' OR text IS NULL").collect()))
+    assert sorted(r.text or "" for r in out if "[SECRET]" not in (r.text or "")) == texts
+    assert sorted(r.text for r in out if "[SECRET]" in (r.text or "")) == ["[SECRET] here", "[SECRET] x"]
+    assert sum(r.text is None for r in out) == 2 and all(r.key == "k" and r.score == -1.0 for r in out)
+
+
+def test_packing_stage_on_odd_rows(spark, sf, odd):
+    pieces = corpus_pipeline.packed_sequences(spark, odd, sf).collect()
+    starts = [p for p in pieces if p.start == 0]
+    assert len(starts) == odd.count() and sum(p.length for p in pieces) == sum(p.doc_tokens for p in starts)
+    assert sum(p.doc_tokens == 1 for p in starts) == 3
