@@ -47,6 +47,52 @@ def _(t):
     return out
 
 
+def _digest_sql(table: str, source: str, columns: str, doubles: str = "") -> str:
+    """The digest of `quality.content_digest` over a table."""
+    text = lambda c: f"floor({c} * 10000 + 0.5)::BIGINT::VARCHAR" if c in doubles.split() else f"{c}::VARCHAR"
+    parts = " || '|' || ".join(f"coalesce({text(c)}, 'null')" for c in sorted([*columns.split(), *doubles.split()]))
+    return (f"SELECT '{table}' AS table_name, count(*) AS row_count, sum(('0x' || substr(md5({parts}), 1, 13))::BIGINT)::VARCHAR "
+            f"AS digest FROM {source}")
+
+
+def _digests(tables):
+    """One row per table: name, rows and digest of the named columns."""
+    out = None
+    for name, (df, columns) in tables.items():
+        one = quality.content_digest(df, columns.split()).withColumn("table_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Columns of each table for its digest: plain ones, and doubles.
+_ORDER_COLUMNS = "order_id customer_id driver_id date amount_cents region items_delivered items_missing delivery_hour has_missing day_of_week month"
+_LOADED = {"orders": ("o", _ORDER_COLUMNS, "order_amount"), "customers": ("cu", "customer_id customer_name customer_age", ""),
+           "products": ("pr", "product_id product_name category", "price"), "drivers": ("dr", "driver_id driver_name age trips", ""),
+           "order_items": ("it", "order_id product_id", "")}
+_STORED = {"master": ("m", _ORDER_COLUMNS + " customer_name customer_age driver_name age trips", "order_amount"),
+           "products": _LOADED["products"], "order_items": _LOADED["order_items"]}
+_EXPORTED = {
+    "fct_orders": ("f", "order_id date_key date driver_id customer_id region items_delivered items_missing delivery_hour has_missing "
+                        "has_missing_int day_of_week month week_number quarter semester period order_size_tier amount_tier",
+                   "order_amount failure_cost"),
+    "dim_drivers": ("dd", "driver_id driver_name total_deliveries total_failures trips driver_age exp_tier improved_h1_h2 months_active "
+                          "intervention_quadrant risk_flag",
+                    "hist_failure_rate total_revenue avg_ticket rate_h1 rate_h2 delta_h1_h2 consistency_cv estimated_failure_cost"),
+    "dim_customers": ("dc", "customer_id customer_name customer_age total_orders total_failures months_active first_order last_order "
+                            "had_failure age_group failure_group value_segment churned returned_after_failure",
+                      "total_revenue avg_ticket failure_rate orders_per_month")}
+
+
+def _digest_union(tables) -> str:
+    return "SELECT * FROM (" + " UNION ALL ".join(_digest_sql(name, *parts) for name, parts in tables.items()) + ")"
+
+
+@query("s2_loaded_contents", _digest_union(_LOADED))
+def _(t):
+    loaded = readers.load_clean(t.spark, _written_csv(t, *_LOADED))
+    return _digests({name: (loaded[name], f"{plain} {doubles}") for name, (_, plain, doubles) in _LOADED.items()})
+
+
 @query("s3_parquet_scan", "SELECT region, count(*) AS orders, sum(amount_cents)::BIGINT AS cents FROM o GROUP BY 1")
 def _(t):
     path = fresh_path(t.spark, "scan")
@@ -101,6 +147,23 @@ def _(t):
     return writers.manifest(t.spark, folder, counts).drop("bytes", "description")
 
 
+@query("k1_stored_contents", _digest_union(_STORED))
+def _(t):
+    folder = fresh_path(t.spark, "processed")
+    writers.write_processed(joins.build_master(t.orders, t.customers, t.drivers), t.products, t.order_items, folder)
+    return _digests({name: (readers.read_parquet(t.spark, f"{folder}/{name}"), f"{plain} {doubles}")
+                     for name, (_, plain, doubles) in _STORED.items()})
+
+
+@query("k2_exported_contents", _digest_union(_EXPORTED))
+def _(t):
+    folder = fresh_path(t.spark, "star")
+    tables = {name: df for name, df in star.star_tables(t).items() if name in _EXPORTED}
+    writers.write_star_csv(tables, folder)
+    return _digests({name: (readers.read_csv(t.spark, f"{folder}/{name}", tables[name].schema), f"{plain} {doubles}")
+                     for name, (_, plain, doubles) in _EXPORTED.items()})
+
+
 STAR_ROWS = """SELECT * FROM (SELECT 'fct_orders' AS table_name, count(*) AS row_count FROM o UNION ALL
     SELECT 'dim_date', (last_day - first_day) + 1 FROM g UNION ALL SELECT 'dim_drivers', count(*) FROM dd UNION ALL
     SELECT 'dim_customers', count(*) FROM dc UNION ALL SELECT 'dim_regions', count(DISTINCT region) FROM o UNION ALL

@@ -555,3 +555,15 @@ def test_top_k_per_group(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 9), ("b", 4, 1)], "g string, k int, m int")
     got = column(ranking.top_k_per(df, "g", "m", "k", 2), "g", "k", "place")
     assert sorted(got) == [("a", 1, 2), ("a", 3, 1), ("b", 4, 1)]
+
+
+def test_content_digest_knows_rows_but_not_their_order(spark):
+    from parcelscope.operators import quality
+    rows = [(1, "a", 1.5, True), (2, None, None, False), (2, None, None, False), (3, "", -0.25, None)]
+    frame = lambda r: spark.createDataFrame(r, "i int, t string, d double, b boolean")
+    digest = lambda r: tuple(quality.content_digest(frame(r), ["t", "i", "b", "d"]).collect()[0])
+    own = digest(rows)
+    assert own[0] == 4 and own == digest(rows[::-1]) == tuple(
+        quality.content_digest(frame(rows).repartition(3), ["d", "b", "i", "t"]).collect()[0])
+    assert len({own, digest(rows[1:]), digest([*rows[:3], (3, None, -0.25, None)]), digest([(1, "a", 1.6, True), *rows[1:]])}) == 4
+    assert digest([]) == (0, None)
