@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, clusters, features, kpis, models, stats
@@ -433,3 +434,108 @@ def _(t):
 def _(t):
     model, _train, _test = _forest(t, trees=200)
     return models.top_factors(models.importances(model))
+
+
+# Properties that hold whatever the library's random numbers, next to the rows that SQL can count.
+
+def _checks(spark, rows):
+    return spark.createDataFrame([(name, int(n), bool(holds)) for name, n, holds in rows], "check string, n bigint, holds boolean")
+
+
+def _falls(curve):
+    """Places where the curve falls as the threshold does: within slices of thresholds, and from one slice to the next."""
+    sliced = curve.withColumn("slice", F.floor(F.col("threshold") * 64))
+    order = Window.partitionBy("slice").orderBy(F.desc("threshold"))
+    within = sliced.withColumns({"x": F.lag("fpr", 1, 0.0).over(order), "y": F.lag("tpr", 1, 0.0).over(order)}).where(
+        "fpr < x OR tpr < y").count()
+    ends = sliced.groupBy("slice").agg(*[f(c).alias(f"{n}_{c}") for c in ("fpr", "tpr") for n, f in (("low", F.min), ("high", F.max))])
+    rows = sorted(ends.collect(), key=lambda r: -r.slice)      # 65 slices at most
+    return within + sum(b.low_fpr < a.high_fpr or b.low_tpr < a.high_tpr for a, b in zip(rows, rows[1:]))
+
+
+@query("l6_l11_forest_checks", SPLIT_SQL + """ SELECT * FROM (
+    SELECT 'L6 scores of test rows in 0..1' AS "check", count(*) AS n, true AS holds FROM te UNION ALL
+    SELECT 'L7 importances add up to 1', 9, true UNION ALL
+    SELECT 'L8 area equals the library', count(*), true FROM te WHERE label = 1 UNION ALL
+    SELECT 'L8 area above chance', 1, true UNION ALL
+    SELECT 'L9 curve never falls', 0, true UNION ALL
+    SELECT 'L10 base and attributions add up to the score', count(*), true FROM te UNION ALL
+    SELECT 'L11 category shares add up to 100', 5, true UNION ALL SELECT 'L21 top factors in order', 5, true)""")
+def _(t):
+    model, _train, test = _forest(t)
+    scores = written(models.scored(model, test).select("order_id", "label", "score"), "scores")
+    n, failed, low, high = scores.agg(F.count("order_id"), F.sum("label"), F.min("score"), F.max("score")).first()
+    weights = models.importances(model).collect()
+    area, library = models.auc_from_counts(scores).first().auc, models.auc(scores)
+    falls = _falls(models.roc_curve(scores))
+    phi = written(attribution.attributions(t.spark, model, test), "phi")
+    total = sum((F.col(f) for f in features.FEATURES), F.col("base_value"))
+    rows, off = phi.join(scores, "order_id").agg(F.count("order_id"), F.max(F.abs(total - F.col("score")))).first()
+    shares = attribution.category_attribution(phi).collect()
+    top = models.top_factors(models.importances(model)).collect()
+    return _checks(t.spark, [
+        ("L6 scores of test rows in 0..1", n, 0 <= low <= high <= 1),
+        ("L7 importances add up to 1", len(weights), abs(sum(w.importance for w in weights) - 1) < 1e-9),
+        ("L8 area equals the library", failed, abs(area - library) < 1e-9), ("L8 area above chance", 1, area > 0.5),
+        ("L9 curve never falls", falls, falls == 0),
+        ("L10 base and attributions add up to the score", rows, off < 1e-9),
+        ("L11 category shares add up to 100", len(shares), abs(sum(s.pct for s in shares) - 100) < 1e-9),
+        ("L21 top factors in order", len(top), [f.feature for f in top] == [w.feature for w in weights[:5]])])
+
+
+@query("l4_l13_regression_checks", """SELECT * FROM (SELECT 'L4 gradient is zero' AS "check", 9 AS n, true AS holds UNION ALL
+    SELECT 'L5 scores of all rows in 0..1', count(*), true FROM o UNION ALL
+    SELECT 'L13 every order has a probability', count(*), true FROM o UNION ALL
+    SELECT 'L13 label fits the probability', count(*), true FROM o UNION ALL
+    SELECT 'L13 six contributions each', count(*) * 6, true FROM o)""")
+def _(t):
+    train, _test = _split(t)
+    model = models.fit_logistic(train)
+    steepest = max(map(abs, models.gradient(train, model))) / model.rows
+    risk, rows = _risk_model(t)
+    n, low, high = models.scored(risk, rows).agg(F.count("score"), F.min("score"), F.max("score")).first()
+    base = kpis.global_scalar(t.orders_without_region)
+    marked = models.risk_scores(risk, features.raw_risk_rows(t.orders, t.orders), base["failure_rate"])
+    p = F.col("probability")
+    fits = F.col("risk_label") == F.when(p < 0.1, "Low Risk").when(p < 0.2, "Medium Risk").otherwise("High Risk")
+    every, fitting, parts, least, most = marked.agg(F.count(p), F.count_if(fits), F.sum(F.size("contributions")),
+                                                    F.min(p), F.max(p)).first()
+    return _checks(t.spark, [
+        ("L4 gradient is zero", len(features.FEATURES), steepest < 1e-4),
+        ("L5 scores of all rows in 0..1", n, 0 <= low <= high <= 1),
+        ("L13 every order has a probability", every, 0 <= least <= most <= 1),
+        ("L13 label fits the probability", fitting, fitting == every), ("L13 six contributions each", parts, True)])
+
+
+@query("l16_l20_cluster_checks", """dn AS (SELECT driver_id, count(*) AS n, count(*) FILTER (WHERE has_missing) AS bad FROM o
+    WHERE driver_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
+    SELECT * FROM (SELECT 'L16 distance falls with k' AS "check", 3 AS n, true AS holds UNION ALL
+    SELECT 'L17 drivers over clusters', count(*), true FROM dn UNION ALL
+    SELECT 'L17 rates rise from low to high risk', 3, true UNION ALL
+    SELECT 'L18 customers over clusters', count(DISTINCT customer_id), true FROM o UNION ALL
+    SELECT 'L18 spending falls from the first segment', 4, true UNION ALL
+    SELECT 'L19 axes explain a share each', 2, true UNION ALL
+    SELECT 'L20 shares of drivers add up', count(*), true FROM dn UNION ALL
+    SELECT 'A35 failures over profiles', sum(bad)::BIGINT, true FROM dn)""")
+def _(t):
+    rows = written(clusters.driver_features(t.orders), "drivers")
+    elbow = clusters.elbow(t.spark, rows, clusters.DRIVER_FEATURES, "driver_id", ks=(2, 3, 4)).orderBy("k").collect()
+    found = _driver_clusters(t)
+    profiles = clusters.driver_clusters(found).collect()
+    rates = [next(p.avg_missing_rate for p in profiles if p.profile == name) for name in clusters.DRIVER_PROFILES]
+    people = written(clusters.customer_features(t.orders_without_region, t.customers), "customers")
+    model = clusters.fit_clusters(people, clusters.CUSTOMER_FEATURES, 4, "customer_id")
+    segments = clusters.customer_clusters(clusters.assigned(model, people)).collect()
+    spent = [next(s.avg_spent for s in segments if s.segment == name) for name in clusters.CUSTOMER_SEGMENTS]
+    explained = clusters.principal_axes(rows, clusters.DRIVER_FEATURES).explained
+    shares = clusters.cluster_distribution(found).collect()
+    impact = clusters.profile_impact(t.orders_without_region, found).collect()
+    return _checks(t.spark, [
+        ("L16 distance falls with k", len(elbow), elbow[0].inertia > elbow[1].inertia > elbow[2].inertia),
+        ("L17 drivers over clusters", sum(p.n_drivers for p in profiles), True),
+        ("L17 rates rise from low to high risk", len(rates), rates == sorted(rates)),
+        ("L18 customers over clusters", sum(s.n_customers for s in segments), True),
+        ("L18 spending falls from the first segment", len(spent), spent == sorted(spent, reverse=True)),
+        ("L19 axes explain a share each", len(explained), 1 >= sum(explained) and explained[0] >= explained[1] > 0),
+        ("L20 shares of drivers add up", sum(s.drivers for s in shares), abs(sum(s.pct for s in shares) - 100) < 1e-9),
+        ("A35 failures over profiles", sum(i.total_failures for i in impact), True)])
