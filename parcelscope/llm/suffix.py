@@ -309,10 +309,18 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], reach[np.concatenate((first[1:] - 1, [len(starts) - 1]))]
 
 
-def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], decoded: bool = False) -> DataFrame:
+def _long_enough(text: bytes, starts: np.ndarray, stops: np.ndarray, words: int, size: int) -> np.ndarray:
+    """Which spans have more than `words` words or at least `size` bytes."""
+    spans = zip(starts.tolist(), stops.tolist())
+    return np.array([b - a >= size or len(text[a:b].split()) > words for a, b in spans], bool)
+
+
+def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], decoded: bool = False,
+         words: int = 0, size: int = 0) -> DataFrame:
     """key, rest (struct of the named columns), missing (the text was null), n_bytes, n_removed, n_spans, kept.
 
     kept is binary, or text if `decoded`, then without the bytes left over from characters that were cut.
+    Maximal runs of repeated bytes stay if they have neither more than `words` words nor `size` bytes.
     """
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("content"), text_of(text).alias("text"),
@@ -337,6 +345,8 @@ def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], dec
                     out.append((len(whole), 0, 0, whole))
                     continue
                 a, b = merged(starts.values.to_numpy(), stops.values.to_numpy())
+                goes = _long_enough(whole, a, b, words, size)
+                a, b = a[goes], b[goes]
                 kept = b"".join(whole[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(whole)]))
                 out.append((len(whole), len(whole) - len(kept), len(a), kept))
             columns = list(zip(*out)) or [()] * 4
@@ -360,12 +370,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
-              n_chars: str = "n_chars") -> DataFrame:
+              n_chars: str = "n_chars", words: int = 0, size: int = 0) -> DataFrame:
     """The rows and columns of `docs` without the repeated bytes in `text`, and with `n_chars`, if it is a column, to match.
 
-    Of a character that loses some of its bytes the others go too. A null text stays null.
+    Bytes that strings of `length` bytes repeat form maximal runs; a run goes if it has more than `words` words
+    (parts between ASCII white space) or at least `size` bytes, by default always. Of a character that loses some of
+    its bytes the others go too. A null text stays null.
     """
     rest = [c for c in docs.columns if c != text]
-    rows = _cut(docs, key, text, length, rest, decoded=True).withColumn("_text", F.when(~F.col("missing"), F.col("kept")))
+    rows = _cut(docs, key, text, length, rest, True, words, size).withColumn("_text", F.when(~F.col("missing"), F.col("kept")))
     own = {text: F.col("_text"), n_chars: F.char_length(F.coalesce("_text", F.lit(""))).cast("long")}
     return rows.select(*((own[c] if c in own else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -53,10 +54,26 @@ def test_near_duplicate_stage_keeps_one_of_each_group(stages):
 def test_suffix_stage_removes_repeated_strings(stages):
     before, after = by_id(stages[2][0]), by_id(stages[2][1])
     assert before.keys() == after.keys()
-    for (key, _), (_, _, _, kept) in zip(before.items(), plain([r.text for r in before.values()], 400)):
+    for (key, _), (_, _, _, kept) in zip(before.items(), plain([r.text for r in before.values()], 200, 50, 400)):
         assert after[key].text == kept.decode("utf-8", "ignore") and after[key].n_chars == len(after[key].text)
 
 
+def test_suffix_stage_takes_every_shared_passage_of_over_fifty_words(spark, sf):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 7)))
+    passage = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 5))) for _ in range(51))
+    short = " ".join(word() for _ in range(45))
+    own = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{passage} {own[2]}", f"{own[3]} {short}", f"{own[4]} {short}", own[5]]
+    assert 200 <= len(passage) < 400 and len(short) < 400
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = by_id(corpus_pipeline.repeated_passages(spark, docs, sf))
+    assert not any(passage[i:i + 200] in r.text for r in got.values() for i in range(len(passage) - 199))
+    assert [got[i].text for i in (2, 3, 4)] == texts[2:]
+    assert own[0] in got[0].text and own[1] in got[0].text and own[2] in got[1].text
+
+
 def test_secret_stage_marks_each_secret(stages):
     before, after = by_id(stages[3][0]), by_id(stages[3][1])
     assert before.keys() == after.keys()
@@ -130,7 +147,7 @@ def test_suffix_stage_on_odd_rows(spark, sf, odd):
     assert out.columns == odd.columns and out.count() == odd.count()
     # Rows in the order of their id and text stand next to each other, as texts here only lose what they share.
     texts = [r.text for r in odd.collect()]
-    want = sorted(kept.decode("utf-8", "ignore") for *_, kept in plain([t for t in texts if t is None or len(t) < 10_000], 400))
+    want = sorted(kept.decode("utf-8", "ignore") for *_, kept in plain([t for t in texts if t is None or len(t) < 10_000], 200, 50, 400))
     got = [r for r in out.collect()]
     assert sorted(r.text or "" for r in got if len(r.text or "") < 10_000 and r.doc_id != 4) == want
     assert sum(r.text is None for r in got) == 2 and [r.text for r in got if r.doc_id == 4] == [""]

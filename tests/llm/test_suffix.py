@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from parcelscope.llm import queries, suffix
 
 
-def plain(texts, length):
-    """(removed, spans, kept) of each text, from all strings of `length` bytes."""
+def plain(texts, length, words=0, size=0):
+    """(bytes, removed, spans, kept) of each text, from all strings of `length` bytes; shorter runs than asked for stay."""
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
     out = []
@@ -18,6 +19,9 @@ def plain(texts, length):
         for i in range(len(d) - length + 1):
             if seen[d[i:i + length]] > 1:
                 gone[i:i + length] = True
+        for run in re.finditer(rb"\x01+", gone[:-1].tobytes()):
+            if run.end() - run.start() < size and len(re.findall(rb"[^ \t-\r]+", d[run.start():run.end()])) <= words:
+                gone[run.start():run.end()] = False
         runs = int((gone[:-1] & ~gone[1:]).sum())
         out.append((len(d), int(gone.sum()), runs, bytes(np.frombuffer(d, np.uint8)[~gone[:-1]])))
     return out
@@ -96,6 +100,22 @@ def test_rewritten_keeps_rows_and_columns(spark):
     assert (got[2].text, got[3].text, got[4].text) == ("\ufffd", "", "xy") and got[4].kept == "k" and got[4][4] == "r"
 
 
+def test_runs_of_few_words_stay(spark):
+    draw = random.Random(5)
+    word = lambda low, high: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(low, high)))
+    passages = [[word(1, 4) for _ in range(12)], [word(1, 4) for _ in range(30)], [word(30, 40) for _ in range(5)],
+                [word(8, 9) for _ in range(6)]]
+    texts = [None, ""]
+    for passage in passages * 2:
+        texts.append(" ".join([word(2, 9) for _ in range(20)] + passage + [word(2, 9) for _ in range(20)]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [kept.decode() for *_, kept in plain(texts, 20, words=20, size=150)]
+    got = {r.doc_id: r.text for r in suffix.rewritten(docs, length=20, words=20, size=150).collect()}
+    assert [got[i] or "" for i in range(len(texts))] == want
+    # Twelve words or sixty bytes stay, thirty words or 150 bytes go.
+    assert [w == (t or "") for w, t in zip(want, texts)] == [True, True] + [True, False, False, True] * 2
+
+
 def test_query_on_whole_table(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = dict(zip(texts, plain(texts.values(), 400)))
