@@ -30,8 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the strings of 400 bytes that come more than once."""
-    return suffix.rewritten(docs)
+    """All documents without their repeated passages: runs of repeated bytes with over 50 words or at least 400 bytes.
+
+    Bytes count as repeated in strings of 200, which any 51 words have whose mean length is three letters or more.
+    """
+    return suffix.rewritten(docs, length=200, words=50, size=400)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
