@@ -178,15 +178,20 @@ FEATURE_SQL = """pf AS (SELECT order_id, coalesce(CASE WHEN driver_id IS NOT NUL
     JOIN pn USING (order_id) JOIN pe USING (period) JOIN cu USING (customer_id))"""
 
 
+def _features(t):
+    """Features from orders written once: none of the passes over them reads the lines again."""
+    return features.feature_table(written(t.orders.select(*features.FEATURE_SOURCES), "feature_orders"), t.customers)
+
+
 @query("l1_feature_table", FEATURE_SQL + """ SELECT * REPLACE (round(driver_fail_rate, 6) AS driver_fail_rate,
     round(order_amount, 6) AS order_amount) FROM ft""")
 def _(t):
-    return features.feature_table(t.orders, t.customers)
+    return _features(t)
 
 
 def _split(t):
     """Features are written once to the shared folder, so training does not rebuild them."""
-    return features.split_rows(written(features.feature_table(t.orders, t.customers), "features"))
+    return features.split_rows(written(_features(t), "features"))
 
 
 def _forest(t, trees=300):

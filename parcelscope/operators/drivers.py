@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions import bands
+from ..session import written
 from .distribution import medians
 from .kpis import global_scalar, keyed
 from .ranking import top_k, top_k_per
@@ -230,17 +231,22 @@ def export_quadrants(profile: DataFrame, min_deliveries: int = 5) -> DataFrame:
 def driver_dimension(orders: DataFrame, drivers: DataFrame) -> DataFrame:
     """Profile, tier, semester change, consistency, quadrant and cost, one row per driver.
 
-    One pass over the driver-month table replaces the joins of separate summaries.
+    The orders are read once: their sums per driver and month are written, and totals, variation,
+    medians and the average ticket come from these. Rows without driver or month count for the ticket only.
     """
     rate = F.col("failures") / F.col("deliveries")
-    per_driver = driver_months(orders).groupBy("driver_id").agg(
+    sums = written(orders.groupBy("driver_id", "month").agg(
+        agg.order_count().alias("deliveries"), agg.failure_count().alias("failures"),
+        F.sum("amount_cents").alias("cents"), F.count("amount_cents").alias("priced")), "driver_months")
+    ticket = sums.agg((F.sum("cents") / 100.0 / F.sum("priced")).alias("avg_ticket")).scalar()
+    per_driver = keyed(sums, "driver_id", "month").groupBy("driver_id").agg(
         F.sum("deliveries").alias("total_deliveries"), F.sum("failures").alias("total_failures"),
         F.sum("cents").alias("cents"), F.count("month").alias("months_active"),
         agg.half_even(F.round(_variation(F.avg(rate), F.stddev_samp(rate)), 9), 3).alias("consistency_cv"),
         *_semester_sums())
     profile = named(_semester_rates(per_driver, 5), drivers).withColumn(
         "hist_failure_rate", F.col("total_failures") / F.col("total_deliveries"))
-    placed = export_quadrants(profile).withColumn("g", global_scalar(orders))
+    placed = export_quadrants(profile).withColumn("cost", ticket * agg.REDELIVERY_COST_RATE)
     return placed.select(
         "driver_id", "driver_name", "total_deliveries", "total_failures",
         agg.half_even("hist_failure_rate", 4).alias("hist_failure_rate"),
@@ -249,5 +255,5 @@ def driver_dimension(orders: DataFrame, drivers: DataFrame) -> DataFrame:
         "trips", F.col("age").alias("driver_age"), bands.experience_tier(F.col("trips")).alias("exp_tier"),
         *[agg.half_even(c, 4).alias(c) for c in ("rate_h1", "rate_h2", "delta_h1_h2")], "improved_h1_h2",
         "consistency_cv", "months_active", "intervention_quadrant",
-        agg.half_even(F.col("total_failures") * F.col("g.cost_per_failure"), 4).alias("estimated_failure_cost"),
+        agg.half_even(F.col("total_failures") * F.col("cost"), 4).alias("estimated_failure_cost"),
         (F.col("hist_failure_rate") > agg.HIGH_RISK_RATE).alias("risk_flag"))

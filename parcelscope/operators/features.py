@@ -17,6 +17,10 @@ from .ranking import dense_rank_labels, label_place
 FEATURES = ["driver_fail_rate", "order_amount", "items_delivered", "delivery_hour", "period_enc",
             "is_weekend", "is_monday", "region_enc", "customer_age"]
 
+#: Columns of orders that the features are made of.
+FEATURE_SOURCES = ["order_id", "driver_id", "customer_id", "date", "has_missing", "region", "delivery_hour",
+                   "day_of_week", "order_amount", "amount_cents", "items_delivered"]
+
 #: Stands for a missing date, so that undated orders come last; and the parts that orders without a driver are dealt into, by day.
 LAST_DAY, DRIVERLESS_CUTS = "9999-12-31", 997
 
@@ -82,7 +86,11 @@ def with_historic_rate(orders: DataFrame, name: str = "driver_hist_rate") -> Dat
 
 
 def feature_table(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Nine features and the label per order; rows with any NULL are left out."""
+    """Nine features and the label per order; rows with any NULL are left out.
+
+    Chunk limits, running totals, overall rate and labels each read the orders: hand over a stored
+    table of FEATURE_SOURCES where reading them is dear.
+    """
     ages = customers.select("customer_id", "customer_age")
     rated = prior_failure_rate(orders).join(ages, "customer_id", "left")
     flagged = rated.withColumns({

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, tails
 from ..functions import aggregates as agg
+from ..session import written
 from .customers import customer_profile
 from .distribution import quantiles, running_counts
 from .kpis import keyed
@@ -107,9 +108,13 @@ def paired_t(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def driver_rates(orders: DataFrame, min_deliveries: int = 10) -> DataFrame:
-    return keyed(orders, "driver_id").groupBy("driver_id").agg(
+    return enough_deliveries(keyed(orders, "driver_id").groupBy("driver_id").agg(
         agg.order_count().alias("deliveries"), agg.failure_count().alias("failures"),
-        agg.failure_rate().alias("rate")).where(F.col("deliveries") >= min_deliveries)
+        agg.failure_rate().alias("rate")), min_deliveries)
+
+
+def enough_deliveries(per_driver: DataFrame, min_deliveries: int = 10) -> DataFrame:
+    return per_driver.where(F.col("deliveries") >= min_deliveries)
 
 
 def driver_risk_groups(rates: DataFrame) -> DataFrame:
@@ -146,15 +151,20 @@ def risk_group_means(cells: DataFrame) -> DataFrame:
     return means.withColumn("gap_pp", (F.col("high_rate") - F.col("low_rate")) * 100)
 
 
+def customer_sums(orders: DataFrame) -> DataFrame:
+    return keyed(orders, "customer_id").groupBy("customer_id").agg(*_sums()).withColumn("mean_ticket", _mean_ticket())
+
+
 def order_value_quartiles(orders: DataFrame) -> DataFrame:
     """Orders and failures per customer with the quartile of the customer's mean ticket.
 
     Cut points weigh every customer by its orders, as quartiles over order rows do, but only one
     row per customer is moved.
     """
-    per_customer = keyed(orders, "customer_id").groupBy("customer_id").agg(
-        agg.order_count().alias("orders"), agg.failure_count().alias("failures"),
-        F.round(agg.average_ticket(), 9).alias("mean_ticket"))
+    return value_quartiles(customer_sums(orders))
+
+
+def value_quartiles(per_customer: DataFrame) -> DataFrame:
     counts = per_customer.groupBy("mean_ticket").agg(F.sum("orders").alias("n"))
     run = running_counts(counts, "mean_ticket")
     last = F.col("n_total") - 1
@@ -168,12 +178,38 @@ def order_value_quartiles(orders: DataFrame) -> DataFrame:
 
 
 def customer_age_sums(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    per_customer = keyed(orders, "customer_id").groupBy("customer_id").agg(
-        agg.order_count().alias("orders"), agg.failure_count().alias("failures"))
-    return per_customer.join(customers, "customer_id").withColumn(
+    return with_age_group(customer_sums(orders), customers)
+
+
+def with_age_group(per_customer: DataFrame, customers: DataFrame) -> DataFrame:
+    return per_customer.select("customer_id", "orders", "failures").join(customers, "customer_id").withColumn(
         "age_group", bands.age_band_right(F.col("customer_age")))
 
 
+def _sums() -> list[Column]:
+    return [agg.order_count().alias("orders"), agg.failure_count().alias("failures"), agg.failure_rate().alias("rate"),
+            F.sum("amount_cents").alias("cents"), F.count("amount_cents").alias("priced")]
+
+
+def _mean_ticket() -> Column:
+    return F.round(F.col("cents") / 100.0 / F.col("priced"), 9)
+
+
+def dimension_sums(orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sums per driver, per region and per customer from one pass over the orders, written and read back.
+
+    Every order is counted in three groups side by side; rows without a key are left out of its groups.
+    """
+    keys = ["driver_id", "region", "customer_id"]
+    counted = orders.select(*keys, "order_id", "has_missing", "amount_cents").groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("others"), *_sums())
+    table = written(counted, "dimension_sums")
+    by = lambda key: keyed(table.where(F.col("others") == 7 - (4 >> keys.index(key))), key)
+    drivers = by("driver_id").withColumnRenamed("orders", "deliveries").select("driver_id", "deliveries", "failures", "rate")
+    return (drivers, by("region").select("region", "orders", "failures"), by("customer_id").select(
+        "customer_id", "orders", "failures", _mean_ticket().alias("mean_ticket")))
+
+
 def grouped_flags(sums: DataFrame, group: str) -> DataFrame:
     """(group, failed, n) from any table with orders and failures per row."""
     flags = F.array(F.struct(F.lit(1).alias("failed"), F.col("failures").alias("n")),
@@ -204,17 +240,18 @@ def region_sums(orders: DataFrame) -> DataFrame:
 
 def test_table(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Which dimension separates failing from good orders."""
-    cells = risk_group_flags(driver_risk_groups(driver_rates(orders)))
+    per_driver, per_region, per_customer = dimension_sums(orders)
+    cells = risk_group_flags(driver_risk_groups(enough_deliveries(per_driver)))
     drivers = with_mann_whitney_p(mann_whitney_counts(cells, "failed", "is_high"), "greater").select(
         F.col("u1").alias("statistic"), "p_value")
     by_group = lambda sums, g: with_chi2_p(kruskal_counts(grouped_flags(sums, g))).select(
         F.col("h").alias("statistic"), "p_value")
     parts = [("Driver (high vs. low risk)", "Driver", "Mann-Whitney U", drivers),
-             ("Region", "Location", "Kruskal-Wallis", by_group(region_sums(orders), "region")),
+             ("Region", "Location", "Kruskal-Wallis", by_group(per_region, "region")),
              ("Age Group", "Customer", "Kruskal-Wallis",
-              by_group(customer_age_sums(orders, customers), "age_group")),
+              by_group(with_age_group(per_customer, customers), "age_group")),
              ("Value Segment", "Customer", "Kruskal-Wallis",
-              by_group(order_value_quartiles(orders), "value_segment"))]
+              by_group(value_quartiles(per_customer), "value_segment"))]
     out = None
     for dimension, category, test, row in parts:
         one = row.select(F.lit(dimension).alias("dimension"), F.lit(category).alias("category"),
@@ -226,11 +263,12 @@ def test_table(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 def variance_comparison(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Spread of failure rates across drivers, regions, age bands and value segments."""
+    per_driver, per_region, per_customer = dimension_sums(orders)
     rate = lambda sums, g: keyed(sums, g).groupBy(g).agg(
         (F.sum("failures") / F.sum("orders")).alias("rate"))
-    parts = [("Driver (individual)", driver_rates(orders)), ("Region", rate(region_sums(orders), "region")),
-             ("Age Group", rate(customer_age_sums(orders, customers), "age_group")),
-             ("Value Segment", rate(order_value_quartiles(orders), "value_segment"))]
+    parts = [("Driver (individual)", enough_deliveries(per_driver)), ("Region", rate(per_region, "region")),
+             ("Age Group", rate(with_age_group(per_customer, customers), "age_group")),
+             ("Value Segment", rate(value_quartiles(per_customer), "value_segment"))]
     out = None
     for name, table in parts:
         one = table.agg(F.lit(name).alias("dimension"), F.max("rate").alias("maximum"),

@@ -416,6 +416,29 @@ def test_order_value_quartiles_weigh_orders(spark):
     assert got[1] == "Low Value" and got[4] == "VIP" and cuts[0] == cuts[1] == 1.0
 
 
+def test_dimension_sums_equal_separate_groupings_and_read_the_orders_once(spark):
+    rng = random.Random(5)
+    rows = [{"driver_id": rng.choice([1, 2, None]), "region": rng.choice(["South", "North", None]), "items_missing": rng.randint(0, 1),
+             "customer_id": rng.choice([1, 2, 3, None]), "amount_cents": rng.choice([100, 250, 999])} for _ in range(60)]
+    o = orders(spark, [dict(r) for r in rows])
+    per_driver, per_region, per_customer = stats.dimension_sums(o)
+    want = stats.driver_rates(o, 0).collect()
+    assert sorted(per_driver.collect()) == sorted(want) and len(want) == 2
+    assert sorted(per_region.collect()) == sorted(stats.region_sums(o).collect())
+    columns = ["customer_id", "orders", "failures", "mean_ticket"]
+    assert sorted(per_customer.select(columns).collect()) == sorted(stats.customer_sums(o).select(columns).collect())
+    for table in stats.dimension_sums(o.limit(0)):
+        assert table.count() == 0
+
+
+def test_driver_dimension_counts_orders_without_driver_or_month_in_the_ticket_only(spark):
+    o = orders(spark, [{"driver_id": 1, "items_missing": 1, "amount_cents": 100}, {"driver_id": None, "amount_cents": 300},
+                       {"driver_id": 1, "date": None, "amount_cents": 500}])
+    row = drv.driver_dimension(o, drivers(spark, [(1, 10)])).collect()[0]
+    assert (row.total_deliveries, row.total_failures, row.total_revenue) == (1, 1, 1.0)
+    assert row.estimated_failure_cost == 3.0 * 0.25
+
+
 def test_risk_groups(spark):
     plan = {d: [(1, 10, d)] for d in range(1, 9)}
     groups = stats.driver_risk_groups(stats.driver_rates(_driver_orders(spark, plan)))
