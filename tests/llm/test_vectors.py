@@ -191,3 +191,31 @@ def test_nearest_among_ties(spark, monkeypatch, rows):
             near += 1
             assert got[i] == want
     assert near > 10
+
+
+def test_link_search_grows_with_the_rows(monkeypatch):
+    """Among unstructured vectors with few links, a larger graph is searched with the same beam and loses no link."""
+    work, cuts = [], []
+    search, cut = hnsw.Graph.search, hnsw.Graph._diverse
+    monkeypatch.setattr(hnsw.Graph, "search", lambda g, q, width, own=None: work.append(len(q) * width) or search(g, q, width, own))
+    monkeypatch.setattr(hnsw.Graph, "_diverse", lambda g, ids, *rest: cuts.append(len(ids)) or cut(g, ids, *rest))
+    for n in (1000, 5000):
+        draw = np.random.default_rng(11)
+        exact = hnsw.unit(draw.normal(size=(n, 64)))
+        for i in range(60):
+            exact[n // 2 + i] = towards(draw, exact[i], 0.931, 1, 0)[0]
+        work.clear(), cuts.clear()
+        graph = hnsw.Graph(exact.astype(np.float32))
+        query, node = hnsw.near_pairs(graph, exact, exact, 0.93, np.arange(n))
+        assert {(i, n // 2 + i) for i in range(60)} <= set(zip(query.tolist(), node.tolist()))
+        assert max(work) == 32 * n and sum(cuts) <= 12 * n
+
+
+def test_audit_of_links():
+    draw = np.random.default_rng(12)
+    exact = hnsw.unit(draw.normal(size=(500, 24)))
+    probes = hnsw.planted(exact, np.arange(0, 500, 2), 0.93)
+    assert np.allclose(np.einsum("id,id->i", probes, exact[::2]), 0.9301) and np.allclose((probes ** 2).sum(axis=1), 1)
+    assert np.allclose(hnsw.planted(exact, np.array([3]), 0.93) @ exact[3], 0.9301)      # no other node to turn to
+    assert hnsw._recall(np.array([[3, 4], [-1, -1]]), [np.arange(50), np.arange(50)], 2) == 0.5
+    assert hnsw._recall(np.array([[3, 4]]), [np.empty(0, int)], 2) == 1
