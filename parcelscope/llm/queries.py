@@ -42,10 +42,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix.without_repeats(table(spark, sf_dir, "documents"), length=400)
-    # Bytes left over from cut characters show as U+FFFD in the text; the digest is of the bytes.
+    rows = suffix.without_repeats(table(spark, sf_dir, "documents"), length=400, passages=(200, 50, 400))
+    # Bytes left over from cut characters show as U+FFFD in the texts; the digest is of the bytes.
     return rows.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
-                       F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+                       F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+                       F.col("passages.n_removed").alias("n_passage_bytes"),
+                       F.make_valid_utf8(F.col("passages.kept").cast("string")).alias("text_without_passages"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,11 +253,11 @@ def _snippets(docs: DataFrame, runs: DataFrame) -> DataFrame:
                                   "n long, snippet binary")
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
     """key, content, start, stop: spans whose windows of `length` bytes all occur elsewhere; they may overlap.
 
     `docs` has key, content (a hash of the text) and text. Rows with an equal key and text share
-    their spans, and count as repeats of each other.
+    their spans, and count as repeats of each other. Further the stored tables that the spans are read from.
     """
     kind = dict(docs.dtypes)["key"]
     everything = stored(sparse_ranks(docs, length), "ranks")
@@ -297,7 +297,19 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     again = stored(many.groupBy("r1", "r2").agg(F.sum("n").alias("total")).where("total > 1").select("r1", "r2"), "again")
     far = many.where("n = 1").join(again, ["r1", "r2"]).select(
         "key", "content", "start", (F.col("start") + length).alias("stop"))
-    return copied.union(near).union(far)
+    return copied.union(near).union(far), [shared, ranks, classes, several, many, again]
+
+
+def _listed(rows: DataFrame, length: int, name: str) -> DataFrame:
+    """k, c (key and content) and `name`: the starts and stops of each text's repeated spans, stored."""
+    spans, used = repeated_spans(rows.select("key", "content", "text"), length)
+    # A set: rows of equal key and text each bring the same spans.
+    lists = stored(spans.groupBy("key", "content").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(
+        F.col("key").alias("k"), F.col("content").alias("c"),
+        F.struct(F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")).alias(name)), "spans")
+    for part in used:
+        dropped(part)
+    return lists
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,58 +327,70 @@ def _long_enough(text: bytes, starts: np.ndarray, stops: np.ndarray, words: int,
     return np.array([b - a >= size or len(text[a:b].split()) > words for a, b in spans], bool)
 
 
-def _cut(docs: DataFrame, key: str, text: str, length: int, rest: list[str], decoded: bool = False,
-         words: int = 0, size: int = 0) -> DataFrame:
-    """key, rest (struct of the named columns), missing (the text was null), n_bytes, n_removed, n_spans, kept.
+#: What goes: bytes that strings of so many bytes repeat, in maximal runs of more than so many words or at least so many bytes.
+Rule = tuple[int, int, int]
+
 
-    kept is binary, or text if `decoded`, then without the bytes left over from characters that were cut.
-    Maximal runs of repeated bytes stay if they have neither more than `words` words nor `size` bytes.
+def _cut(docs: DataFrame, key: str, text: str, rules: dict[str, Rule], rest: list[str], decoded: bool = False) -> DataFrame:
+    """key, rest (struct of the named columns), missing (the text was null), n_bytes and, by the name of each rule, a struct
+    of n_removed, n_spans, kept: kept is binary, or text if `decoded`, then without the bytes left over from characters that were cut.
     """
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("content"), text_of(text).alias("text"),
                        F.col(text).isNull().alias("missing"), others)
-    # A set: rows of equal key and text each bring the same spans.
-    spans = stored(repeated_spans(rows.select("key", "content", "text"), length).groupBy("key", "content").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans")).select(
-        F.col("key").alias("k"), F.col("content").alias("c"), F.col("spans.start").alias("starts"),
-        F.col("spans.stop").alias("stops")), "spans")
-    joined = _packed(rows).join(spans, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c")), "left").select(
-        "blob", "starts", "stops", "key", "rest", "missing")
-    schema = StructType([*joined.schema.fields[3:], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
+    lists = [_listed(rows, length, name) for name, (length, _, _) in rules.items()]
+    joined = _packed(rows)
+    for spans in lists:
+        joined = joined.join(spans, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c")), "left").drop("k", "c")
+    joined = joined.select("blob", *rules, "key", "rest", "missing")
+    result = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()),
                          StructField("kept", StringType() if decoded else BinaryType())])
+    schema = StructType([*joined.schema.fields[1 + len(rules):], StructField("n_bytes", LongType()),
+                         *(StructField(name, result) for name in rules)])
+
+    def without(whole: bytes, spans: pa.Scalar, words: int, size: int) -> tuple[int, int, bytes]:
+        if not spans.is_valid:
+            return 0, 0, whole
+        a, b = merged(spans["starts"].values.to_numpy(), spans["stops"].values.to_numpy())
+        goes = _long_enough(whole, a, b, words, size)
+        a, b = a[goes], b[goes]
+        kept = b"".join(whole[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(whole)]))
+        return len(whole) - len(kept), len(a), kept
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in sliced(batches):
-            out = []
-            for blob, starts, stops in zip(*batch.columns[:3]):
+            sizes, out = [], [[] for _ in rules]
+            for blob, *spans in zip(*batch.columns[:1 + len(rules)]):
                 whole = tool.decompress(blob.as_py())
-                if not starts.is_valid:
-                    out.append((len(whole), 0, 0, whole))
-                    continue
-                a, b = merged(starts.values.to_numpy(), stops.values.to_numpy())
-                goes = _long_enough(whole, a, b, words, size)
-                a, b = a[goes], b[goes]
-                kept = b"".join(whole[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(whole)]))
-                out.append((len(whole), len(whole) - len(kept), len(a), kept))
-            columns = list(zip(*out)) or [()] * 4
-            kept = pa.array([k.decode("utf-8", "ignore") for k in columns[3]] if decoded else columns[3],
-                            pa.string() if decoded else pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[3:], *(pa.array(c, pa.int64()) for c in columns[:3]), kept], schema.names)
+                sizes.append(len(whole))
+                for found, at, (_, words, size) in zip(out, spans, rules.values()):
+                    found.append(without(whole, at, words, size))
+            structs = []
+            for found in out:
+                removed, runs, kept = zip(*found) if found else ((), (), ())
+                kept = pa.array([k.decode("utf-8", "ignore") for k in kept] if decoded else kept, pa.string() if decoded else pa.binary())
+                structs.append(pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), kept],
+                                                          ["n_removed", "n_spans", "kept"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1 + len(rules):], pa.array(sizes, pa.int64()), *structs], schema.names)
 
     return joined.mapInArrow(cut, schema)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
+                    passages: Rule | None = None) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
 
     A byte goes if a string of `length` bytes that holds it also starts anywhere else, in the same text
     or another; all occurrences go, as judged on the input. Null texts are empty; texts shorter than
     `length` keep every byte. Rows are told apart by key and text: repeated rows are repeats of each
     other, and null keys are kept. No rows give no rows.
+
+    `passages` (length, words, size) adds a struct of that name: n_removed, n_spans and kept where the bytes that
+    strings of that length repeat go, in maximal runs of more than `words` words or at least `size` bytes.
     """
-    return _cut(docs, key, text, length, []).select("key", "n_bytes", "n_removed", "n_spans", "kept")
+    rules = {"repeats": (length, 0, 0)} | ({"passages": passages} if passages else {})
+    return _cut(docs, key, text, rules, []).select("key", "n_bytes", "repeats.*", *list(rules)[1:])
 
 
 def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
@@ -378,6 +402,7 @@ def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
     its bytes the others go too. A null text stays null.
     """
     rest = [c for c in docs.columns if c != text]
-    rows = _cut(docs, key, text, length, rest, True, words, size).withColumn("_text", F.when(~F.col("missing"), F.col("kept")))
+    rows = _cut(docs, key, text, {"repeats": (length, words, size)}, rest, True).withColumn(
+        "_text", F.when(~F.col("missing"), F.col("repeats.kept")))
     own = {text: F.col("_text"), n_chars: F.char_length(F.coalesce("_text", F.lit(""))).cast("long")}
     return rows.select(*((own[c] if c in own else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

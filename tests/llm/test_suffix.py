@@ -124,3 +124,33 @@ def test_query_on_whole_table(spark, sf):
     for r in rows:
         n, removed, spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_passages_beside_repeats(spark):
+    texts = corpus(6, 40, 60, 6) + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r for r in suffix.without_repeats(docs.repartition(3), length=80, passages=(30, 8, 60)).collect()}
+    assert len(got) == len(texts)
+    for i, (repeats, passages) in enumerate(zip(plain(texts, 80), plain(texts, 30, 8, 60))):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == repeats
+        assert (got[i].passages.n_removed, got[i].passages.n_spans, bytes(got[i].passages.kept)) == passages[1:]
+    assert any(r.passages.n_removed > r.n_removed for r in got.values())
+
+
+def test_query_catches_passages_below_the_threshold(spark, tmp_path):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passages = [some(52) for _ in range(5)]
+    assert all(len(p) < 400 for p in passages)
+    short = some(20)
+    texts = [f"{some(40)} {p} {some(40)}" for p in passages * 2] + [some(150) for _ in range(5)]
+    texts += [f"{some(30)} {short} {some(30)}" for _ in range(3)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(r.n_removed == 0 and r.text == (texts[i] or "") for i, r in got.items())
+    for i, text in enumerate(texts):
+        if i < 10:
+            assert got[i].n_passage_bytes >= len(passages[i % 5]) and passages[i % 5] not in got[i].text_without_passages
+        else:
+            assert got[i].n_passage_bytes == 0 and got[i].text_without_passages == (text or "")
