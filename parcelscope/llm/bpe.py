@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
+import sys
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -22,6 +24,8 @@ UNSAFE_SPACE = re.compile(r" (?:\s|\Z)")
 #: Words kept per worker and generation; two generations live at a time.
 CACHE_WORDS = 400_000
 CACHED_LENGTH = 24
+#: Bytes that a dictionary takes for an entry, beside its text and its value.
+ENTRY_BYTES = 40
 #: Bytes of the table that tells a second sight from a first.
 SEEN = 1 << 22
 #: ASCII characters that are neither letters, digits nor white space, and begin no match that holds letters.
@@ -99,15 +103,16 @@ def merged(data: bytes, vocabulary: Vocabulary) -> list[int]:
 
 
 class Remembered(dict):
-    """What `make` gives for a short text that comes again, kept for two generations of CACHE_WORDS texts.
+    """What `make` gives for a short text that comes again, kept for two generations of CACHE_WORDS texts or `size` bytes.
 
     A text is kept from its second sight on, by a byte of its hash in a table of fixed size, so that texts
     that come once do not push out the others.
     """
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], size: float = math.inf) -> None:
         super().__init__()
         self.make, self.older, self.seen = make, {}, bytearray(SEEN)
+        self.size, self.held = size, 0
 
     def __missing__(self, text: str) -> bytes:
         value = self.older.get(text)
@@ -120,10 +125,12 @@ class Remembered(dict):
             if self.seen[place] != tag:
                 self.seen[place] = tag
                 return value
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS or self.held >= self.size:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[text] = value
+        self.held += sys.getsizeof(text) + sys.getsizeof(value) + ENTRY_BYTES
         return value
 
 
@@ -132,14 +139,15 @@ class Encoder:
 
     A space that precedes a non-space always starts a match, so texts are cut there. Most of the chunks
     are a word, or a word and symbols after it, and need no pattern: words come from a cache, and so
-    do the matches of the other chunks.
+    do the matches of the other chunks. A generation of the words takes about `size` bytes at most,
+    one of the matches `match_size`.
     """
 
-    def __init__(self, match_ids: Callable[[str], bytes], pattern: str) -> None:
+    def __init__(self, match_ids: Callable[[str], bytes], pattern: str, size: float = math.inf, match_size: float = math.inf) -> None:
         self.split = regex.compile(pattern).findall
         self.match_ids = match_ids
-        self.matches = Remembered(match_ids)
-        self.spaced = Remembered(self._spaced)
+        self.matches = Remembered(match_ids, match_size)
+        self.spaced = Remembered(self._spaced, size)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.split(chunk)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import stored, text_of
+from .common import sliced, stored, text_of
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -23,6 +23,9 @@ if TYPE_CHECKING:
 PIECES = ("key {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded_length long")
 
+#: Bytes of a generation of the encoder's words and of its matches; two generations of each live at a time, in every worker that ever packed.
+CACHE_BYTES, MATCH_BYTES = 40 << 20, 8 << 20
+
 _ENCODERS: dict[tuple[str, str], tuple[Callable[[str], bytes], str]] = {}
 
 
@@ -45,11 +48,14 @@ def encoder(path: str, pattern: str) -> tuple[Callable[[str], bytes], str]:
         model, names = tokenizer.model, byte_names()
 
         def match_ids(match: str) -> bytes:
-            data = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(names)
+            if match.isascii() and match.isprintable():
+                data = match.replace(" ", names[32])
+            else:
+                data = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(names)
             return array("I", [token.id for token in model.tokenize(data)]).tobytes()
 
         kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        _ENCODERS[path, pattern] = with_added(Encoder(match_ids, pattern), tokenizer), kind
+        _ENCODERS[path, pattern] = with_added(Encoder(match_ids, pattern, CACHE_BYTES, MATCH_BYTES), tokenizer), kind
     return _ENCODERS[path, pattern]
 
 
@@ -83,7 +89,7 @@ def streams(docs: DataFrame, path: str, pattern: str, key: str, text: str, end_i
 
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (encode, kind), part, at = encoder(path, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encode(t.as_py()) + ending for t in batch.column(1)]
             counts = np.array([len(i) // 4 for i in ids], np.int64)
             starts = at + np.cumsum(counts) - counts
@@ -120,7 +126,7 @@ def packed(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         "key", (F.col("base") + F.col("start")).alias("at"), "n", "stream", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, n, stream = (batch.column(i).to_numpy() for i in (1, 2, 3))
             last = (at + n - 1) // length
             pieces = last - at // length + 1

@@ -2,11 +2,14 @@ import base64
 import functools
 import hashlib
 import random
+import sys
 import zlib
 from array import array
 from collections import defaultdict
+from unittest.mock import Mock
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -140,6 +143,46 @@ def test_cache_gives_what_the_model_gives():
     assert made == ["a", "a", "b", "x" * 99, "x" * 99]
 
 
+def test_packing_encoder_holds_few_bytes(monkeypatch):
+    made = []
+
+    class Kept(bpe.Encoder):
+        def __init__(self, *given):
+            super().__init__(*given)
+            made.append(self)
+
+    monkeypatch.setattr(packing, "Encoder", Kept)
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    encode = packing.encoder(JSON, P.PATTERN)[0]
+    # Words, and words after a line break, which are matches without a space before them.
+    text = " ".join(f"{word}\nA{word}" for i in range(200_000) if (word := f"{i:07d}".translate(str.maketrans("0123456789", "eatonishrd"))))
+    first = encode(text)
+    assert encode(text) == first == encode(text)
+    for cache, size in (made[0].matches, 8 << 20), (made[0].spaced, 40 << 20):
+        assert cache
+        for generation in cache, cache.older:
+            assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in generation.items()) <= size
+
+
+def test_packing_takes_few_texts_at_a_time(spark, monkeypatch):
+    """A batch of the usual 10,000 rows gives short ones, each with its place in the partition."""
+    docs = Mock(dtypes=[("key", "bigint")], mapInArrow=lambda of, schema: of)
+    docs.select.return_value = docs
+    monkeypatch.setattr(packing, "stored", lambda rows, name: rows)
+    monkeypatch.setattr(packing, "TaskContext", Mock(**{"get.return_value.partitionId.return_value": 7}))
+    texts = ["a b " * (i % 9) for i in range(10_000)]
+    texts[4000] = "long " * 1_000_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(texts)], ["key", "text"])
+    out = list(packing.streams(docs, JSON, P.PATTERN, "doc_id", "text", 0)([batch, batch.slice(0, 0), batch.slice(0, 10)]))
+    assert max(b.num_rows for b in out) <= 256
+    whole = pa.Table.from_batches(out).to_pydict()
+    assert whole["key"] == [*range(10_000), *range(10)] and set(whole["part"]) == {7}
+    at = 0
+    for start, n, ids in zip(whole["start"], whole["n"], whole["ids"]):
+        assert start == at and len(ids) == 2 * n
+        at += n
+
+
 def test_packing_null_keys(spark):
     rows = packing.packed(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string"), JSON, P.PATTERN).collect()
     assert [r.length for r in rows] == [3, 3] and sorted(r.offset for r in rows) == [0, 3]
